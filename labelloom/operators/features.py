@@ -38,14 +38,17 @@ def fit_vocabulary(docs: DataFrame, terms: str, max_features: int = 10_000) -> D
     for the idf too. The top terms are kept per partition before they are merged, so
     the full term table is not sorted.
     """
-    n_docs = docs.count()
+    n_docs = docs.agg(F.count("*")).scalar()
     top = term_stats(docs, terms).orderBy(F.desc("cf"), F.col("term")).limit(max_features)
-    kept = stage(top.withColumn("idf", idf("df", n_docs)))
-    return stage(_numbered(kept))
+    weighed = top.withColumn("idf", idf("df", n_docs))
+    if max_features <= MAX_SHARED_ROWS:
+        place = F.row_number().over(Window.orderBy("term")) - 1
+        return stage(weighed.select("term", place.alias("idx"), "cf", "df", "idf"))
+    return stage(_numbered(stage(weighed)))
 
 
 def _numbered(kept: DataFrame) -> DataFrame:
-    """Alphabetical ``idx`` from 0: bucket offsets plus places inside a bucket."""
+    """Alphabetical ``idx`` of very many terms: bucket offsets plus places inside a bucket."""
     keyed = kept.withColumn("_bucket", F.substring("term", 1, PREFIX))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))

@@ -68,7 +68,7 @@ def stratified_split(
     buckets = bucket_counts(narrow, id_col, label, seed)
     counts = buckets.groupBy(label).agg(F.sum("n").alias("n"))
     counts = counts.withColumn("n", _fail_when(F.col(label).isNull(), "null label; drop such rows first", F.col("n")))
-    sizes = stage(train_sizes(counts, label, test_size))
+    sizes = train_sizes(counts, label, test_size)
 
     last_bucket = (
         buckets.join(sizes.select(label, "n_train"), label)
@@ -168,12 +168,12 @@ def random_oversample(train: DataFrame, id_col: str, label: str, seed: int = 42)
     """
     columns = train.columns
     buckets = bucket_counts(train.select(id_col, label), id_col, label, seed)
-    counts = stage(buckets.groupBy(label).agg(F.sum("n").alias("n")))
+    counts = buckets.groupBy(label).agg(F.sum("n").alias("n"))
     missing = F.max("n").over(Window.partitionBy()) - F.col("n")
     salts = F.ceil(F.col("_missing") / F.col("n") / COPIES_PER_SALT)
     short = counts.withColumn("_missing", missing).filter("_missing > 0").select(label, salts.alias("_salts"))
 
-    minority = train.join(stage(short), label)
+    minority = train.join(short, label)
     rows = ranked(minority, buckets, id_col, label, seed).withColumn(
         "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))
     )
