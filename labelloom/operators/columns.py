@@ -53,7 +53,10 @@ def to_text_label(df: DataFrame, profile: str = "narrow", keep: tuple[str, ...]
 
 def drop_null_labels(df: DataFrame, label: str) -> DataFrame:
     """Rows whose label is neither null nor NaN."""
-    return df.na.drop(subset=[label])
+    known = F.col(label).isNotNull()
+    if isinstance(df.schema[label].dataType, (T.FloatType, T.DoubleType)):
+        known = known & ~F.isnan(label)
+    return df.filter(known)
 
 
 def reuse_or_clean(

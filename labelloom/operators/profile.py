@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelloom.operators.columns import drop_null_labels
 
@@ -11,6 +11,11 @@ def _is_empty(text: str) -> Column:
     return F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
 
 
+def _share(count: str) -> Column:
+    """Percent of the total, over the few rows that are left per class."""
+    return F.round(F.col(count) * 100.0 / F.sum(count).over(Window.partitionBy()), 6)
+
+
 def class_distribution(df: DataFrame, label: str, first_seen_by: str | None = None) -> DataFrame:
     """Rows and share (percent) per non-null label.
 
@@ -20,8 +25,7 @@ def class_distribution(df: DataFrame, label: str, first_seen_by: str | None = No
     counts = [F.count("*").alias("n")]
     if first_seen_by:
         counts.append(F.min(first_seen_by).alias("first_seen"))
-    total = labelled.agg(F.count("*")).scalar()
-    out = labelled.groupBy(label).agg(*counts).withColumn("share_pct", F.round(F.col("n") * 100.0 / total, 6))
+    out = labelled.groupBy(label).agg(*counts).withColumn("share_pct", _share("n"))
     return out.orderBy("first_seen") if first_seen_by else out.orderBy(label)
 
 
@@ -47,7 +51,6 @@ def row_counts(df: DataFrame, split: str = "split") -> DataFrame:
 def label_text_profile(df: DataFrame, label: str, text_clean: str, tokens: str) -> DataFrame:
     """Rows, share, empty cleaned texts and mean token count per non-null label."""
     labelled = drop_null_labels(df, label)
-    total = labelled.agg(F.count("*")).scalar()
     empty = F.count_if(_is_empty(text_clean))
     return (
         labelled.groupBy(label)
@@ -57,7 +60,7 @@ def label_text_profile(df: DataFrame, label: str, text_clean: str, tokens: str)
             F.round(empty / F.count("*"), 6).alias("empty_rate"),
             F.round(F.avg(F.size(tokens)), 6).alias("mean_tokens"),
         )
-        .withColumn("share_pct", F.round(F.col("n") * 100.0 / total, 6))
+        .withColumn("share_pct", _share("n"))
         .orderBy(label)
     )
 
@@ -75,9 +78,8 @@ def term_stats(df: DataFrame, terms: str) -> DataFrame:
     map-side, and no (row, term) shuffle: a term that fills a third of the
     corpus reaches the reducer as one partial count per map task.
     """
-    ordered = df.filter(F.size(terms) > 0).select(F.sort_array(terms).alias("t"))
-    previous = F.slice(F.col("t"), F.lit(1), F.greatest(F.size("t") - 1, F.lit(0)))
-    shifted = F.concat(F.array(F.lit(None).cast("string")), previous)
+    ordered = df.select(F.sort_array(terms).alias("t"))
+    shifted = F.slice(F.concat(F.array(F.lit(None).cast("string")), "t"), F.lit(1), F.size("t"))
     marked = F.zip_with(
         F.col("t"),
         shifted,
