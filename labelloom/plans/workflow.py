@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from labelloom.functions.text import clean_text, content_tokens, join_tokens, light_clean, ngrams, tokenize
@@ -95,11 +97,15 @@ def train_and_compare(
     data = stage(vectorize(indexed, vocabulary, "terms").select(id_col, "label", "label_idx", "split", "features"))
     train, test = data.filter("split = 'train'"), data.filter("split = 'test'")
 
-    fitted = (
-        train_logistic(train),
-        train_linear_svm(train),
-        train_oversampled_logistic(stage(random_oversample(train, id_col, "label_idx", seed))),
+    oversampled = stage(random_oversample(train, id_col, "label_idx", seed))
+    trainings = (
+        lambda: train_logistic(train),
+        lambda: train_linear_svm(train),
+        lambda: train_oversampled_logistic(oversampled),
     )
+    # Each iteration is a short job, so the three trainings share the cluster.
+    with ThreadPool(len(trainings)) as pool:
+        fitted = pool.map(lambda fit: fit(), [inheritable_thread_target(fit) for fit in trainings])
     scored = [
         score(test.select(id_col, "label", "features"), model, classes).select(
             F.lit(name).alias("model"), F.lit(place).alias("ordinal"), id_col, "label", "pred"
