@@ -19,6 +19,9 @@ from labelloom.plans.staging import MAX_SHARED_BYTES, MAX_SHARED_ROWS, fits_in_m
 # Copies of each vocabulary row in the joined form, so that a term found in a
 # third of all documents is shared by as many tasks.
 JOIN_SALTS = 32
+# Rows one task may merge to find the top terms, and groups of partitions beyond.
+MAX_MERGED_ROWS = 5_000_000
+MERGE_GROUPS = 64
 # Characters of a term that form its order-preserving bucket when numbering.
 PREFIX = 3
 
@@ -30,16 +33,30 @@ def idf(df_count: Column | str, n_docs: Column | int) -> Column:
     return F.log((total + 1.0) / (found + 1.0)) + 1.0
 
 
+def top_terms(stats: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows of highest ``cf``, ties to the smaller term, without a full sort.
+
+    Each partition keeps its own top ``k`` and one task merges them. With so many
+    partitions that the merge would be long, they are merged in groups first.
+    """
+    partitions = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = [F.desc("cf"), F.col("term")]
+    if partitions * k > MAX_MERGED_ROWS:
+        group = stats.withColumn("_group", F.spark_partition_id() % MERGE_GROUPS)
+        place = F.row_number().over(Window.partitionBy("_group").orderBy(*first))
+        stats = group.withColumn("_place", place).filter(F.col("_place") <= k).select(*stats.columns)
+    return stats.orderBy(*first).limit(k)
+
+
 def fit_vocabulary(docs: DataFrame, terms: str, max_features: int = 10_000) -> DataFrame:
     """Staged ``(term, idx, cf, df, idf)`` of the most frequent terms.
 
     Keeps the ``max_features`` terms with the highest ``cf``, ties to the smaller
     term, and numbers them alphabetically. Documents without any term count
-    for the idf too. The top terms are kept per partition before they are merged, so
-    the full term table is not sorted.
+    for the idf too.
     """
     n_docs = docs.agg(F.count("*")).scalar()
-    top = term_stats(docs, terms).orderBy(F.desc("cf"), F.col("term")).limit(max_features)
+    top = top_terms(term_stats(docs, terms), max_features)
     weighed = top.withColumn("idf", idf("df", n_docs))
     if max_features <= MAX_SHARED_ROWS:
         place = F.row_number().over(Window.orderBy("term")) - 1
@@ -96,7 +113,8 @@ def tfidf(
         pairs = parts.select(
             id_col, F.inline(F.arrays_zip(F.col("_v.indices").alias("idx"), F.col("_v.values").alias("tfidf")))
         )
-        return pairs.join(vocabulary.select("idx", "term"), "idx").select(id_col, "term", "idx", "tfidf")
+        names = F.broadcast(vocabulary.select("idx", "term"))
+        return pairs.join(names, "idx").select(id_col, "term", "idx", "tfidf")
     return _tfidf_joined(docs, vocabulary, id_col, terms)
 
 

@@ -70,7 +70,8 @@ def stratified_split(
     counts = counts.withColumn("n", _fail_when(F.col(label).isNull(), "null label; drop such rows first", F.col("n")))
     sizes = train_sizes(counts, label, test_size)
 
-    last_bucket = (
+    # One row per class; staged, so that its true size decides how it is joined.
+    last_bucket = stage(
         buckets.join(sizes.select(label, "n_train"), label)
         .filter((F.col("before") < F.col("n_train")) & (F.col("n_train") <= F.col("before") + F.col("n")))
         .select(label, F.col("bucket").alias("_bucket"), (F.col("n_train") - F.col("before")).alias("_take"))

@@ -58,17 +58,20 @@ class Comparison:
 
 
 def prepare_documents(df: DataFrame, id_col: str, force: bool = False) -> DataFrame:
-    """Staged ``(id, label, text_clean, tokens)``: every text is cleaned once.
+    """``(id, label, text_clean, tokens)``, staged: every text is cleaned once.
 
-    An existing ``text_clean`` column is used as it is unless ``force``.
+    An existing ``text_clean`` column is used as it is unless ``force``. Otherwise
+    only the tokens are written; joining them back is cheap.
     """
     text, label = resolve_columns(df, "wide")
-    base = df.select(F.col(id_col), F.col(label).alias("label"), *[c for c in df.columns if c == text or c == "text_clean"])
+    base = [F.col(id_col), F.col(f"`{label}`").alias("label")]
     if "text_clean" in df.columns and not force:
+        given = stage(df.select(*base, "text_clean"))
         words = tokenize(F.coalesce("text_clean", F.lit("")), split_fused=False)
-        return stage(base.withColumn("tokens", words).select(id_col, "label", "text_clean", "tokens"))
-    words = base.withColumn("tokens", content_tokens(clean_text(text)))
-    return stage(words.withColumn("text_clean", join_tokens("tokens")).select(id_col, "label", "text_clean", "tokens"))
+        return given.withColumn("tokens", words)
+    cleaned = df.select(*base, clean_text(F.col(f"`{text}`")).alias("_clean"))
+    tokens = stage(cleaned.select(id_col, "label", content_tokens("_clean").alias("tokens")))
+    return tokens.select(id_col, "label", join_tokens("tokens").alias("text_clean"), "tokens")
 
 
 def train_and_compare(
@@ -105,7 +108,7 @@ def train_and_compare(
     )
     # Each iteration is a short job, so the three trainings share the cluster.
     with ThreadPool(len(trainings)) as pool:
-        fitted = pool.map(lambda fit: fit(), [inheritable_thread_target(fit) for fit in trainings])
+        fitted = pool.map(lambda fit: fit(), [inheritable_thread_target(df.sparkSession)(fit) for fit in trainings])
     scored = [
         score(test.select(id_col, "label", "features"), model, classes).select(
             F.lit(name).alias("model"), F.lit(place).alias("ordinal"), id_col, "label", "pred"

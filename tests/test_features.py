@@ -47,6 +47,15 @@ def test_large_vocabularies_are_numbered_the_same(docs, monkeypatch):
     assert features.fit_vocabulary(docs, "terms", 6).orderBy("idx").collect() == small
 
 
+def test_top_terms_merged_in_groups(spark, monkeypatch):
+    stats = spark.range(0, 5000, 1, 16).selectExpr("CAST(id % 700 AS STRING) || 'x' || id AS term", "id % 37 AS cf", "1L AS df")
+    plain = features.top_terms(stats, 900).collect()
+    monkeypatch.setattr(features, "MAX_MERGED_ROWS", 1)
+    grouped = features.top_terms(stats, 900)
+    assert "WindowGroupLimit" in grouped._jdf.queryExecution().executedPlan().toString()
+    assert grouped.collect() == plain and len(plain) == 900
+
+
 def test_vectors(docs):
     vocabulary = features.fit_vocabulary(docs, "terms", 4)
     vectors = {r["id"]: r["features"] for r in features.vectorize(docs, vocabulary, "terms").collect()}
