@@ -302,11 +302,11 @@ def content_tokens_query(spark: SparkSession, sf: str) -> DataFrame:
 def _lemma_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Content tokens with made-up tags, and a lemma table from the words in use."""
     words = stage(cleaned(documents(spark, sf)).select("doc_id", "t", tokenize("t").alias("w")))
-    surface = words.select(F.explode("w").alias("surface")).filter(F.length("surface") > 3).distinct()
-    nouns = surface.filter(F.col("surface").endswith("s")).select("surface", F.lit("n").alias("pos"), F.lit(1).alias("cut"))
-    verbs = surface.filter(F.col("surface").endswith("ing")).select("surface", F.lit("v").alias("pos"), F.lit(3).alias("cut"))
-    lemma = F.substr("surface", F.lit(1), F.length("surface") - F.col("cut")).alias("lemma")
-    lemmas = stage(nouns.unionByName(verbs).select("surface", "pos", lemma))
+    surface = words.select(F.explode("w").alias("surface")).filter(F.length("surface") > 3)
+    pos = F.when(F.col("surface").endswith("ing"), "v").when(F.col("surface").endswith("s"), "n")
+    cut = F.when(F.col("surface").endswith("ing"), 3).otherwise(1)
+    lemma = F.substr("surface", F.lit(1), F.length("surface") - cut).alias("lemma")
+    lemmas = stage(surface.select("surface", pos.alias("pos"), lemma).filter("pos IS NOT NULL").distinct())
     kept = words.select("doc_id", content_tokens("t").alias("tokens"))
     tags = F.transform("tokens", lambda w: F.when(w.endswith("ing"), "VBG").otherwise("NN"))
     return kept.withColumn("tags", tags), lemmas
