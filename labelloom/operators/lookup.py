@@ -21,7 +21,7 @@ def lookup_array(
     df: DataFrame,
     keys: str,
     dictionary: DataFrame,
-    id_col: str,
+    id_col: str | None,
     fallback: str | Column,
     output: str,
     max_rows: int = MAX_SHARED_ROWS,
@@ -30,7 +30,8 @@ def lookup_array(
     """Adds ``output``: ``dictionary`` (``key``, ``value``, unique keys) per element.
 
     Elements not found take the ``fallback``: a constant Column, or the name of
-    an array column of the same length.
+    an array column of the same length. The join for large dictionaries needs a
+    unique ``id_col``.
     """
     if not fits_in_memory(dictionary, max_rows, max_bytes):
         return _lookup_joined(df, keys, dictionary, id_col, fallback, output)
@@ -58,9 +59,11 @@ def lookup_array(
 
 
 def _lookup_joined(
-    df: DataFrame, keys: str, dictionary: DataFrame, id_col: str, fallback: str | Column, output: str
+    df: DataFrame, keys: str, dictionary: DataFrame, id_col: str | None, fallback: str | Column, output: str
 ) -> DataFrame:
-    """The same for a dictionary of any size; needs a unique ``id_col``."""
+    """The same for a dictionary of any size."""
+    if id_col is None:
+        raise ValueError("the dictionary is too large to copy to executors; name a unique id column to join it")
     own = F.col(fallback) if isinstance(fallback, str) else F.transform(keys, lambda _: fallback)
     entries = df.select(id_col, F.posexplode(F.arrays_zip(F.col(keys).alias("key"), own.alias("own"))).alias("pos", "e"))
     entries = entries.select(id_col, "pos", F.col("e.key").alias("key"), F.col("e.own").alias("own"))
@@ -72,14 +75,15 @@ def _lookup_joined(
     values = F.transform("_list", lambda e: e["value"])
     value_type = dictionary.schema["value"].dataType.simpleString()
     nothing = F.array().cast(f"array<{value_type}>")
-    return df.join(lists, id_col, "left").withColumn(output, F.coalesce(values, nothing)).select(*df.columns, output)
+    kept = [c for c in df.columns if c != output]
+    return df.join(lists, id_col, "left").withColumn(output, F.coalesce(values, nothing)).select(*kept, output)
 
 
 def lemmatize(
     df: DataFrame,
     tokens: str,
     lemmas: DataFrame,
-    id_col: str,
+    id_col: str | None,
     tags: str | None = None,
     output: str = "lemmas",
     **bounds: int,

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
-from labelloom.functions.text import clean_text, content_tokens, join_tokens, light_clean, ngrams, tokenize
+from labelloom.functions.text import (
+    ENGLISH_STOP_WORDS,
+    clean_text,
+    content_tokens,
+    join_tokens,
+    light_clean,
+    ngrams,
+    tokenize,
+)
 from labelloom.operators.columns import keep_columns, label_names, resolve_columns, to_text_label
 from labelloom.operators.evaluate import (
     compare_models,
@@ -19,7 +28,7 @@ from labelloom.operators.evaluate import (
     weighted_metrics,
 )
 from labelloom.operators.features import fit_vocabulary, vectorize, vectorizer
-from labelloom.operators.lookup import encode_fixed_length
+from labelloom.operators.lookup import encode_fixed_length, lemmatize
 from labelloom.operators.models import score, train_linear_svm, train_logistic, train_oversampled_logistic
 from labelloom.operators.profile import class_distribution, distinct_labels, empty_text_rate, row_counts
 from labelloom.operators.sampling import (
@@ -57,9 +66,17 @@ class Comparison:
     documents: DataFrame
 
 
-def prepare_documents(df: DataFrame, id_col: str, force: bool = False) -> DataFrame:
+def prepare_documents(
+    df: DataFrame,
+    id_col: str,
+    force: bool = False,
+    stop: Iterable[str] = ENGLISH_STOP_WORDS,
+    lemmas: DataFrame | None = None,
+) -> DataFrame:
     """``(id, label, text_clean, tokens)``, staged: every text is cleaned once.
 
+    ``lemmas`` is a table ``(surface, pos, lemma)``; without it words stay as they are.
+
     An existing ``text_clean`` column is used as it is unless ``force``. Otherwise
     only the tokens are written; joining them back is cheap.
     """
@@ -70,8 +87,10 @@ def prepare_documents(df: DataFrame, id_col: str, force: bool = False) -> DataFr
         words = tokenize(F.coalesce("text_clean", F.lit("")), split_fused=False)
         return given.withColumn("tokens", words)
     cleaned = df.select(*base, clean_text(F.col(f"`{text}`")).alias("_clean"))
-    tokens = stage(cleaned.select(id_col, "label", content_tokens("_clean").alias("tokens")))
-    return tokens.select(id_col, "label", join_tokens("tokens").alias("text_clean"), "tokens")
+    words = cleaned.select(id_col, "label", content_tokens("_clean", stop).alias("tokens"))
+    if lemmas is not None:
+        words = lemmatize(words, "tokens", lemmas, id_col, output="tokens")
+    return stage(words).select(id_col, "label", join_tokens("tokens").alias("text_clean"), "tokens")
 
 
 def train_and_compare(
@@ -83,16 +102,20 @@ def train_and_compare(
     seed: int = SEED,
     fit_on: str = "all",
     force: bool = False,
+    stop: Iterable[str] = ENGLISH_STOP_WORDS,
+    lemmas: DataFrame | None = None,
 ) -> Comparison:
     """Train the three linear models on one split, evaluate them and keep the best.
 
     ``fit_on="all"`` fits vocabulary and idf on the whole corpus before the split,
-    ``"train"`` on the train part only. With ``run`` all artifacts are written
+    ``"train"`` on the train part only. Words are filtered by ``stop`` and, given a
+    table ``(surface, pos, lemma)``, replaced by their lemmas. With ``run`` all artifacts are written
     under that path.
     """
     if fit_on not in ("all", "train"):
         raise ValueError("fit_on is 'all' or 'train'")
-    docs = prepare_documents(df, id_col, force)
+    stop = list(stop)
+    docs = prepare_documents(df, id_col, force, stop, lemmas)
     terms = docs.withColumn("terms", ngrams("tokens"))
     split = stratified_split(terms, id_col, "label", test_size, seed)
     vocabulary = fit_vocabulary(terms if fit_on == "all" else split.filter("split = 'train'"), "terms", max_features)
@@ -118,7 +141,8 @@ def train_and_compare(
     predictions = stage(scored[0].unionByName(scored[1]).unionByName(scored[2]))
     metrics = stage(weighted_metrics(predictions, "label", "pred", by=("model", "ordinal")))
     best = select_best(metrics).first()["model"]
-    model = TextModel(vectorizer(vocabulary, "terms"), fitted[MODEL_NAMES.index(best)], classes)
+    classifier = fitted[MODEL_NAMES.index(best)]
+    model = TextModel(vectorizer(vocabulary, "terms"), classifier, classes, stop, lemmas=lemmas)
     result = Comparison(metrics, predictions, best, model, vocabulary, docs)
     if run:
         _save_run(df, id_col, result, data, run)

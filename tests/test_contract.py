@@ -46,6 +46,8 @@ def order(row):
 @pytest.mark.parametrize("name", sorted(set(NAMES) - TRAINED))
 def test_query_equals_sql(spark, small_dir, duck, name):
     df = contract.queries()[name](spark, small_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     cols = sorted(df.columns)
     ours = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=order)
     result = duck.execute(contract.oracle_sql()[name])

@@ -145,6 +145,21 @@ def test_streams(spark, compared, corpus, tmp_path):
     assert got == {r["row"]: r["pred"] for r in result.model.predict(corpus, "tweet").collect()}
 
 
+def test_lemmas_go_with_the_model(spark, compared, corpus, tmp_path):
+    result, _ = compared
+    lemmas = spark.createDataFrame([("lovely", "n", "good"), ("sunny", "n", "good")], "surface string, pos string, lemma string")
+    docs = workflow.prepare_documents(corpus, "row", stop=["day"], lemmas=lemmas)
+    words = {w for r in docs.collect() for w in r["tokens"]}
+    assert "the" in words and not words & {"lovely", "sunny", "day"}
+    model = result.model
+    model = type(model)(model.vectors, model.classifier, model.classes, ["day"], lemmas=lemmas)
+    path = save_model(model, result.vocabulary, str(tmp_path / "model"))
+    loaded = load_model(spark, path)
+    assert loaded.stop == ["day"] and loaded.lemmas.count() == 2
+    one = spark.createDataFrame([("lovely sunny",), ("train station",)], "t string")
+    assert [r["pred"] for r in loaded.predict(one, "t").collect()] == [4, 9]
+
+
 def test_fit_on_train_keeps_the_vocabulary_of_the_train_part(corpus):
     docs = workflow.prepare_documents(corpus, "row")
     assert set(docs.columns) == {"row", "label", "text_clean", "tokens"}
