@@ -128,7 +128,8 @@ def _tfidf_joined(docs: DataFrame, vocabulary: DataFrame, id_col: str, terms: st
         .withColumn("_salt", salt)
     )
     shares = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1)))
-    weighted = counted.join(vocabulary.select("term", "idx", "idf").withColumn("_salt", shares), ["term", "_salt"])
+    salted = vocabulary.select("term", "idx", "idf").withColumn("_salt", shares)
+    weighted = counted.join(salted.hint("merge"), ["term", "_salt"])
     weighted = weighted.select(id_col, "term", "idx", (F.col("tf") * F.col("idf")).alias("weight"))
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(id_col)))
     return weighted.select(id_col, "term", "idx", (F.col("weight") / length).alias("tfidf"))

@@ -69,14 +69,15 @@ def _lookup_joined(
     entries = entries.select(id_col, "pos", F.col("e.key").alias("key"), F.col("e.own").alias("own"))
     salted = entries.withColumn("_salt", F.pmod(F.xxhash64(id_col, "pos"), F.lit(JOIN_SALTS)).cast("int"))
     shares = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1)))
-    joined = salted.join(dictionary.select("key", "value").withColumn("_salt", shares), ["key", "_salt"], "left")
+    known = dictionary.select("key", "value").withColumn("_salt", shares).hint("merge")
+    joined = salted.join(known, ["key", "_salt"], "left")
     value = F.coalesce("value", "own").alias("value")
     lists = joined.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", value))).alias("_list"))
     values = F.transform("_list", lambda e: e["value"])
     value_type = dictionary.schema["value"].dataType.simpleString()
     nothing = F.array().cast(f"array<{value_type}>")
     kept = [c for c in df.columns if c != output]
-    return df.join(lists, id_col, "left").withColumn(output, F.coalesce(values, nothing)).select(*kept, output)
+    return df.join(lists.hint("merge"), id_col, "left").withColumn(output, F.coalesce(values, nothing)).select(*kept, output)
 
 
 def lemmatize(

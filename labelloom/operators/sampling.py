@@ -178,8 +178,10 @@ def random_oversample(train: DataFrame, id_col: str, label: str, seed: int = 42)
     rows = ranked(minority, buckets, id_col, label, seed).withColumn(
         "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))
     )
+    # Merge-joined: Catalyst cannot see how many draws the blocks unfold to.
+    draws = oversampling_draws(counts, label, seed).hint("merge")
     copies = (
-        rows.join(oversampling_draws(counts, label, seed), [label, "rank", "salt"])
+        rows.join(draws, [label, "rank", "salt"])
         .withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
         .select(*columns, ((F.col("_turn") - 1) * F.col("_salts") + F.col("salt") + 1).alias("copy"))
     )

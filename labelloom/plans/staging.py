@@ -4,9 +4,11 @@ A staged table is parquet in the cluster's shared folder
 (``spark.checkpoint.dir``). It does three jobs: text is cleaned once instead of
 once per use, a lost executor costs one re-read instead of the whole lineage,
 and Catalyst knows the true size of the table. The last point is why the joins
-in this package carry no broadcast hints: a staged class table is broadcast
-when it is under ``spark.sql.autoBroadcastJoinThreshold`` and merge-joined,
-with AQE's skew handling, when it is not.
+with class tables carry no hints: a staged table is broadcast when it is under
+``spark.sql.autoBroadcastJoinThreshold`` and merge-joined, with AQE's skew
+handling, when it is not. Only a table measured by ``fits_in_memory`` is
+broadcast on request, and sides that unfold in ways Catalyst cannot estimate
+ask for a merge join.
 """
 
 from __future__ import annotations

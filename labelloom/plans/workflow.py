@@ -194,8 +194,8 @@ def prepare_fixed_length(
     """
     pairs = to_text_label(df, "narrow", keep=(id_col,)).withColumn("text", light_clean("text"))
     words = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split(F.lower("text"), " "))
-    docs = stage(pairs.withColumn("tokens", words))
-    split = stage(stratified_split(docs, id_col, "label", test_size, seed))
+    docs = stage(pairs.select(id_col, "label", words.alias("tokens")))
+    split = stratified_split(docs, id_col, "label", test_size, seed)
     train = split.filter("split = 'train'")
     vocabulary = fit_vocabulary(train, "tokens", max_features)
     encoded = encode_fixed_length(split, "tokens", vocabulary, id_col, max_length)

@@ -75,6 +75,16 @@ def test_vectorizing_needs_no_shuffle_and_no_python(docs):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_beyond_the_bound_nothing_is_broadcast(docs):
+    vocabulary = features.fit_vocabulary(docs, "terms", 4)
+    joined = features.tfidf(docs, vocabulary, "id", "terms", max_rows=0)
+    lemmas = vocabulary.selectExpr("term AS surface", "'n' AS pos", "term AS lemma")
+    looked_up = lookup.lemmatize(docs, "tokens", lemmas, "id", max_rows=0)
+    for df in (joined, looked_up):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 BOUNDS = [{}, {"max_rows": 0}]
 
 

@@ -87,6 +87,11 @@ def test_oversample_spreads_a_row_drawn_very_often(spark, monkeypatch):
     assert len({(r["id"], r["copy"]) for r in rows}) == 602
 
 
+def test_draws_are_never_broadcast(spark):
+    plan = sampling.random_oversample(frame(spark, {0: 3, 1: 50}), "id", "label")._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("SortMergeJoin") == 1
+
+
 def test_oversample_of_equal_classes_adds_nothing(spark):
     assert sampling.random_oversample(frame(spark, {0: 4, 1: 4}), "id", "label").count() == 8
 
