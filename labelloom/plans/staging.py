@@ -1,7 +1,7 @@
 """Where plans are cut, and how the size of a small join side is checked.
 
 A staged table is parquet in the cluster's shared folder
-(``spark.checkpoint.dir``). It does three jobs: text is cleaned once instead of
+(``spark.checkpoint.dir``, else below the warehouse). It does three jobs: text is cleaned once instead of
 once per use, a lost executor costs one re-read instead of the whole lineage,
 and Catalyst knows the true size of the table. The last point is why the joins
 with class tables carry no hints: a staged table is broadcast when it is under
@@ -13,7 +13,6 @@ ask for a merge join.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,20 +21,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 MAX_SHARED_ROWS = 1_000_000
 MAX_SHARED_BYTES = 64 * 1024 * 1024
 
-_local_roots: dict[str, str] = {}
-
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder of this session."""
+    """The shared folder of this session.
+
+    ``spark.checkpoint.dir`` where it is set, else a folder below the warehouse,
+    which Spark always has and which a cluster shares as well.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="labelloom-")
-    return _local_roots[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
 def staging_path(spark: SparkSession, kind: str = "stage") -> str:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from labelloom.plans import catalog, oracles
 
 TABLES = "documents labels conversations pages embeddings benchmark".split()
 TRAINED = {
@@ -17,7 +18,7 @@ TRAINED = {
     "save_and_load_model",
     "score_stream",
 }
-NAMES = sorted(contract.queries())
+NAMES = sorted(catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -29,8 +30,8 @@ def duck(small_dir):
 
 
 def test_every_query_but_the_trained_models_has_sql():
-    assert set(NAMES) - set(contract.oracle_sql()) == TRAINED
-    assert set(contract.oracle_sql()) <= set(NAMES)
+    assert set(NAMES) - set(oracles.oracle_sql()) == TRAINED
+    assert set(oracles.oracle_sql()) <= set(NAMES)
 
 
 def same(a, b):
