@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from labelloom.llm.labels import fold
+from labelloom.llm.language import fit_language, identify_language
 from labelloom.llm.lines import dedup_lines
+from labelloom.llm.quality import fit_quality, score_quality
 from labelloom.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +52,25 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document, learnt from the rows of two folds of three."""
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model = fit_quality(docs, labels, "quality", fold("doc_id", 3) != 1)
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    held_out = (fold("doc_id", 3) == 1).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learnt from the rows of three folds of four."""
+    docs = documents(spark, sf)
+    found = identify_language(docs.select("doc_id", "text"), fit_language(docs, fold("doc_id", 4) != 2))
+    held_out = (fold("doc_id", 4) == 2).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "ambiguous")
+
+
 @query
 def op10_top_k(spark: SparkSession, sf: str) -> DataFrame:
     """Ten largest inner products of every hundredth vector, among all others."""

@@ -178,7 +178,7 @@ def top_k(
         m = np.concatenate([_unpacked(v, dim) for v in part["v"]])
         ids, asks = part["id"].to_numpy(), np.flatnonzero(part["q"].to_numpy())
         scores = _product(m[asks], m)
-        scores = scores[np.arange(len(ids))[None, :] != asks[:, None]].reshape(len(asks), -1)
+        scores = scores[np.arange(len(ids))[None, :] != asks[:, None]].reshape(len(asks), len(ids) - 1)
         return pd.DataFrame(
             {
                 "block": [ids[0]], "cluster": [part["cluster"].iloc[0]], "ids": [ids.astype("<i8").tobytes()], "rows": [_packed(m)],
