@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from labelloom.llm.html import extract_main_text
 from labelloom.llm.labels import fold
 from labelloom.llm.language import fit_language, identify_language
 from labelloom.llm.lines import dedup_lines
 from labelloom.llm.quality import fit_quality, score_quality
 from labelloom.llm.topk import top_k
+from labelloom.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +27,13 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+@query
+def op1_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    pages = extract_main_text(spark.read.parquet(f"{sf}/pages.parquet"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of at least three documents stay only in the largest doc_id."""
@@ -71,6 +80,16 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "ambiguous")
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document, learnt from the rows of two folds of three."""
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model = fit_toxicity(docs, labels, "toxic", fold("doc_id", 3) != 1)
+    scored = score_toxicity(docs.select("doc_id", "text"), model)
+    held_out = (fold("doc_id", 3) == 1).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op10_top_k(spark: SparkSession, sf: str) -> DataFrame:
     """Ten largest inner products of every hundredth vector, among all others."""
