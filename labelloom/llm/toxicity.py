@@ -22,10 +22,11 @@ ACCENTED = "àâäáãåæçèéêëìíîïñòóôöõøœùúûüýÿß"
 # ------------------------------------------------------------------------------
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + ACCENTED
 BOUNDARY, OTHER, SYMBOLS = 0, 62, 64
-SWAP, DROP, KEEP_SIGN = 1.0, 0.7, 4.0  # costs of reading a sign as a letter, of dropping it, of keeping it
+SWAP, DROP, DROP_SIGN = 1.0, 0.7, 8.0  # costs of reading a sign as a letter, of dropping a repeat or separator, of dropping a sign
 MAX_TERMS = 5_000
 LEAST_DOCS = 5
 PREFIXES = (4, 5, 6)
+LEAST_EVIDENCE = 22.0  # of a log-likelihood ratio, so that of a million terms none passes by chance
 
 _CODE = np.full(0x250, BOUNDARY, dtype=np.int64)
 for _c in range(0x250):
@@ -34,13 +35,50 @@ for _c in range(0x250):
 for _i, _letter in enumerate(LETTERS):
     _CODE[ord(_letter)] = _i + 1
 _SIGNS = re.escape("".join(DISGUISES))
-# A disguised word: signs inside or before letters; a letter three times or more; single letters pulled apart.
-DISGUISED = re.compile(
-    rf"(?<![\w{_SIGNS}])(?:[^\W\d_]|[{_SIGNS}])*(?:[^\W\d_][{_SIGNS}]+|[{_SIGNS}]+[^\W\d_])(?:[^\W\d_]|[{_SIGNS}])*(?![\w{_SIGNS}])"
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
-    rf"|(?<![\w{_SIGNS}])(?:[^\W\d_]|[{_SIGNS}])(?:[{re.escape(SEPARATORS)}]{{1,2}}(?:[^\W\d_]|[{_SIGNS}])){{3,}}(?![\w{_SIGNS}])"
+_CARRIER = _CODE > 0  # what may be a letter of a disguised word
+for _sign in DISGUISES:
+    if ord(_sign) < 0x250:
+        _CARRIER[ord(_sign)] = True
+# Words with signs inside or before their letters; single letters pulled apart; a letter three times or more.
+_MIXED = re.compile(rf"[^\W\d_{_SIGNS}]*(?:[^\W\d_][{_SIGNS}]+|[{_SIGNS}]+[^\W\d_])(?:[^\W\d_]|[{_SIGNS}])*")
+_APART = re.compile(
+    rf"(?<![\w{_SIGNS}])(?:[^\W\d_]|[{_SIGNS}])(?:[{re.escape(SEPARATORS)}]{{1,2}}(?:[^\W\d_]|[{_SIGNS}])){{3,}}(?![\w{_SIGNS}])"
 )
-_WORD = re.compile(r"[^\W\d_]+")
+_TRIPLE = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+_WORDS = re.compile(r"[^\W\d_]+")
+_TAIL = re.compile(r"(?:[.,;:!?)\]\"'\u2026]|([^\w\s])\1+)+$")
+
+
+def pulled_apart(text: str) -> bool:
+    """Whether four single letters or signs follow each other with one or two characters between."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    carrier = np.concatenate([[False], np.where(points < 0x250, _CARRIER[np.minimum(points, 0x24F)], True), [False]])
+    single = np.flatnonzero(carrier[1:-1] & ~carrier[:-2] & ~carrier[2:])
+    close = np.diff(single) <= 3
+    return bool((close[:-2] & close[1:-1] & close[2:]).any()) if len(close) > 2 else False
+
+
+def disguised(text: str, odd: list[str]) -> set[str]:
+    """The words of a lower-cased text that may hide another one.
+
+    ``odd`` are its space-separated pieces that are not letters alone. A word is
+    disguised when signs stand inside or before its letters, when a letter comes
+    three times or more, or when single letters are pulled apart (there, also
+    without the first or the last, which may be words of one letter).
+    """
+    found = set()
+    for piece in odd:
+        bare = _TAIL.sub("", piece)
+        if not bare.isalpha() and _MIXED.fullmatch(bare):
+            found.add(bare)
+    if any(c * 3 in text for c in LETTERS):
+        found.update(m.group() for m in _TRIPLE.finditer(text))
+    if pulled_apart(text):
+        for m in _APART.finditer(text):
+            run = m.group()
+            tight = [x for x in run.split() if len(x) > 6]  # another separator than the space around it
+            found.update(tight or {run[a : len(run) - b] for a in (0, 2) for b in (0, 2)})
+    return found
 
 
 def symbols(text: str) -> np.ndarray:
@@ -94,7 +132,7 @@ def decode(word: str, costs: np.ndarray) -> str:
         if c.isalpha():
             options = [(c, 0.0)] + ([("", DROP)] if c == before else [])
         else:
-            options = [(x, SWAP) for x in DISGUISES.get(c, "")] + [("", DROP if c in SEPARATORS else KEEP_SIGN)]
+            options = [(x, SWAP) for x in DISGUISES.get(c, "")] + [("", DROP if c in SEPARATORS else DROP_SIGN)]
         before = c
         nxt: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, tail) in paths.items():
@@ -131,12 +169,16 @@ class Restorer:
     def words(self, text: str) -> tuple[set[str], set[str]]:
         """``(plain words, restored words)``, lower-cased."""
         text = text.lower()
-        found = {self.restored(m.group()) for m in DISGUISED.finditer(text)}
-        return set(_WORD.findall(text)), {w for w in found if w}
+        pieces = set(text.split())
+        plain = {p for p in pieces if p.isalpha()}
+        odd = [p for p in pieces if not p.isalpha()]
+        plain.update(_WORDS.findall(" ".join(odd)))
+        found = {self.restored(w) for w in disguised(text, odd)}
+        return plain, {w for w in found if w}
 
 
 def terms(words: set[str]) -> set[str]:
-    """The words and their first letters: ``w:`` whole, ``4:`` ``5:`` ``6:`` prefixes."""
+    """The words and their first letters: ``w:`` whole, ``4:`` to ``6:`` prefixes."""
     out = {"w:" + w for w in words}
     for k in PREFIXES:
         out |= {f"{k}:" + w[:k] for w in words if len(w) > k}
@@ -153,7 +195,7 @@ class ToxicityModel:
     share: float = 0.05
 
     def evidence(self, restorer: Restorer, text: str) -> tuple[float, float, float]:
-        """Largest weight, sum of each word's largest weight, and words with any, per whole text."""
+        """Largest weight, sum of each distinct word's largest weight, and that sum over the root of the text's size."""
         plain, restored = restorer.words(text)
         found = []
         for w in plain | restored:
@@ -163,21 +205,22 @@ class ToxicityModel:
                     best = max(best, self.weights.get(f"{k}:" + w[:k], 0.0))
             if best:
                 found.append(best)
-        return (max(found, default=0.0), min(sum(found), 60.0), np.log1p(len(found)))
+        total = sum(found)
+        return (max(found, default=0.0), min(total, 60.0), min(total / np.sqrt(1 + len(plain) / 100), 60.0))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope[0] + x @ self.slope[1:], -35, 35)))
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Logistic regression by Newton steps; slopes below 0 are not meant to occur and are cut off."""
+    """Ridge logistic regression by Newton steps."""
     a = np.concatenate([np.ones((len(x), 1)), x], axis=1)
     w = np.zeros(a.shape[1])
     keep = np.diag([1e-6, *[ridge] * x.shape[1]])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
         w = w - np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + keep + 1e-9 * np.eye(len(w)), a.T @ (p - y) + keep @ w)
-    return np.concatenate([w[:1], np.maximum(w[1:], 0)])
+    return w
 
 
 def fit_toxicity(
@@ -214,7 +257,9 @@ def fit_toxicity(
         return model
     heavy = per_term.where(F.col("pos") >= LEAST_DOCS)
     heavy = heavy.withColumn("all_pos", F.lit(pos)).withColumn("all_docs", F.lit(n)).withColumn("odds", odds)
-    heavy = heavy.where("odds > 2").orderBy(F.desc("odds"), "term").limit(MAX_TERMS).collect()
+    expected = "docs * all_pos / all_docs"
+    ratio = f"2 * (pos * ln(pos / ({expected})) + (docs - pos) * ln(greatest(docs - pos, 0.5) / (docs - {expected})))"
+    heavy = heavy.where(f"odds > 2 AND {ratio} > {LEAST_EVIDENCE}").orderBy(F.desc("odds"), "term").limit(MAX_TERMS).collect()
     model.weights = {r["term"]: float(r["odds"]) for r in heavy}
     shared = spark.sparkContext.broadcast(model)
 
