@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from labelloom.llm.decontaminate import find_leaks
 from labelloom.llm.html import extract_main_text
 from labelloom.llm.labels import fold
 from labelloom.llm.language import fit_language, identify_language
 from labelloom.llm.lines import dedup_lines
+from labelloom.llm.mixing import mix_sources
+from labelloom.llm.near import near_duplicates
 from labelloom.llm.quality import fit_quality, score_quality
+from labelloom.llm.tokens import count_tokens, read_vocabulary
 from labelloom.llm.topk import top_k
 from labelloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -34,6 +38,19 @@ def op1_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every document."""
+    return count_tokens(documents(spark, sf).select("doc_id", "text"), read_vocabulary()).select("doc_id", "n_tokens")
+
+
+@query
+def op3_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Block and slot of every document in a mixture by the square root of each source's size."""
+    mixed = mix_sources(documents(spark, sf).select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "stream", "block", "slot")
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of at least three documents stay only in the largest doc_id."""
@@ -61,6 +78,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query
+def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Class of every document under links of 0.8 or more."""
+    return near_duplicates(documents(spark, sf))
+
+
 @query
 def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Quality of every document, learnt from the rows of two folds of three."""
@@ -80,6 +103,12 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "ambiguous")
 
 
+@query
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold at least half of a benchmark item in tiles of five words or more."""
+    return find_leaks(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity of every document, learnt from the rows of two folds of three."""
