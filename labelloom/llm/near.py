@@ -150,16 +150,15 @@ def _overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return inter / max(int(a[1].sum() + b[1].sum()) - inter, 1)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _verify(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts' multisets of shingles are similar enough; staged.
 
-    Texts of the pairs' documents are fetched once. The pairs of one ``a`` are
+    ``texts`` holds the candidates' texts. The pairs of one ``a`` are
     dealt into groups of about ``FAN``; a task reads a group's first text and
     then compares the others as they come, so no group is held.
     """
     pairs = stage(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stage(docs.join(ids, "id").groupBy("id").agg(F.min("text").alias("text")))
+    texts = texts.hint("merge")
     fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("fan"))
     dealt = stage(pairs.join(stage(fans), "a").select("a", "b", F.pmod(F.xxhash64("b"), "fan").cast("int").alias("g")))
     firsts = dealt.select("a", "g").distinct().join(texts, F.col("a") == F.col("id")).select("a", "g", F.lit(None).cast("long").alias("b"), "text")
@@ -213,17 +212,46 @@ def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     return pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
-def _estimated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components whose sketches agree in at least ESTIMATE of their components."""
+def _cards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(id, bag)``: the sorted 32-bit hashes of a text's shingles, each occurrence counted as another value."""
+    for batch in batches:
+        ids = batch["id"].to_numpy()
+        for first, last, held in chunks(batch["text"].tolist()):
+            grams, at = chunk_shingles(*chunk_words(held))
+            bags = []
+            for i in range(last - first):
+                own = np.sort(grams[at[i] : at[i + 1]])
+                nth = np.arange(len(own)) - np.searchsorted(own, own)
+                bags.append(np.unique(mix(own + nth.astype(np.uint64) * np.uint64(GOLDEN)).astype(np.uint32)).tobytes())
+            yield pd.DataFrame({"id": ids[first:last], "bag": bags})
+
+
+def _cell_links(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """One pair of similar bags for each outer node and other component, if there is any.
+
+    A pair is looked at in the first band that its nodes share, and only where
+    their sketches agree in at least ESTIMATE of the components; the closest
+    sketches come first.
+    """
     for run in _runs(batches, ["bucket", "oc", "fc"]):
-        side = run["outer"].to_numpy()
+        side, node, comp = run["outer"].to_numpy(), run["node"].to_numpy(), run["comp"].to_numpy()
         sketch = np.frombuffer(b"".join(run["sketch"]), dtype=np.uint16).reshape(len(run), COMPONENTS)
-        node, comp = run["node"].to_numpy(), run["comp"].to_numpy()
-        inner_sketch, inner, inner_comp = sketch[~side], node[~side], comp[~side]
+        bands = np.stack(run["bands"].to_numpy())
+        bags = [np.frombuffer(b, dtype=np.uint32) for b in run["bag"]]
+        band = int(np.flatnonzero(bands[0] == run["bucket"].iloc[0])[0])
+        inner = np.flatnonzero(~side)
         found = []
-        for row, a, c in zip(sketch[side], node[side], comp[side]):
-            close = (inner_sketch == row).mean(axis=1) >= ESTIMATE
-            found += [(a, b) for b in inner[close & (inner_comp != c)]]
+        for o in np.flatnonzero(side):
+            other = inner[comp[inner] != comp[o]]
+            agreed = (sketch[other] == sketch[o]).mean(axis=1)
+            fresh = (agreed >= ESTIMATE) & ~(bands[other, :band] == bands[o, :band]).any(axis=1)
+            joined: set[int] = set()
+            for f in other[fresh][np.argsort(-agreed[fresh], kind="stable")]:
+                if comp[f] not in joined:
+                    both = len(np.intersect1d(bags[o], bags[f], assume_unique=True))
+                    if both >= similarity * (len(bags[o]) + len(bags[f]) - both):
+                        joined.add(comp[f])
+                        found.append((node[o], node[f]))
         if found:
             yield pd.DataFrame(found, columns=["a", "b"])
 
@@ -240,10 +268,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is compared with the least of its bucket, then with a random one of another
     component. These stars are linear in the bucket's size and join nearly all
     of a group. Buckets that still hold several components are searched in
-    blocks of ``CHUNK`` by ``CHUNK`` sketches, nodes outside the bucket's largest
-    component against all, for pairs of different components, and those are
-    verified. So every pair of a bucket is linked, tested, or ruled out by its
-    sketch, or lies within one class already.
+    blocks of ``CHUNK`` by ``CHUNK`` nodes, those outside the bucket's largest
+    component against all, for pairs of different components: by sketch, then by
+    the multisets themselves. Only pairs that link leave the task, and are
+    verified on the texts. So every pair of a bucket is linked, tested, ruled
+    out by its sketch, or lies within one class already.
 
     A text of one to four words is one shingle; one without words (null and empty, too) is
     a class of its own, as is a row without id, whose class is null. Rows that repeat an id are
@@ -266,7 +295,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = stage(placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "lo"))
     met = stage(placed.join(full, "bucket"))
     tested = stage(met.where("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct())
-    links = _verify(named, tested, similarity)
+    texts = named.join(met.select(F.col("node").alias("id")).distinct().hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text"))
+    texts = stage(texts)
+    links = _verify(texts, tested, similarity)
     labels = components(links)
 
     crowded = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("bucket")
@@ -278,7 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = stage(split.where("c0 < c1").select("bucket", F.col("pick.node").alias("rep"), F.col("pick.comp").alias("rep_comp")))
     star = marked.join(split, "bucket").where("comp <> rep_comp").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     more = stage(_untested(star, tested))
-    links = links.union(_verify(named, more, similarity))
+    links = links.union(_verify(texts, more, similarity))
     labels, tested = components(links), tested.union(more)
 
     marked = stage(_labelled(met.join(split.select("bucket"), "bucket"), labels))
@@ -294,11 +325,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "bucket", "node", "comp", F.explode(F.sequence(F.lit(0), fcs - 1)).alias("fc"), F.pmod("h", ocs).cast("int").alias("oc"), F.lit(True).alias("outer")
     )
     cells = stage(inner.select(*(order := ["bucket", "oc", "fc", "node", "comp", "outer"])).union(outer.select(*order)))
-    sketches = sig.join(cells.select(F.col("node").alias("id")).distinct(), "id").groupBy("id").agg(F.min("sketch").alias("sketch"))
-    cells = cells.join(stage(sketches), F.col("node") == F.col("id")).drop("id")
+    own = stage(cells.select(F.col("node").alias("id")).distinct())
+    sketches = sig.join(own, "id").groupBy("id").agg(F.min(F.struct("bands", "sketch")).alias("s"))
+    cards = texts.join(own, "id").mapInPandas(_cards, "id long, bag binary").join(sketches, "id")
+    cards = stage(cards.select("id", "s.bands", "s.sketch", "bag"))
+    cells = cells.join(cards, F.col("node") == F.col("id")).drop("id")
     cells = cells.repartition("bucket", "oc", "fc").sortWithinPartitions("bucket", "oc", "fc")
-    rest = stage(_untested(cells.mapInPandas(_estimated, "a long, b long"), tested))
-    links = stage(links.union(_verify(named, rest, similarity)))
+    rest = stage(_untested(cells.mapInPandas(lambda parts: _cell_links(parts, similarity), "a long, b long"), tested))
+    links = stage(links.union(_verify(texts, rest, similarity)))
     labels = components(links)
 
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
