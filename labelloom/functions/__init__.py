@@ -10,6 +10,7 @@ from labelloom.functions.text import (
     null_text_to_empty,
     remove_stopwords,
     tokenize,
+    vectorizer_tokens,
 )
 from labelloom.functions.vectors import argmax, round_metrics, softmax_nll
 
@@ -28,4 +29,5 @@ __all__ = [
     "round_metrics",
     "softmax_nll",
     "tokenize",
+    "vectorizer_tokens",
 ]

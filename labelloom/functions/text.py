@@ -26,6 +26,9 @@ URL_STRICT = rf"https?://[^{SPACE}]+"
 HASH_SIGN = r"#"
 SPACES = rf"[{SPACE}]+"
 
+# A word of the vectorizer: two word characters or more.
+VECTORIZER_WORD = rf"[{WORD}]{{2,}}"
+
 # Words the usual English word tokenizer splits in two.
 FUSED_WORDS = r"\b(can(?=not\b)|gim(?=me\b)|gon(?=na\b)|got(?=ta\b)|lem(?=me\b)|wan(?=na\b))"
 
@@ -128,6 +131,15 @@ def join_tokens(tokens: Column | str) -> Column:
     return F.array_join(F.coalesce(_col(tokens), F.array().cast("array<string>")), " ")
 
 
+def vectorizer_tokens(text: Column | str) -> Column:
+    """Lower-cased words of two or more word characters (letters, digits, ``_``), the unit of the vectorizer.
+
+    No words for a null text.
+    """
+    lowered = F.lower(F.coalesce(_col(text), F.lit("")))
+    return F.regexp_extract_all(lowered, F.lit(VECTORIZER_WORD), F.lit(0))
+
+
 def ngrams(tokens: Column | str, low: int = 1, high: int = 2) -> Column:
     """All n-grams of the tokens for n from ``low`` to ``high``, in one array.
 

@@ -7,6 +7,10 @@ because a common token may make up a third of all tokens.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,12 +31,14 @@ def lookup_array(
     max_rows: int = MAX_SHARED_ROWS,
     max_bytes: int = MAX_SHARED_BYTES,
 ) -> DataFrame:
-    """Adds ``output``: ``dictionary`` (``key``, ``value``, unique keys) per element.
+    """Adds ``output``: ``dictionary`` (``key``, ``value``) per element.
 
-    Elements not found take the ``fallback``: a constant Column, or the name of
-    an array column of the same length. The join for large dictionaries needs a
-    unique ``id_col``.
+    A key with several values counts with the least. Elements not found take the
+    ``fallback``: a constant Column, or the name of an array column of the same
+    length. A null array stays null. The join for large dictionaries needs a
+    unique ``id_col``; both ways give the same result.
     """
+    dictionary = dictionary.groupBy("key").agg(F.min("value").alias("value"))
     if not fits_in_memory(dictionary, max_rows, max_bytes):
         return _lookup_joined(df, keys, dictionary, id_col, fallback, output)
     value_type = dictionary.schema["value"].dataType.simpleString()
@@ -42,20 +48,22 @@ def lookup_array(
     )
 
     @F.arrow_udf(f"array<{value_type}>")
-    def found(lists: pa.Array) -> pa.Array:
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, values = shared.value
-        sizes = pc.fill_null(pc.list_value_length(lists), 0)
-        ends = pc.cumulative_sum(sizes).cast(pa.int32())
-        starts = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-        flat = lists.flatten().cast(pa.string())
-        return pa.ListArray.from_arrays(starts, values.take(pc.index_in(flat, value_set=known)))
+        index = pd.Index(known.to_numpy(zero_copy_only=False))  # hashed once in a task
+        for lists in batches:
+            sizes = pc.fill_null(pc.list_value_length(lists), 0)
+            ends = pc.cumulative_sum(sizes).cast(pa.int32())
+            starts = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+            place = index.get_indexer(lists.flatten().cast(pa.string()).to_numpy(zero_copy_only=False))
+            yield pa.ListArray.from_arrays(starts, values.take(pa.array(place, mask=np.less(place, 0))))
 
     hits = df.withColumn("_hits", found(F.col(keys)))
     if isinstance(fallback, str):
         merged = F.zip_with("_hits", fallback, lambda hit, own: F.coalesce(hit, own))
     else:
         merged = F.transform("_hits", lambda hit: F.coalesce(hit, fallback))
-    return hits.withColumn(output, merged).drop("_hits")
+    return hits.withColumn(output, F.when(F.col(keys).isNotNull(), merged)).drop("_hits")
 
 
 def _lookup_joined(
@@ -77,7 +85,8 @@ def _lookup_joined(
     value_type = dictionary.schema["value"].dataType.simpleString()
     nothing = F.array().cast(f"array<{value_type}>")
     kept = [c for c in df.columns if c != output]
-    return df.join(lists.hint("merge"), id_col, "left").withColumn(output, F.coalesce(values, nothing)).select(*kept, output)
+    whole = F.when(F.col(keys).isNotNull(), F.coalesce(values, nothing))
+    return df.join(lists.hint("merge"), id_col, "left").withColumn(output, whole).select(*kept, output)
 
 
 def lemmatize(
@@ -115,9 +124,10 @@ def encode_fixed_length(
     """Adds ``input_ids`` and ``attention_mask``, both of length ``max_length``.
 
     Word ids are the vocabulary's ``idx`` + 2; 0 pads and 1 stands for an unknown
-    word. Longer texts are cut at ``max_length``, which is the operator's purpose.
+    word. A null array counts as an empty one. Longer texts are cut at ``max_length``, which is the operator's purpose.
     """
-    cut = df.withColumn("_cut", F.slice(tokens, 1, max_length))
+    words = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    cut = df.withColumn("_cut", F.slice(words, 1, max_length))
     ids = vocabulary.select(F.col("term").alias("key"), (F.col("idx") + 2).cast("int").alias("value"))
     found = lookup_array(cut, "_cut", ids, id_col, F.lit(1), "_ids", **bounds)
     padding = F.array_repeat(F.lit(0), F.lit(max_length) - F.size("_ids"))

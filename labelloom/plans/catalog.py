@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelloom.functions import (
@@ -24,6 +25,7 @@ from labelloom.functions import (
     round_metrics,
     softmax_nll,
     tokenize,
+    vectorizer_tokens,
 )
 from labelloom.operators import columns, evaluate, features, lookup, models, profile, sampling
 from labelloom.plans.staging import stage, staging_path
@@ -99,9 +101,9 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
-    """The first ten components of each embedding stand in for class scores."""
-    first = F.slice("embedding", 1, 10).cast("array<double>").alias("z")
-    return read(spark, sf, "embeddings", "vec_id", "vec_id", "embedding", "label").select("vec_id", "label", first)
+    """The components of each embedding stand in for class scores."""
+    scores = F.col("embedding").cast("array<double>").alias("z")
+    return read(spark, sf, "embeddings", "vec_id", "vec_id", "embedding", "label").select("vec_id", "label", scores)
 
 
 def arriving_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,11 +161,9 @@ def drop_null_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def null_text_to_empty_query(spark: SparkSession, sf: str) -> DataFrame:
-    first = spark.read.parquet(f"{sf}/conversations.parquet").filter("turn = 0")
-    answered = documents(spark, sf, "n_chars").join(
-        first.select(F.col("conv_id").alias("doc_id"), "text"), "doc_id", "left"
-    )
-    return answered.select("doc_id", null_text_to_empty("text").alias("text"))
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), "turn", "text")
+    answered = documents(spark, sf, "n_chars").join(turns, "doc_id", "left")
+    return answered.select("doc_id", "turn", null_text_to_empty("text").alias("text"))
 
 
 @query
@@ -339,7 +339,7 @@ def _ids_as_text(df: DataFrame, *cols: str) -> DataFrame:
 @query
 def encode_fixed_length(spark: SparkSession, sf: str) -> DataFrame:
     docs = corpus_terms(spark, sf)
-    vocabulary = features.fit_vocabulary(docs, "tokens", 2000)
+    vocabulary = features.fit_vocabulary(docs, "tokens")
     return _ids_as_text(lookup.encode_fixed_length(docs.select("doc_id", "tokens"), "tokens", vocabulary, "doc_id"))
 
 
@@ -458,6 +458,20 @@ def select_best(spark: SparkSession, sf: str) -> DataFrame:
 # --- features, sampling ----------------------------------------------------
 
 
+@query
+def vectorizer_tokens_query(spark: SparkSession, sf: str) -> DataFrame:
+    words = documents(spark, sf).select("doc_id", vectorizer_tokens("text").alias("w"))
+    return words.select("doc_id", F.size("w").cast("long").alias("n_tokens"), join_tokens("w").alias("tokens"))
+
+
+@query
+def reused_text_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """Word counts of texts that come cleaned already, whatever their case, spaces and signs."""
+    given = corpus(spark, sf).withColumn("text_clean", F.concat(F.lit("Two  SPACES a u, "), "text"))
+    docs = prepare_documents(given, "doc_id")
+    return profile.term_stats(docs, "tokens").select("term", "cf", "df")
+
+
 @query
 def fit_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return features.fit_vocabulary(corpus_terms(spark, sf), "terms").select("term", "idx", "cf", "df")
@@ -465,7 +479,7 @@ def fit_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fit_idf(spark: SparkSession, sf: str) -> DataFrame:
-    return features.fit_vocabulary(corpus_terms(spark, sf), "terms", 2000).select("term", F.round("idf", 6).alias("idf"))
+    return features.fit_vocabulary(corpus_terms(spark, sf), "terms").select("term", F.round("idf", 6).alias("idf"))
 
 
 def _rounded(long: DataFrame) -> DataFrame:
@@ -488,7 +502,7 @@ def tfidf_joined(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def tfidf_train_fit(spark: SparkSession, sf: str) -> DataFrame:
     docs = sampling.stratified_split(corpus_terms(spark, sf), "doc_id", "class")
-    vocabulary = features.fit_vocabulary(docs.filter("split = 'train'"), "terms", 2000)
+    vocabulary = features.fit_vocabulary(docs.filter("split = 'train'"), "terms")
     return _rounded(features.tfidf(docs, vocabulary, "doc_id", "terms"))
 
 
@@ -551,8 +565,8 @@ def score_with(spark: SparkSession, sf: str) -> DataFrame:
 
     def length_rule():
         def predict(batch):
-            pick = [0 if n % 5 == 0 else 1 if n % 3 == 0 else 2 for n in batch["n_chars"]]
-            return [[1.0 if i == p else 0.0 for i in range(3)] for p in pick]
+            n = batch["n_chars"].to_numpy()
+            return np.eye(3)[np.where(n % 5 == 0, 0, np.where(n % 3 == 0, 1, 2))]
 
         return predict
 

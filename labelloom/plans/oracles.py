@@ -112,7 +112,7 @@ report AS (
   UNION ALL SELECT model, 3, NULL, 'weighted avg', sum(p * support) / sum(support), sum(r * support) / sum(support),
                    sum(f * support) / sum(support), sum(support) FROM scores GROUP BY model)"""
 
-LOGITS = "logits AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding[1:10]] AS z FROM embeddings)"
+LOGITS = "logits AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS z FROM embeddings)"
 NLL = """
 flat AS (SELECT vec_id, label, unnest(z) AS v, generate_subscripts(z, 1) - 1 AS j FROM logits),
 nll AS (SELECT vec_id, label, ln(sum(exp(v - top))) + max(top) - max(CASE WHEN j = label THEN v END) AS nll
@@ -125,7 +125,7 @@ voted AS (SELECT *, hate_speech + offensive_language + neither + CASE WHEN n_cha
                  greatest(hate_speech, offensive_language, neither) AS top FROM votes)"""
 
 
-def _with(*parts: str, recursive: bool = False) -> str:
+def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts) + " "
 
 
@@ -181,7 +181,7 @@ stats AS (SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM ke
             UNION ALL SELECT 'pages', 'narrow', 'url', 'page_id', count(*), sum(length(url))::BIGINT, sum(page_id)::BIGINT FROM pages""",
         "to_text_label": f"WITH {PARTLY} SELECT doc_id, text, CAST(class AS INTEGER) AS label FROM partly WHERE class IS NOT NULL AND text IS NOT NULL",
         "drop_null_labels": f"WITH {PARTLY} SELECT source, count(*) AS n FROM partly WHERE class IS NOT NULL GROUP BY source",
-        "null_text_to_empty": "SELECT d.doc_id, coalesce(c.text, '') AS text FROM documents d LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) c ON c.conv_id = d.doc_id",
+        "null_text_to_empty": "SELECT d.doc_id, c.turn, coalesce(c.text, '') AS text FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id",
         "reuse_or_clean": _with(docs_words) + f"""SELECT t.doc_id, t.text_clean AS recomputed, lower(d.text) AS reused
             FROM ({content}) t JOIN documents d USING (doc_id)""",
         "keep_columns": "SELECT doc_id, lang, n_chars FROM documents",
@@ -204,17 +204,17 @@ stats AS (SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM ke
         "lemmatize_nouns": _with(docs_words, dictionary) + lemmatized.format(pos="'n'"),
         "ngrams": _with(docs_words, GRAMS) + """SELECT c.doc_id, count(term) AS n_terms, coalesce(string_agg(term, '|' ORDER BY kind, pos), '') AS terms
             FROM cleaned c LEFT JOIN grams USING (doc_id) GROUP BY c.doc_id""",
-        "encode_fixed_length": _with(CORPUS, words("corpus"), "stats AS (SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM kept GROUP BY w)", vocab(k=2000), encoded)
+        "encode_fixed_length": _with(CORPUS, words("corpus"), "stats AS (SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM kept GROUP BY w)", vocab(), encoded)
         + f"SELECT doc_id, {padded} FROM corpus LEFT JOIN ids USING (doc_id)",
         "argmax": _with(LOGITS) + "SELECT vec_id, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS pred FROM logits",
         "softmax_nll": _with(LOGITS, NLL) + "SELECT vec_id, round(nll, 6) AS nll FROM nll",
         "weighted_cross_entropy": losses + """SELECT 'plain' AS kind, round(avg(nll), 6) AS loss FROM nll
             UNION ALL SELECT 'weighted', round(sum(weight * nll) / sum(weight), 6) FROM nll JOIN weights USING (label)""",
-        "logit_metrics": _with("preds AS (SELECT 'm' AS model, 0 AS ordinal, label AS class, list_position(z, list_max(z)) - 1 AS pred FROM (SELECT label, embedding[1:10] AS z FROM embeddings))", PER_CLASS)
+        "logit_metrics": _with("preds AS (SELECT 'm' AS model, 0 AS ordinal, label AS class, list_position(z, list_max(z)) - 1 AS pred FROM (SELECT label, embedding AS z FROM embeddings))", PER_CLASS)
         + f"SELECT {rounded.format(d=6)} FROM metrics",
         "class_distribution": f"WITH {PARTLY} SELECT class, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS share_pct FROM partly WHERE class IS NOT NULL GROUP BY class",
         "class_distribution_first_seen": "SELECT role, count(*) AS n, min(conv_id) AS first_seen, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS share_pct FROM conversations WHERE role IS NOT NULL GROUP BY role",
-        "empty_text_rate": _with(words("conversations", "conv_id, turn").replace("PARTITION BY conv_id, turn", "PARTITION BY conv_id, turn"))
+        "empty_text_rate": _with(words("conversations", "conv_id, turn"))
         + """SELECT count(*) AS n, sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_empty, round(sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END)::DOUBLE / count(*), 6) AS empty_rate
             FROM cleaned LEFT JOIN (SELECT conv_id, turn, count(*) AS k FROM kept GROUP BY ALL) USING (conv_id, turn)""",
         "row_counts": _with(CORPUS, split()) + "SELECT split, count(*) AS n FROM splitted GROUP BY split UNION ALL SELECT 'all', count(*) FROM splitted",
@@ -226,19 +226,24 @@ stats AS (SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM ke
             count(*) FILTER (pred = 2) AS pred_2 FROM preds WHERE model = 'ByLength' GROUP BY class""",
         "per_class_report": report + "SELECT model, ordinal, name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM report",
         "weighted_metrics": report + f"SELECT model, {rounded.format(d=6)} FROM metrics",
-        "report_text": report + f"""SELECT {row} || ' ' || lpad(CAST(support::BIGINT AS VARCHAR), 9, ' ') AS value FROM report WHERE model = 'Mostly'
+        "report_text": report + f"""SELECT {row} || ' ' || lpad(CAST(support::BIGINT AS VARCHAR), CAST(greatest(9, length(CAST(support::BIGINT AS VARCHAR))) AS INTEGER), ' ') AS value FROM report WHERE model = 'Mostly'
             UNION ALL SELECT '' UNION ALL SELECT '' UNION ALL SELECT lpad('', 12, ' ') || '  ' || lpad('precision', 9, ' ') || ' ' || lpad('recall', 9, ' ') || ' ' || lpad('f1-score', 9, ' ') || ' ' || lpad('support', 9, ' ')""",
         "distinct_labels": "SELECT DISTINCT role FROM conversations WHERE role IS NOT NULL ORDER BY role",
         "compare_models": report + f"SELECT model, {rounded.format(d=4)} FROM metrics",
         "select_best": report + "SELECT model, round(f1, 6) AS f1 FROM metrics ORDER BY metrics.f1 DESC, ordinal LIMIT 1",
         "fit_vocabulary": _with(CORPUS, words("corpus"), GRAMS, vocab()) + "SELECT term, idx, cf, df FROM vocab",
-        "fit_idf": _with(CORPUS, words("corpus"), GRAMS, vocab(k=2000)) + "SELECT term, round(idf, 6) AS idf FROM vocab",
+        "vectorizer_tokens": r"""SELECT doc_id, len(w) AS n_tokens, array_to_string(w, ' ') AS tokens
+            FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS w FROM documents)""",
+        "reused_text_vocabulary": r"""SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM (
+            SELECT doc_id, unnest(regexp_extract_all(lower('Two  SPACES a u, ' || text), '[\p{L}\p{N}_]{2,}')) AS w
+            FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL) GROUP BY w""",
+        "fit_idf": _with(CORPUS, words("corpus"), GRAMS, vocab()) + "SELECT term, round(idf, 6) AS idf FROM vocab",
         "tfidf": tfidf,
         "tfidf_joined": tfidf,
         "tfidf_train_fit": _with(CORPUS, split(), words("corpus"), GRAMS.replace("stats AS", "all_stats AS"),
             "train_rows AS (SELECT doc_id FROM splitted WHERE split = 'train')",
             "stats AS (SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM grams WHERE doc_id IN (SELECT doc_id FROM train_rows) GROUP BY term)",
-            vocab("train_rows", 2000), tfidf_cte()) + "SELECT doc_id, term, idx, round(tfidf, 6) AS tfidf FROM tfidf",
+            vocab("train_rows"), tfidf_cte()) + "SELECT doc_id, term, idx, round(tfidf, 6) AS tfidf FROM tfidf",
         "to_vectors": _with(CORPUS, words("corpus"), GRAMS, vocab(), tfidf_cte())
         + "SELECT doc_id, count(idx) AS n_terms, round(coalesce(sqrt(sum(tfidf * tfidf)), 0), 6) AS norm FROM corpus LEFT JOIN tfidf USING (doc_id) GROUP BY doc_id",
         "stratified_split": _with(CORPUS, split()) + "SELECT doc_id, class, split FROM splitted",

@@ -16,7 +16,7 @@ from labelloom.functions.text import (
     join_tokens,
     light_clean,
     ngrams,
-    tokenize,
+    vectorizer_tokens,
 )
 from labelloom.operators.columns import keep_columns, label_names, resolve_columns, to_text_label
 from labelloom.operators.evaluate import (
@@ -77,19 +77,20 @@ def prepare_documents(
 
     ``lemmas`` is a table ``(surface, pos, lemma)``; without it words stay as they are.
 
-    An existing ``text_clean`` column is used as it is unless ``force``. Otherwise
-    only the tokens are written; joining them back is cheap.
+    An existing ``text_clean`` column is used as it is unless ``force``; its tokens
+    follow the vectorizer's rule, as those of lemmas do. Otherwise only the tokens are written; joining them back is cheap.
     """
     text, label = resolve_columns(df, "wide")
     base = [F.col(id_col), F.col(f"`{label}`").alias("label")]
     if "text_clean" in df.columns and not force:
         given = stage(df.select(*base, "text_clean"))
-        words = tokenize(F.coalesce("text_clean", F.lit("")), split_fused=False)
-        return given.withColumn("tokens", words)
+        return given.withColumn("tokens", vectorizer_tokens("text_clean"))
     cleaned = df.select(*base, clean_text(F.col(f"`{text}`")).alias("_clean"))
     words = cleaned.select(id_col, "label", content_tokens("_clean", stop).alias("tokens"))
     if lemmas is not None:
         words = lemmatize(words, "tokens", lemmas, id_col, output="tokens")
+        clean = stage(words.select(id_col, "label", join_tokens("tokens").alias("text_clean")))
+        return clean.withColumn("tokens", vectorizer_tokens("text_clean"))
     return stage(words).select(id_col, "label", join_tokens("tokens").alias("text_clean"), "tokens")
 
 

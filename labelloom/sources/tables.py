@@ -84,9 +84,14 @@ def write_table(df: DataFrame, run: str, name: str, fmt: str = "parquet", mode:
 
 
 def metrics_document(metrics: DataFrame) -> DataFrame:
-    """``{model: {metric: value}}`` as one JSON document in one row (column ``value``)."""
-    entry = F.struct(F.col("model"), F.struct(*METRICS))
-    return metrics.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    """``{model: {metric: value}}`` as one JSON document in one row (column ``value``).
+
+    Models stand in the order of ``ordinal``, or by name where there is none.
+    """
+    place = F.col("ordinal") if "ordinal" in metrics.columns else F.lit(0)
+    listed = F.sort_array(F.collect_list(F.struct(place.alias("place"), "model", F.struct(*METRICS).alias("values"))))
+    entries = F.transform(listed, lambda e: F.struct(e["model"], e["values"]))
+    return metrics.agg(F.to_json(F.map_from_entries(entries)).alias("value"))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame | None:

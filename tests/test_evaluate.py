@@ -101,3 +101,14 @@ def test_term_stats(spark):
     assert {tuple(r) for r in profile.term_stats(df, "t").collect()} == {("a", 1, 1), ("b", 3, 2)}
     plan = profile.term_stats(df, "t")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_report_text_prints_long_supports_whole(spark):
+    from labelloom.operators import evaluate
+
+    report = spark.createDataFrame(
+        [(0, 0, "0", 1.0, 1.0, 1.0, 12_345_678_901), (1, None, "accuracy", None, None, 1.0, 12_345_678_901)],
+        "ordinal int, label int, name string, precision double, recall double, f1 double, support long",
+    )
+    lines = [r["value"] for r in evaluate.report_text(report).collect()]
+    assert sum(line.endswith(" 12345678901") for line in lines) == 2

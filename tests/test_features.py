@@ -134,3 +134,20 @@ def test_lookup_many_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     names = {"2": "two", "4": "four"}
     assert len(out) == 100 and all(r["o"] == [names.get(x, x) for x in r["t"]] for r in out)
+
+
+@pytest.mark.parametrize("max_rows", [1_000_000, 0])
+def test_lookup_is_the_same_by_copy_and_by_join(spark, max_rows):
+    df = spark.createDataFrame([(1, ["cats", "dogs"]), (2, None), (3, [])], "id long, t array<string>")
+    lemmas = spark.createDataFrame(
+        [("cats", "n", "kitty"), ("cats", "n", "cat"), ("dogs", "v", "dog")], "surface string, pos string, lemma string"
+    )
+    found = lookup.lemmatize(df, "t", lemmas, "id", max_rows=max_rows)
+    assert {r["id"]: r["lemmas"] for r in found.collect()} == {1: ["cat", "dogs"], 2: None, 3: []}
+
+
+def test_vectorizer_tokens(spark):
+    from labelloom.functions.text import vectorizer_tokens
+
+    df = spark.createDataFrame([("Two  Spaces a u, cat_1 É é2",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(vectorizer_tokens("t")).collect()] == [["two", "spaces", "cat_1", "é2"], [], []]
