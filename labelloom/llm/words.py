@@ -93,7 +93,7 @@ def chunk_shingles(hashes: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) ->
     rolled = np.zeros(len(hashes), dtype=np.uint64)
     for j in range(k):
         step = np.uint64((2 * j + 1) * GOLDEN & (2**64 - 1))
-        rolled[: len(hashes) - j] += mix(hashes[j:] + step) * np.uint64(2 * j + 3)
+        rolled[: max(len(hashes) - j, 0)] += mix(hashes[j:] + step) * np.uint64(2 * j + 3)
     place = np.arange(out[-1]) - np.repeat(out[:-1] - offsets[:-1], many)
     shingle = mix(rolled[place])
     for i in np.flatnonzero((n > 0) & (n < k)):
