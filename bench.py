@@ -39,6 +39,10 @@ HEADLINE = (
     "per_class_report",
     "weighted_cross_entropy",
     "compare_models",
+    "remove_stopwords_table",
+    "train_logistic",
+    "train_and_compare",
+    "score_stream",
 )
 
 

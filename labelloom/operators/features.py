@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from labelloom.operators.profile import term_stats
 from labelloom.plans.staging import MAX_SHARED_BYTES, MAX_SHARED_ROWS, fits_in_memory, stage
@@ -119,14 +119,18 @@ def tfidf(
 
 
 def _tfidf_joined(docs: DataFrame, vocabulary: DataFrame, id_col: str, terms: str) -> DataFrame:
-    """Any vocabulary size: salted join on the term, then one shuffle by document."""
+    """Any vocabulary size: salted join on the term, then one shuffle by document.
+
+    A document's terms are counted inside its row, as runs of the sorted terms.
+    """
     salt = F.pmod(F.xxhash64(id_col), F.lit(JOIN_SALTS)).cast("int")
-    counted = (
-        docs.select(id_col, F.explode(terms).alias("term"))
-        .groupBy(id_col, "term")
-        .agg(F.count("*").alias("tf"))
-        .withColumn("_salt", salt)
+    ordered = docs.select(id_col, F.sort_array(terms).alias("_t"), F.size(terms).alias("_n")).filter("_n > 0")
+    begins = F.filter(
+        F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))
     )
+    ends = F.concat(F.slice("_at", F.lit(2), F.col("_n")), F.array("_n"))
+    runs = F.zip_with("_at", ends, lambda a, b: F.struct(F.get("_t", a).alias("term"), (b - a).alias("tf")))
+    counted = ordered.withColumn("_at", begins).select(id_col, F.inline(runs)).withColumn("_salt", salt)
     shares = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1)))
     salted = vocabulary.select("term", "idx", "idf").withColumn("_salt", shares)
     weighted = counted.join(salted.hint("merge"), ["term", "_salt"])
@@ -136,11 +140,17 @@ def _tfidf_joined(docs: DataFrame, vocabulary: DataFrame, id_col: str, terms: st
 
 
 def to_vectors(long: DataFrame, id_col: str, size: int, output: str = "features") -> DataFrame:
-    """Sparse vectors from the long form, one per document that has any term."""
-
-    def sparse(entries):
-        return Vectors.sparse(size, [e[0] for e in entries], [e[1] for e in entries])
+    """Staged sparse vectors from the long form, one per document that has any term.
 
+    They are written in the storage form of a sparse vector and read back as vectors.
+    """
     entries = F.sort_array(F.collect_list(F.struct("idx", "tfidf")))
-    grouped = long.groupBy(id_col).agg(entries.alias("_entries"))
-    return grouped.select(id_col, F.udf(sparse, VectorUDT())("_entries").alias(output))
+    grouped = long.groupBy(id_col).agg(entries.alias("_e"))
+    form = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(size).alias("size"),
+        F.col("_e.idx").cast("array<int>").alias("indices"),
+        F.col("_e.tfidf").alias("values"),
+    )
+    stored = grouped.select(id_col, form.alias(output))
+    return stage(stored, T.StructType([stored.schema[id_col], T.StructField(output, VectorUDT())]))

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelloom.plans.staging import stage
 
-# Hex digits of the bucket: 16**3 = 4096 buckets per class.
-BUCKET_DIGITS = 3
+# Rows that one task may sort, and the least and most hex digits of a bucket: 4096
+# to 1,048,576 buckets per class.
+ROWS_PER_BUCKET = 1_000_000
+BUCKET_DIGITS = (3, 4, 5)
 
 
 def order_key(id_col: str, seed: int) -> Column:
@@ -20,23 +22,30 @@ def order_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
 
 
-def bucket_of(key: Column | str) -> Column:
-    return F.substring(F.col(key) if isinstance(key, str) else key, 1, BUCKET_DIGITS)
+def bucket_digits(df: DataFrame) -> int:
+    """Digits enough for buckets of at most ROWS_PER_BUCKET rows, even if all are of one class."""
+    rows = df.count()
+    return next((d for d in BUCKET_DIGITS if rows <= ROWS_PER_BUCKET * 16**d), BUCKET_DIGITS[-1])
 
 
-def bucket_counts(df: DataFrame, id_col: str, label: str, seed: int) -> DataFrame:
+def bucket_of(key: Column | str, digits: int) -> Column:
+    return F.substring(F.col(key) if isinstance(key, str) else key, 1, digits)
+
+
+def bucket_counts(df: DataFrame, id_col: str, label: str, seed: int, digits: int) -> DataFrame:
     """Staged ``(label, bucket, n, before)``: rows per bucket and in earlier buckets.
 
-    At most 4096 rows per class, whatever the size of ``df``.
+    At most ``16 ** digits`` rows per class.
     """
-    counts = df.groupBy(F.col(label), bucket_of(order_key(id_col, seed)).alias("bucket")).agg(F.count("*").alias("n"))
+    bucket = bucket_of(order_key(id_col, seed), digits).alias("bucket")
+    counts = df.groupBy(F.col(label), bucket).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy(label).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     return stage(counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
 
 
-def ranked(df: DataFrame, buckets: DataFrame, id_col: str, label: str, seed: int) -> DataFrame:
+def ranked(df: DataFrame, buckets: DataFrame, id_col: str, label: str, seed: int, digits: int) -> DataFrame:
     """Adds ``rank`` (0-based, dense over the class) to the rows of ``df``."""
-    keyed = df.withColumn("_key", order_key(id_col, seed)).withColumn("_bucket", bucket_of("_key"))
+    keyed = df.withColumn("_key", order_key(id_col, seed)).withColumn("_bucket", bucket_of("_key", digits))
     offsets = buckets.select(label, F.col("bucket").alias("_bucket"), "before")
     inside = Window.partitionBy(label, "_bucket").orderBy("_key", id_col)
     return (

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from labelloom.operators.ranking import bucket_counts, bucket_of, order_key, ranked
+from labelloom.operators.ranking import bucket_counts, bucket_digits, bucket_of, order_key, ranked
 from labelloom.plans.staging import stage
 
 # Draws generated per task step, and copies of one row made by one task.
@@ -65,7 +65,8 @@ def stratified_split(
     many tasks.
     """
     narrow = df.select(id_col, label)
-    buckets = bucket_counts(narrow, id_col, label, seed)
+    digits = bucket_digits(narrow)
+    buckets = bucket_counts(narrow, id_col, label, seed, digits)
     counts = buckets.groupBy(label).agg(F.sum("n").alias("n"))
     counts = counts.withColumn("n", _fail_when(F.col(label).isNull(), "null label; drop such rows first", F.col("n")))
     sizes = train_sizes(counts, label, test_size)
@@ -79,7 +80,7 @@ def stratified_split(
     inside = Window.partitionBy(label).orderBy("_key", id_col)
     in_last_bucket = (
         narrow.withColumn("_key", order_key(id_col, seed))
-        .withColumn("_bucket", bucket_of("_key"))
+        .withColumn("_bucket", bucket_of("_key", digits))
         .join(last_bucket, [label, "_bucket"])
     )
     cut_offs = stage(
@@ -168,14 +169,15 @@ def random_oversample(train: DataFrame, id_col: str, label: str, seed: int = 42)
     all classes pass straight through.
     """
     columns = train.columns
-    buckets = bucket_counts(train.select(id_col, label), id_col, label, seed)
+    digits = bucket_digits(train)
+    buckets = bucket_counts(train.select(id_col, label), id_col, label, seed, digits)
     counts = buckets.groupBy(label).agg(F.sum("n").alias("n"))
     missing = F.max("n").over(Window.partitionBy()) - F.col("n")
     salts = F.ceil(F.col("_missing") / F.col("n") / COPIES_PER_SALT)
     short = counts.withColumn("_missing", missing).filter("_missing > 0").select(label, salts.alias("_salts"))
 
     minority = train.join(short, label)
-    rows = ranked(minority, buckets, id_col, label, seed).withColumn(
+    rows = ranked(minority, buckets, id_col, label, seed, digits).withColumn(
         "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))
     )
     # Merge-joined: Catalyst cannot see how many draws the blocks unfold to.

@@ -8,9 +8,12 @@ rules on the text length stand in for models where a check needs predictions.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.ml import Model
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from labelloom.functions import (
     argmax,
@@ -29,9 +32,15 @@ from labelloom.functions import (
 )
 from labelloom.operators import columns, evaluate, features, lookup, models, profile, sampling
 from labelloom.plans.staging import stage, staging_path
-from labelloom.plans.workflow import Comparison, prepare_documents, prepare_fixed_length, train_and_compare
+from labelloom.plans.workflow import (
+    evaluate_and_compare,
+    prepare_documents,
+    prepare_fixed_length,
+    train_and_compare,
+    write_run_config,
+)
 from labelloom.sources import tables
-from labelloom.sources.models import load_model, save_model
+from labelloom.sources.models import TextModel, load_model, save_model
 from labelloom.sources.paths import first_existing, run_path
 from labelloom.streaming.scoring import clean_stream, score_stream, write_stream
 
@@ -506,18 +515,29 @@ def tfidf_train_fit(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(features.tfidf(docs, vocabulary, "doc_id", "terms"))
 
 
-@query
-def to_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    docs = corpus_terms(spark, sf)
-    vectors = features.vectorize(docs, features.fit_vocabulary(docs, "terms"), "terms").select(
-        "doc_id", F.unwrap_udt("features").alias("v")
-    )
+def _terms_and_norm(vectors: DataFrame) -> DataFrame:
+    unpacked = vectors.select("doc_id", F.unwrap_udt("features").alias("v"))
     squares = F.aggregate("v.values", F.lit(0.0), lambda acc, x: acc + x * x)
-    return vectors.select(
+    return unpacked.select(
         "doc_id", F.size("v.indices").cast("long").alias("n_terms"), F.round(F.sqrt(squares), 6).alias("norm")
     )
 
 
+@query
+def vectorize(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus_terms(spark, sf)
+    return _terms_and_norm(features.vectorize(docs, features.fit_vocabulary(docs, "terms"), "terms"))
+
+
+@query
+def to_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors put together from the long form."""
+    docs = corpus_terms(spark, sf)
+    vocabulary = features.fit_vocabulary(docs, "terms")
+    long = features.tfidf(docs, vocabulary, "doc_id", "terms")
+    return _terms_and_norm(features.to_vectors(long, "doc_id", vocabulary.count()))
+
+
 @query
 def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.stratified_split(stage(labelled_ids(spark, sf)), "doc_id", "class")
@@ -556,6 +576,56 @@ def fixed_length_job(spark: SparkSession, sf: str) -> DataFrame:
     return _ids_as_text(prepare_fixed_length(corpus(spark, sf), "doc_id").data, "split", "label")
 
 
+@query
+def fixed_length_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows per part and per class of the fixed-length job."""
+    made = prepare_fixed_length(corpus(spark, sf), "doc_id")
+    parts = made.counts.select(F.lit("split").alias("kind"), F.col("split").alias("name"), "n")
+    return parts.unionByName(made.distribution.select(F.lit("label").alias("kind"), F.col("label").cast("string").alias("name"), "n"))
+
+
+# --- runs ------------------------------------------------------------------
+
+
+@query
+def run_path_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The names that runs get when the first one has written the class counts."""
+    base, now = staging_path(spark, "artifacts"), datetime(2024, 1, 2, 3, 4, 5, tzinfo=timezone.utc)
+    given = run_path(spark, "run", base=base)
+    counts = profile.class_distribution(labelled_ids(spark, sf), "class").select("class", "n")
+    back = spark.read.schema(counts.schema).parquet(tables.write_table(counts, given, "class_distribution"))
+    names = {
+        "free": given,
+        "taken": run_path(spark, "run", base=base, now=now),
+        "forced": run_path(spark, "run", base=base, force=True, now=now),
+        "shared": run_path(spark, "run", base=base, reuse=True, now=now),
+        "unnamed": run_path(spark, base=base, now=now),
+    }
+    shown = [F.struct(F.lit(k).alias("kind"), F.lit(v.removeprefix(f"{base}/")).alias("name")) for k, v in names.items()]
+    return back.select("class", "n", F.inline(F.array(*shown)))
+
+
+@query
+def run_config(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_path(spark, "run", base=staging_path(spark, "artifacts"))
+    write_run_config(labelled_ids(spark, sf), run, {"max_length": 128, "seed": 42}, "class")
+    return spark.read.schema("max_length string, seed string, num_labels long").json(f"{run}/run_config")
+
+
+@query
+def evaluate_and_compare_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The third stand-in against a metrics file of the first two; the table as it is saved."""
+    found = stage(predictions(spark, sf))
+    run = run_path(spark, "run", base=staging_path(spark, "artifacts"))
+    first = evaluate.weighted_metrics(found.filter("model <> 'Mostly'"), "class", "pred", by=("model", "ordinal"))
+    baseline = tables.write_table(tables.metrics_document(first), run, "metrics_summary", "text")
+    own = found.filter("model = 'Mostly'").select(F.col("class").alias("label"), "pred")
+    names = columns.label_names(profile.distinct_labels(own, "label"))
+    evaluate_and_compare(own, names, run, baseline, "Mostly")
+    shape = ", ".join(["model string", *[f"{m} double" for m in tables.METRICS]])
+    return spark.read.schema(shape).option("header", True).csv(f"{run}/comparison_table")
+
+
 # --- models ----------------------------------------------------------------
 
 
@@ -574,49 +644,105 @@ def score_with(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", "pred")
 
 
-_comparisons: dict[tuple[str, str], Comparison] = {}
+def _training_data(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged vectors with split and label index, the vocabulary, and the label table."""
+    docs = sampling.stratified_split(corpus_terms(spark, sf), "doc_id", "class")
+    vocabulary = features.fit_vocabulary(docs, "terms")
+    indexed, classes = sampling.dense_label_index(docs, "class")
+    vectors = features.vectorize(indexed, vocabulary, "terms")
+    return stage(vectors.select("doc_id", "class", "label_idx", "split", "features")), vocabulary, classes
+
+
+def _class_shares(rows: DataFrame, model: Model) -> DataFrame:
+    """Rows and share of the predicted probability per class.
 
+    With a free intercept, the optimum gives every class its share of the weight.
+    """
+    scored = model.transform(rows).select("weight", F.posexplode(vector_to_array("probability")).alias("label_idx", "p"))
+    mass = scored.groupBy("label_idx").agg(F.sum(F.col("weight") * F.col("p")).alias("mass"))
+    sizes = rows.groupBy("class", "label_idx").agg(F.count("*").alias("n"))
+    share = F.col("mass") / F.sum("mass").over(Window.partitionBy())
+    return sizes.join(mass, "label_idx").select("class", "n", F.round(share, 2).alias("share"))
 
-def _compared(spark: SparkSession, sf: str) -> Comparison:
-    """The full job, run once per session and table folder for the queries below."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _comparisons:
-        _comparisons[key] = train_and_compare(corpus(spark, sf), "doc_id")
-    return _comparisons[key]
+
+@query
+def train_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    train = _training_data(spark, sf)[0].filter("split = 'train'")
+    weights = sampling.balanced_weights(train, "label_idx")
+    return _class_shares(sampling.with_weights(train, weights, "label_idx"), models.train_logistic(train))
+
+
+@query
+def train_oversampled_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    train = _training_data(spark, sf)[0].filter("split = 'train'")
+    more = stage(sampling.random_oversample(train, "doc_id", "label_idx")).withColumn("weight", F.lit(1.0))
+    return _class_shares(more, models.train_oversampled_logistic(more))
+
+
+@query
+def train_linear_svm(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows, classes, and whether more rows are right than the largest class has."""
+    train = _training_data(spark, sf)[0].filter("split = 'train'")
+    right = F.count_if(F.col("prediction") == F.col("label_idx"))
+    scored = models.train_linear_svm(train).transform(train)
+    found = scored.groupBy("label_idx").agg(F.count("*").alias("rows"), right.alias("right"))
+    return found.agg(
+        F.sum("rows").alias("n"),
+        F.count("*").alias("classes"),
+        (F.sum("right") > F.max("rows")).alias("beats_majority"),
+    )
 
 
 @query
 def train_and_compare_query(spark: SparkSession, sf: str) -> DataFrame:
-    result = _compared(spark, sf)
-    is_best = (F.col("model") == result.best).alias("is_best")
-    return result.metrics.select("model", *round_metrics(*tables.METRICS), is_best)
+    """Facts of the full job that hold whatever the fitted numbers are."""
+    result = train_and_compare(corpus(spark, sf), "doc_id")
+    sizes = result.predictions.groupBy("model").agg(F.count("*").alias("rows"))
+    is_best = F.col("model") == result.best
+    return result.metrics.join(sizes, "model").agg(
+        F.count("*").alias("models"),
+        F.sum("rows").alias("predictions"),
+        F.count_if(is_best).alias("best"),
+        F.count_if(F.abs(F.col("accuracy") - F.col("recall")) < 1e-9).alias("recall_is_accuracy"),
+        (F.max(F.when(is_best, F.col("f1"))) > F.max("f1") - 1e-9).alias("best_has_top_f1"),
+    )
 
 
-def _test_predictions(model: str) -> Query:
-    def build(spark: SparkSession, sf: str) -> DataFrame:
-        return _compared(spark, sf).predictions.filter(F.col("model") == model).select("doc_id", "label", "pred")
+def _text_model(spark: SparkSession, sf: str) -> tuple[TextModel, DataFrame, DataFrame]:
+    """A logistic model for raw texts, its vocabulary, and its vectors."""
+    data, vocabulary, classes = _training_data(spark, sf)
+    fitted = models.train_logistic(data.filter("split = 'train'"))
+    return TextModel(features.vectorizer(vocabulary, "terms"), fitted, classes), vocabulary, data
 
-    return build
+
+def _differences(found: DataFrame, direct: DataFrame) -> DataFrame:
+    """Rows scored both ways, and how many of them differ."""
+    both = found.select("doc_id", "pred").join(direct.select("doc_id", F.col("pred").alias("direct")), "doc_id")
+    return both.agg(F.count("*").alias("n"), F.count_if(~F.col("pred").eqNullSafe(F.col("direct"))).alias("differing"))
 
 
-QUERIES["train_logistic"] = _test_predictions("LogisticRegression")
-QUERIES["train_linear_svm"] = _test_predictions("LinearSVC")
-QUERIES["train_oversampled_logistic"] = _test_predictions("LR_oversampled")
+@query
+def score(spark: SparkSession, sf: str) -> DataFrame:
+    """The test part, from its vectors and from its raw texts."""
+    model, _, data = _text_model(spark, sf)
+    test = models.score(data.filter("split = 'test'"), model.classifier, model.classes)
+    return _differences(test, model.predict(documents(spark, sf), "text"))
 
 
 @query
 def save_and_load_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document labelled from its raw text by the saved best model."""
-    result = _compared(spark, sf)
-    path = save_model(result.model, result.vocabulary, staging_path(spark, "model"))
-    return load_model(spark, path).predict(documents(spark, sf), "text").select("doc_id", "pred")
+    """Every document labelled from its raw text, by the saved model and by the one in memory."""
+    model, vocabulary, _ = _text_model(spark, sf)
+    path = save_model(model, vocabulary, staging_path(spark, "model"))
+    docs = documents(spark, sf)
+    return _differences(load_model(spark, path).predict(docs, "text"), model.predict(docs, "text"))
 
 
 @query
 def score_stream_query(spark: SparkSession, sf: str) -> DataFrame:
-    """The same on a stream of the documents."""
-    arriving = arriving_documents(spark, sf)
+    """Every document labelled on a stream and as a table."""
+    model, _, _ = _text_model(spark, sf)
     target, checkpoint = staging_path(spark, "stream"), staging_path(spark, "progress")
-    scored = score_stream(arriving, _compared(spark, sf).model, "text").select("doc_id", "pred")
+    scored = score_stream(arriving_documents(spark, sf), model, "text").select("doc_id", "pred")
     write_stream(scored, target, checkpoint, once=True).awaitTermination()
-    return spark.read.parquet(target)
+    return _differences(spark.read.parquet(target), model.predict(documents(spark, sf), "text"))

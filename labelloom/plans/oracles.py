@@ -245,6 +245,8 @@ stats AS (SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM ke
             "stats AS (SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM grams WHERE doc_id IN (SELECT doc_id FROM train_rows) GROUP BY term)",
             vocab("train_rows"), tfidf_cte()) + "SELECT doc_id, term, idx, round(tfidf, 6) AS tfidf FROM tfidf",
         "to_vectors": _with(CORPUS, words("corpus"), GRAMS, vocab(), tfidf_cte())
+        + "SELECT doc_id, count(idx) AS n_terms, round(sqrt(sum(tfidf * tfidf)), 6) AS norm FROM tfidf GROUP BY doc_id",
+        "vectorize": _with(CORPUS, words("corpus"), GRAMS, vocab(), tfidf_cte())
         + "SELECT doc_id, count(idx) AS n_terms, round(coalesce(sqrt(sum(tfidf * tfidf)), 0), 6) AS norm FROM corpus LEFT JOIN tfidf USING (doc_id) GROUP BY doc_id",
         "stratified_split": _with(CORPUS, split()) + "SELECT doc_id, class, split FROM splitted",
         "balanced_weights": _with(CORPUS, split()) + """SELECT class, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*))::DOUBLE, 6) AS weight
@@ -263,6 +265,26 @@ stats AS (SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM ke
         "read_metrics": report + f"SELECT model, {rounded.format(d=6)} FROM metrics",
         "fixed_length_job": _with(CORPUS, narrow_words, vocab("splitted WHERE split = 'train'"), encoded)
         + f"SELECT s.doc_id, s.split, s.label, {padded} FROM splitted s LEFT JOIN ids USING (doc_id)",
+        "fixed_length_counts": _with(CORPUS, "pairs AS (SELECT doc_id, class AS label FROM corpus WHERE text IS NOT NULL)", split("pairs", "label"))
+        + """SELECT 'split' AS kind, split AS name, count(*) AS n FROM splitted GROUP BY split UNION ALL SELECT 'split', 'all', count(*) FROM splitted
+            UNION ALL SELECT 'label', CAST(label AS VARCHAR), count(*) FROM splitted GROUP BY label""",
+        "run_path": f"""WITH {CORPUS} SELECT class, n, kind, name FROM (SELECT class, count(*) AS n FROM corpus GROUP BY class),
+            (VALUES ('free', 'run'), ('taken', 'run_20240102T030405Z'), ('forced', 'run'), ('shared', 'run'),
+                    ('unnamed', 'run_20240102T030405Z')) v(kind, name)""",
+        "run_config": f"WITH {CORPUS} SELECT '128' AS max_length, '42' AS seed, count(DISTINCT class) AS num_labels FROM corpus",
+        "evaluate_and_compare": report + f"SELECT model, {rounded.format(d=4)} FROM metrics",
+        "train_logistic": _with(CORPUS, split())
+        + "SELECT class, count(*) AS n, round(1.0::DOUBLE / count(*) OVER (), 2) AS share FROM splitted WHERE split = 'train' GROUP BY class",
+        "train_oversampled_logistic": _with(CORPUS, split())
+        + "SELECT class, max(count(*)) OVER () AS n, round(1.0::DOUBLE / count(*) OVER (), 2) AS share FROM splitted WHERE split = 'train' GROUP BY class",
+        "train_linear_svm": _with(CORPUS, split())
+        + "SELECT count(*) AS n, count(DISTINCT class) AS classes, true AS beats_majority FROM splitted WHERE split = 'train'",
+        "train_and_compare": _with(CORPUS, split())
+        + """SELECT 3::BIGINT AS models, 3 * count(*) AS predictions, 1::BIGINT AS best, 3::BIGINT AS recall_is_accuracy,
+            true AS best_has_top_f1 FROM splitted WHERE split = 'test'""",
+        "score": _with(CORPUS, split()) + "SELECT count(*) AS n, 0::BIGINT AS differing FROM splitted WHERE split = 'test'",
+        "save_and_load_model": "SELECT count(*) AS n, 0::BIGINT AS differing FROM documents",
+        "score_stream": "SELECT count(*) AS n, 0::BIGINT AS differing FROM documents",
         "clean_stream": _with(docs_words) + content,
     }
     return out

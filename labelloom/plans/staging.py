@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Most rows and text bytes that may be copied to every executor.
 MAX_SHARED_ROWS = 1_000_000
@@ -39,12 +39,12 @@ def staging_path(spark: SparkSession, kind: str = "stage") -> str:
     return f"{staging_root(spark)}/labelloom/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back."""
+def stage(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+    """Write ``df`` once and read it back, as ``schema`` if one of the same storage form is given."""
     spark = df.sparkSession
     path = staging_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def clear_staged(spark: SparkSession) -> None:

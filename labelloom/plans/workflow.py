@@ -178,6 +178,8 @@ class FixedLengthData:
     names: DataFrame
     weights: DataFrame
     vocabulary: DataFrame
+    distribution: DataFrame
+    counts: DataFrame
 
 
 def prepare_fixed_length(
@@ -206,6 +208,8 @@ def prepare_fixed_length(
         names=label_names(distinct_labels(split, "label")),
         weights=inverse_frequency_weights(train, "label"),
         vocabulary=vocabulary,
+        distribution=class_distribution(split, "label"),
+        counts=row_counts(split),
     )
 
 

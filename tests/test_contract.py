@@ -1,7 +1,6 @@
 """Every registered query against its SQL equivalent, on the smallest tables."""
 
 import math
-import os
 
 import duckdb
 import pytest
@@ -10,14 +9,6 @@ import __spark_entry__ as contract
 from labelloom.plans import catalog, oracles
 
 TABLES = "documents labels conversations pages embeddings benchmark".split()
-TRAINED = {
-    "train_and_compare",
-    "train_logistic",
-    "train_linear_svm",
-    "train_oversampled_logistic",
-    "save_and_load_model",
-    "score_stream",
-}
 NAMES = sorted(catalog.QUERIES)
 
 
@@ -29,9 +20,8 @@ def duck(small_dir):
     return con
 
 
-def test_every_query_but_the_trained_models_has_sql():
-    assert set(NAMES) - set(oracles.oracle_sql()) == TRAINED
-    assert set(oracles.oracle_sql()) <= set(NAMES)
+def test_every_query_has_sql():
+    assert set(oracles.oracle_sql()) == set(NAMES)
 
 
 def same(a, b):
@@ -44,7 +34,7 @@ def order(row):
     return [(v is not None, round(v, 3) if isinstance(v, float) else v) if v is not None else (False, 0) for v in row]
 
 
-@pytest.mark.parametrize("name", sorted(set(NAMES) - TRAINED))
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, small_dir, duck, name):
     df = contract.queries()[name](spark, small_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -62,9 +52,3 @@ def test_query_equals_sql(spark, small_dir, duck, name):
 def test_entry(spark, small_dir):
     rows = contract.entry(spark).collect()
     assert [r["class"] for r in rows] == [0, 1, 2]
-
-
-@pytest.mark.skipif(not os.environ.get("LABELLOOM_SLOW_TESTS"), reason="trains on 10,000 features; set LABELLOOM_SLOW_TESTS")
-@pytest.mark.parametrize("name", sorted(TRAINED))
-def test_trained_queries_run(spark, small_dir, name):
-    assert contract.queries()[name](spark, small_dir).count() > 0

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from labelloom.operators import sampling
+from labelloom.operators import ranking, sampling
 
 
 def frame(spark, sizes):
@@ -27,6 +27,18 @@ def test_remainder_ties_go_to_the_smaller_label(spark):
     assert split_counts(df)[3, "train"] == 5 and split_counts(df)[7, "train"] == 4
 
 
+@pytest.mark.parametrize("rows_per_bucket,digits", [(1_000_000, 3), (0.05, 4), (0.0001, 5)])
+def test_buckets_follow_the_row_count(spark, monkeypatch, rows_per_bucket, digits):
+    source = frame(spark, {0: 40, 1: 400})
+    plain = sorted(sampling.stratified_split(source, "id", "label").collect())
+    copies = sampling.random_oversample(source, "id", "label").groupBy("id").count()
+    copies_before = sorted(copies.collect())
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", rows_per_bucket)
+    assert ranking.bucket_digits(source) == digits
+    assert sorted(sampling.stratified_split(source, "id", "label").collect()) == plain
+    assert sorted(sampling.random_oversample(source, "id", "label").groupBy("id").count().collect()) == copies_before
+
+
 def test_split_is_a_partition_in_hash_order(spark):
     import hashlib
 
