@@ -153,11 +153,10 @@ def _overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 def _verify(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts' multisets of shingles are similar enough; staged.
 
-    ``texts`` holds the candidates' texts. The pairs of one ``a`` are
+    ``texts`` holds the candidates' texts; ``pairs`` is staged. The pairs of one ``a`` are
     dealt into groups of about ``FAN``; a task reads a group's first text and
     then compares the others as they come, so no group is held.
     """
-    pairs = stage(pairs)
     texts = texts.hint("merge")
     fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("fan"))
     dealt = stage(pairs.join(stage(fans), "a").select("a", "b", F.pmod(F.xxhash64("b"), "fan").cast("int").alias("g")))
@@ -183,23 +182,27 @@ def _verify(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return stage(both.mapInPandas(compared, "a long, b long"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """``(node, comp)`` of every node of ``links`` (a, b): the least node it is connected with; staged.
 
-    Each round takes the least label among a node's neighbours (a sum with
+    ``start`` has labels found from some of the links, so that only what later
+    links join is still to be done. Each round takes the least label among a node's neighbours (a sum with
     partial results, so a hub is no hot spot) and then the label's own label,
     and is staged. It ends when nothing changes.
     """
     both = stage(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = stage(both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+    labels = labels.select("node", F.least("node", "near").alias("comp"))
+    if start is not None:
+        labels = labels.join(start.withColumnRenamed("comp", "was"), "node", "left").select("node", F.least("comp", "was").alias("comp"))
+    labels = stage(labels)
     while True:
         least = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         nearer = stage(labels.join(least, "node", "left").select("node", "comp", F.least("comp", "near").alias("now")))
-        jump = nearer.select(F.col("node").alias("now"), F.col("now").alias("next"))
-        jumped = stage(nearer.join(jump, "now", "left").select("node", F.col("comp").alias("was"), F.least("now", "next").alias("comp")))
-        labels = jumped.select("node", "comp")
-        if jumped.where(F.col("was") != F.col("comp")).isEmpty():
+        if not nearer.agg(F.max(F.col("now") < F.col("comp"))).first()[0]:
             return labels
+        jump = nearer.select(F.col("node").alias("now"), F.col("now").alias("next"))
+        labels = stage(nearer.join(jump, "now", "left").select("node", F.least("now", "next").alias("comp")))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -290,8 +293,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("id", F.coalesce("rep", "id").alias("node"))
     )
     nodes = member.where("id = node").select("node").distinct()
-    placed = sig.join(nodes, F.col("id") == F.col("node")).select("node", F.explode("bands").alias("bucket"))
-    placed = stage(placed.distinct())
+    placed = sig.select(F.col("id").alias("node"), "bands").distinct().join(nodes, "node")
+    placed = stage(placed.select("node", F.explode("bands").alias("bucket")))
     full = stage(placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "lo"))
     met = stage(placed.join(full, "bucket"))
     tested = stage(met.where("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct())
@@ -310,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = marked.join(split, "bucket").where("comp <> rep_comp").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     more = stage(_untested(star, tested))
     links = links.union(_verify(texts, more, similarity))
-    labels, tested = components(links), tested.union(more)
+    labels, tested = components(links, labels), tested.union(more)
 
     marked = stage(_labelled(met.join(split.select("bucket"), "bucket"), labels))
     parts = marked.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
@@ -333,7 +336,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = cells.repartition("bucket", "oc", "fc").sortWithinPartitions("bucket", "oc", "fc")
     rest = stage(_untested(cells.mapInPandas(lambda parts: _cell_links(parts, similarity), "a long, b long"), tested))
     links = stage(links.union(_verify(texts, rest, similarity)))
-    labels = components(links)
+    labels = components(links, labels)
 
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = stage(_labelled(nodes, labels).join(degree, "node", "left").select("node", "comp", F.coalesce("n_links", F.lit(0)).alias("n_links")))

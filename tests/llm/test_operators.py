@@ -138,6 +138,16 @@ def test_bag_minhash_is_unbiased():
     assert abs((both[0] == both[1]).mean() - true) < 0.02
 
 
+def test_components_go_on_from_earlier_labels(spark):
+    chain = spark.createDataFrame([(i + 1, i) for i in range(20, 40)], "a long, b long")
+    first = near.components(chain)
+    assert {r["comp"] for r in first.collect()} == {20}
+    more = chain.union(spark.createDataFrame([(30, 7), (50, 51)], "a long, b long"))
+    found = {r["node"]: r["comp"] for r in near.components(more, first).collect()}
+    assert found == {7: 7, 50: 50, 51: 50} | {i: 7 for i in range(20, 41)}
+    assert near.components(chain.where("a < 0")).collect() == []
+
+
 def test_near_duplicates_equal_brute_force(spark, small_dir, odd_docs):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text").limit(120).collect()]
     rng = np.random.default_rng(5)
