@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F
 
 from labelloom.plans.staging import stage
 
 BLOCK_CHARS = 1 << 20  # characters of a block, the unit that is scheduled
-PERIOD = 1_000  # slots after which the schedule repeats; weights are multiples of its inverse
 MAX_STREAMS = 500  # sources scheduled by themselves; the rest share one stream of their joint weight
 POWER = 0.5  # a source's target weight is its characters to this power
 BUCKET_ROWS = 64
 SUPER_BUCKETS = 1024
 
 
-def quotas(weights: list[float], period: int = PERIOD) -> list[int]:
-    """Slots of a period for each weight: at least one each, largest remainders first, ``period`` in all."""
+def quotas(weights: list[float], period: int) -> list[int]:
+    """Shares of a schedule that repeats, which stand in for weights (``mix_sources`` takes exact ones): at least one each, largest remainders first, ``period`` in all."""
     total = sum(weights)
     free = period - len(weights)
     exact = [free * w / total for w in weights]
@@ -27,28 +29,69 @@ def quotas(weights: list[float], period: int = PERIOD) -> list[int]:
     return out
 
 
-def pfair_slots(shares: list[int]) -> list[list[int]]:
-    """The slots of each stream's blocks within one period of ``sum(shares)`` slots.
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of ``weights``, whose denominators are powers of two."""
+    ratios = [float(w).as_integer_ratio() for w in weights]
+    common = max((d for _, d in ratios), default=1)
+    return [n * (common // d) for n, d in ratios]
 
-    Block k of a stream with share q of a period P is released at
-    ``floor(k * P / q)`` and due by ``ceil((k + 1) * P / q)``. Every slot takes,
-    of the released blocks, the one due first (ties: the smaller stream). As the
-    shares fill the period, no slot is idle and no block late, so a stream is
-    always less than one block from its share of the slots so far.
+
+def pfair_order(weights: list[int], counts: list[int]) -> Iterator[int]:
+    """The stream that has each slot, when stream i has ``counts[i]`` blocks and the exact weight ``weights[i]``.
+
+    A fluid server gives every stream that has not ended its weight's share of
+    the time: by virtual time v, stream i has got ``min(weights[i] * v, counts[i])``,
+    so T(v), the sum of these, is the number of slots gone. Block k is served
+    from v = k / w to (k + 1) / w, so it is released at ``floor(T(k / w))`` and due by
+    ``ceil(T((k + 1) / w))``; until a first stream ends, these are k and k + 1 over
+    the share. Every slot takes, of the released blocks, the one due first (ties:
+    the smaller stream). As the fluid service fills every slot, none is idle and
+    no block late: a stream is always less than one block from its fluid share.
+    Whole numbers keep all times exact. A slot costs the logarithm of the streams.
     """
-    period = sum(shares)
-    out: list[list[int]] = [[] for _ in shares]
-    waiting = [(0, i) for i in range(len(shares))]  # (release, stream)
-    heapq.heapify(waiting)
+    ends = sorted(range(len(weights)), key=lambda i: Fraction(counts[i], weights[i]))
+    gone = [0, *accumulate(counts[i] for i in ends)]  # blocks of the first e streams to end
+    left = [sum(weights)]  # weight of the others
+    for i in ends:
+        left.append(left[-1] - weights[i])
+    first_n, first_w = (counts[ends[0]], weights[ends[0]]) if ends else (0, 1)
+
+    def at(k: int, i: int) -> tuple[int, int]:
+        """Floor and ceiling of T(k / w)."""
+        w, low = weights[i], 0
+        if k * first_w >= first_n * w:
+            high = len(ends)
+            while low < high:
+                middle = (low + high) // 2
+                j = ends[middle]
+                if counts[j] * w <= k * weights[j]:
+                    low = middle + 1
+                else:
+                    high = middle
+        whole_slots, rest = divmod(k * left[low], w)
+        return gone[low] + whole_slots, gone[low] + whole_slots + (rest > 0)
+
+    done = [0] * len(weights)
+    due = [at(1, i) for i in range(len(weights))]  # release of the next block, deadline of this one
+    waiting = [(0, i) for i in range(len(weights)) if counts[i]]  # (release, stream)
     ready: list[tuple[int, int]] = []  # (deadline, stream)
-    for slot in range(period):
+    for slot in range(sum(counts)):
         while waiting and waiting[0][0] <= slot:
             _, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(out[i]) + 1) * period // shares[i]), i))
+            heapq.heappush(ready, (due[i][1], i))
         _, i = heapq.heappop(ready)
+        yield i
+        done[i] += 1
+        if done[i] < counts[i]:
+            heapq.heappush(waiting, (due[i][0], i))
+            due[i] = at(done[i] + 1, i)
+
+
+def pfair_slots(shares: list[int], counts: list[int] | None = None) -> list[list[int]]:
+    """The slots of each stream's blocks by ``pfair_order``; without ``counts``, of one period of ``sum(shares)`` slots."""
+    out: list[list[int]] = [[] for _ in shares]
+    for slot, i in enumerate(pfair_order(shares, shares if counts is None else counts)):
         out[i].append(slot)
-        if len(out[i]) < shares[i]:
-            heapq.heappush(waiting, (len(out[i]) * period // shares[i], i))
     return out
 
 
@@ -59,7 +102,6 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_chars: int = BLOCK_CHARS,
-    period: int = PERIOD,
     max_streams: int = MAX_STREAMS,
     power: float = POWER,
 ) -> DataFrame:
@@ -69,10 +111,10 @@ def mix_sources(
     the order of a hash of their id and cut into blocks of ``block_chars``
     characters by their running length (a document belongs to the block where
     it begins; a longer one leaves the blocks it covers to itself). Blocks are
-    scheduled by ``pfair_slots`` over a period that repeats, so block k's slot
-    is known from k alone. Up to the first stream's end, every stream is less
-    than one block from its target share of the slots; from then on the slots of
-    ended streams are passed over, and the others keep their proportions.
+    scheduled by ``pfair_order`` with the target weights themselves. Up to the
+    first stream's end, every stream is less than one block from its target
+    share of the slots; from then on from its share among the streams that are
+    left, which keep their proportions.
 
     ``weights`` names the streams and their targets; other sources share one
     stream with the mean of them. Without it, a source's target is its
@@ -99,21 +141,20 @@ def mix_sources(
         named = [s for s, w in sorted(weights.items()) if w > 0]
     keys = spark.createDataFrame([(s, i) for i, s in enumerate(named)], "name string, stream int")
     known = sizes.join(F.broadcast(keys), F.col("s").eqNullSafe(F.col("name")), "left")
-    streams = known.groupBy(F.coalesce("stream", F.lit(len(named))).alias("stream")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    streams = known.groupBy(F.coalesce("stream", F.lit(len(named))).alias("stream")).agg(
+        *[F.sum(c).alias(c) for c in ("n", "chars", "w")]
+    )
     found = sorted(streams.collect(), key=lambda r: r["stream"])
     if weights is None:
         targets = [r["w"] for r in found]
     else:
         given = [weights[s] for s in named]
         targets = [given[r["stream"]] if r["stream"] < len(named) else sum(given) / max(len(given), 1) or 1.0 for r in found]
-    shares = quotas(targets, max(period, 2 * len(found)))
-    slots = pfair_slots(shares) if found else []
-    length = sum(shares)
-    per_stream = spark.createDataFrame(
-        [(r["stream"], -(-r["n"] // BUCKET_ROWS), q) for r, q in zip(found, shares)], "stream int, buckets long, share int"
-    )
+    blocks = [int(r["chars"]) // block_chars + 1 for r in found]
+    slots = pfair_slots(whole(targets), blocks)
+    per_stream = spark.createDataFrame([(r["stream"], -(-r["n"] // BUCKET_ROWS)) for r in found], "stream int, buckets long")
     table = spark.createDataFrame(
-        [(r["stream"], j, s) for r, own in zip(found, slots) for j, s in enumerate(own)], "stream int, turn int, first long"
+        [(r["stream"], k, s) for r, own in zip(found, slots) for k, s in enumerate(own)], "stream int, block long, slot long"
     )
     order = F.xxhash64(F.col(f"`{id_col}`"))
     rows = docs.select(*[f"`{c}`" for c in others], source.alias("__s"), text.cast("long").alias("__n"), order.alias("__h"))
@@ -132,6 +173,5 @@ def mix_sources(
     within = F.expr(f"sum(__n) OVER (PARTITION BY stream, __bucket ORDER BY {ids} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
     placed = rows.withColumn("__before", F.coalesce(within, F.lit(0))).join(starts, ["stream", "__bucket"])
     placed = placed.withColumn("block", F.floor((F.col("__start") + F.col("__before")) / F.lit(block_chars)))
-    placed = placed.withColumn("turn", (F.col("block") % F.col("share")).cast("int")).join(F.broadcast(table), ["stream", "turn"])
-    slot = (F.floor(F.col("block") / F.col("share")) * F.lit(length) + F.col("first")).alias("slot")
-    return placed.select(*[f"`{c}`" for c in others], "stream", "block", slot)
+    placed = placed.join(F.broadcast(table), ["stream", "block"])
+    return placed.select(*[f"`{c}`" for c in others], "stream", "block", "slot")

@@ -4,6 +4,7 @@ import collections
 import html
 import itertools
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -105,6 +106,33 @@ def test_pfair_lag_is_below_one_block():
             assert all(abs(sum(s < t for s in own) - t * q / 200) < 1 for t in range(201))
 
 
+def test_pfair_lag_is_against_the_weights_themselves():
+    ends = [7, 400, 30] + [25] * 17
+    for weights, counts in (([9.5] + [1.0] * 19, [1_000] + [106] * 19), ([0.1, 3**0.5, 0.7] + [0.3] * 17, ends), ([2.0**-40, 1.0], [3, 9])):
+        exact, fluid, taken = [Fraction(w) for w in weights], [Fraction(0)] * len(weights), [0] * len(weights)
+        order = list(mixing.pfair_order(mixing.whole(weights), counts))
+        assert collections.Counter(order) == dict(enumerate(counts))
+        for i in order:
+            taken[i] += 1
+            left = Fraction(1)  # of the slot, shared by the streams that have not ended
+            while left and any(f < n for f, n in zip(fluid, counts)):
+                on = [j for j, n in enumerate(counts) if fluid[j] < n]
+                total = sum(exact[j] for j in on)
+                step = min(left / total, min((counts[j] - fluid[j]) / exact[j] for j in on))
+                for j in on:
+                    fluid[j] += exact[j] * step
+                left -= step * total
+            assert all(abs(f - n) < 1 for f, n in zip(fluid, taken))
+
+
+def test_mixture_follows_the_weights_themselves(spark):
+    docs = spark.range(2_000).selectExpr("id AS doc_id", "if(id < 600, 'hot', concat('s', id % 19)) AS source", "repeat('x', 10) AS text")
+    weights = {"hot": 9.5} | {f"s{i}": 1.0 for i in range(19)}
+    found = mixing.mix_sources(docs, weights=weights, block_chars=10).toPandas()
+    hot = np.sort(found[found.source == "hot"].slot.to_numpy())
+    assert (abs(hot - np.arange(len(hot)) * 3) <= 3).all()
+
+
 def test_mixture_keeps_all_rows(spark, small_dir, odd_docs, no_docs):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
     found = mixing.mix_sources(docs, block_chars=5_000).toPandas()
