@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import accumulate
+from itertools import accumulate, islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from labelloom.plans.staging import stage
+from labelloom.plans.staging import fits_in_memory, stage
 
 BLOCK_CHARS = 1 << 20  # characters of a block, the unit that is scheduled
-MAX_STREAMS = 500  # sources scheduled by themselves; the rest share one stream of their joint weight
 POWER = 0.5  # a source's target weight is its characters to this power
 BUCKET_ROWS = 64
 SUPER_BUCKETS = 1024
+OUT_ROWS = 50_000
 
 
 def quotas(weights: list[float], period: int) -> list[int]:
@@ -95,6 +97,23 @@ def pfair_slots(shares: list[int], counts: list[int] | None = None) -> list[list
     return out
 
 
+def _scheduled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The slot of every block, from one row of weight and blocks per stream."""
+    found = [part for part in parts if len(part)]
+    if not found:
+        return
+    streams = pd.concat(found).sort_values("stream")
+    names, counts = streams["stream"].tolist(), streams["blocks"].tolist()
+    done, slot, order = [0] * len(names), 0, pfair_order(whole(streams["w"].tolist()), counts)
+    while own := list(islice(order, OUT_ROWS)):
+        turns = []
+        for i in own:
+            turns.append(done[i])
+            done[i] += 1
+        yield pd.DataFrame({"stream": [names[i] for i in own], "block": turns, "slot": range(slot, slot + len(own))})
+        slot += len(own)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -102,7 +121,6 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_chars: int = BLOCK_CHARS,
-    max_streams: int = MAX_STREAMS,
     power: float = POWER,
 ) -> DataFrame:
     """``docs`` with ``stream``, ``block`` and ``slot``: reading by (slot, stream, block, id) is the mixture.
@@ -116,51 +134,44 @@ def mix_sources(
     share of the slots; from then on from its share among the streams that are
     left, which keep their proportions.
 
-    ``weights`` names the streams and their targets; other sources share one
-    stream with the mean of them. Without it, a source's target is its
-    characters to ``power``, for the ``max_streams`` largest, and the others
-    share one stream of their joint weight.
-
-    The driver sees one row per stream, ``max_streams`` + 1 at most. Running
-    lengths come from sums per bucket of about ``BUCKET_ROWS`` documents, and
-    of ``SUPER_BUCKETS`` buckets, so that a source of any size is many small
-    groups. Null sources are one source of their own; null and empty texts have
-    no length but a place; rows that repeat an id stand together. Input columns
-    named as the outputs are replaced.
+    ``weights`` gives targets by name; all other sources together get the mean
+    of them, each in proportion to its characters to ``power``. Without it, a
+    source's target is its characters to ``power``. Streams are numbered by
+    falling target, the named ones first.
+
+    The schedule is made by one task from one row per stream and staged, one
+    row per block. Running lengths come from sums per bucket of about
+    ``BUCKET_ROWS`` documents, and of ``SUPER_BUCKETS`` buckets, so that a
+    source of any size is many small groups. Null sources are one source of
+    their own; null and empty texts have no length but a place; rows that repeat
+    an id stand together. Input columns named as the outputs are replaced.
     """
     spark = docs.sparkSession
     others = [c for c in docs.columns if c not in ("stream", "block", "slot")]
     source, text = F.col(f"`{source_col}`").cast("string"), F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     sizes = docs.groupBy(source.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(text.cast("double")).alias("chars"))
+    size = F.pow(F.greatest(F.col("chars"), F.lit(1.0)), F.lit(power))
+    given = {s: float(w) for s, w in (weights or {}).items() if w > 0}
     if weights is None:
-        target = F.pow(F.greatest(F.col("chars"), F.lit(1.0)), F.lit(power))
-        sizes = stage(sizes.withColumn("w", target))
-        named = [r["s"] for r in sizes.orderBy(F.desc("w"), "s").limit(max_streams).collect()]
-    else:
-        sizes = stage(sizes.withColumn("w", F.lit(1.0)))
-        named = [s for s, w in sorted(weights.items()) if w > 0]
-    keys = spark.createDataFrame([(s, i) for i, s in enumerate(named)], "name string, stream int")
-    known = sizes.join(F.broadcast(keys), F.col("s").eqNullSafe(F.col("name")), "left")
-    streams = known.groupBy(F.coalesce("stream", F.lit(len(named))).alias("stream")).agg(
-        *[F.sum(c).alias(c) for c in ("n", "chars", "w")]
-    )
-    found = sorted(streams.collect(), key=lambda r: r["stream"])
-    if weights is None:
-        targets = [r["w"] for r in found]
+        sizes = sizes.withColumn("given", F.lit(None).cast("double")).withColumn("w", size)
     else:
-        given = [weights[s] for s in named]
-        targets = [given[r["stream"]] if r["stream"] < len(named) else sum(given) / max(len(given), 1) or 1.0 for r in found]
-    blocks = [int(r["chars"]) // block_chars + 1 for r in found]
-    slots = pfair_slots(whole(targets), blocks)
-    per_stream = spark.createDataFrame([(r["stream"], -(-r["n"] // BUCKET_ROWS)) for r in found], "stream int, buckets long")
-    table = spark.createDataFrame(
-        [(r["stream"], k, s) for r, own in zip(found, slots) for k, s in enumerate(own)], "stream int, block long, slot long"
-    )
+        keys = stage(spark.createDataFrame(list(given.items()), "name string, given double"))
+        sizes = stage(sizes.join(keys, F.col("s").eqNullSafe(F.col("name")), "left").drop("name").withColumn("size", size))
+        rest = sizes.where("given IS NULL").agg(F.sum("size")).first()[0] or 1.0
+        mean = sum(given.values()) / max(len(given), 1) or 1.0
+        share = F.greatest(F.col("size") * F.lit(mean / rest), F.lit(sys.float_info.min))
+        sizes = sizes.withColumn("w", F.coalesce("given", share)).drop("size")
+    number = F.expr("CAST(row_number() OVER (ORDER BY given IS NULL, w DESC, s) - 1 AS INT)")
+    streams = sizes.select("s", number.alias("stream"), F.expr(f"CAST(ceil(n / {BUCKET_ROWS}) AS LONG)").alias("buckets"), "chars", "w")
+    streams = stage(streams)
+    blocks = F.expr(f"CAST(chars AS LONG) div {int(block_chars)} + 1").alias("blocks")
+    table = stage(streams.select("stream", "w", blocks).coalesce(1).mapInPandas(_scheduled, "stream int, block long, slot long"))
+    known = streams.select(F.col("s").alias("__source"), "stream", F.col("buckets").alias("__buckets"))
+    known = F.broadcast(known) if fits_in_memory(known) else known
     order = F.xxhash64(F.col(f"`{id_col}`"))
     rows = docs.select(*[f"`{c}`" for c in others], source.alias("__s"), text.cast("long").alias("__n"), order.alias("__h"))
-    rows = rows.join(F.broadcast(keys), F.col("__s").eqNullSafe(F.col("name")), "left").drop("name", "__s")
-    rows = rows.withColumn("stream", F.coalesce("stream", F.lit(len(named)))).join(F.broadcast(per_stream), "stream")
-    rows = rows.withColumn("__bucket", F.pmod("__h", "buckets"))
+    rows = rows.join(known, F.col("__s").eqNullSafe(F.col("__source"))).drop("__s", "__source")
+    rows = rows.withColumn("__bucket", F.pmod("__h", "__buckets"))
     sums = rows.groupBy("stream", "__bucket").agg(F.sum("__n").alias("own"))
     sums = stage(sums.withColumn("super", F.floor(F.col("__bucket") / SUPER_BUCKETS)))
     supers = sums.groupBy("stream", "super").agg(F.sum("own").alias("all"))
@@ -173,5 +184,5 @@ def mix_sources(
     within = F.expr(f"sum(__n) OVER (PARTITION BY stream, __bucket ORDER BY {ids} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
     placed = rows.withColumn("__before", F.coalesce(within, F.lit(0))).join(starts, ["stream", "__bucket"])
     placed = placed.withColumn("block", F.floor((F.col("__start") + F.col("__before")) / F.lit(block_chars)))
-    placed = placed.join(F.broadcast(table), ["stream", "block"])
+    placed = placed.join(table, ["stream", "block"])
     return placed.select(*[f"`{c}`" for c in others], "stream", "block", "slot")

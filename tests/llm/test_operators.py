@@ -133,6 +133,15 @@ def test_mixture_follows_the_weights_themselves(spark):
     assert (abs(hot - np.arange(len(hot)) * 3) <= 3).all()
 
 
+def test_every_source_is_a_stream(spark):
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "if(id < 1800, nullif(concat('s', id % 600), 's7'), 'hot') AS source", "repeat('x', 10) AS text")
+    for weights in (None, {"hot": 2.0, "s1": 1.0}):
+        found = mixing.mix_sources(docs, weights=weights, block_chars=10).toPandas()
+        assert len(found) == 3_000 and found.stream.nunique() == 601
+        assert found.fillna({"source": "none"}).groupby("stream").source.nunique().max() == 1
+        assert found.slot.is_unique
+
+
 def test_mixture_keeps_all_rows(spark, small_dir, odd_docs, no_docs):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
     found = mixing.mix_sources(docs, block_chars=5_000).toPandas()
