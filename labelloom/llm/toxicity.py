@@ -39,45 +39,80 @@ _CARRIER = _CODE > 0  # what may be a letter of a disguised word
 for _sign in DISGUISES:
     if ord(_sign) < 0x250:
         _CARRIER[ord(_sign)] = True
-# Words with signs inside or before their letters; single letters pulled apart; a letter three times or more.
+# Words with signs inside or before their letters, as a whole piece and within one; single letters pulled apart; a letter three times or more.
 _MIXED = re.compile(rf"[^\W\d_{_SIGNS}]*(?:[^\W\d_][{_SIGNS}]+|[{_SIGNS}]+[^\W\d_])(?:[^\W\d_]|[{_SIGNS}])*")
+_SIGN = re.compile(rf"[{_SIGNS}]")
+_SPAN = re.compile(rf"(?:[^\W\d_]|[{_SIGNS}])+")
 _APART = re.compile(
-    rf"(?<![\w{_SIGNS}])(?:[^\W\d_]|[{_SIGNS}])(?:[{re.escape(SEPARATORS)}]{{1,2}}(?:[^\W\d_]|[{_SIGNS}])){{3,}}(?![\w{_SIGNS}])"
+    rf"(?<![\w{_SIGNS}])(?:[^\W\d_]|[{_SIGNS}])(?:[{re.escape(SEPARATORS)}]{{1,2}}(?:[^\W\d_]|[{_SIGNS}])){{2,}}(?![\w{_SIGNS}])"
 )
-_TRIPLE = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
 _WORDS = re.compile(r"[^\W\d_]+")
+_HEAD = re.compile(r"^(?:[(<!|+\u00a1]|([^\w\s])\1+)+")
 _TAIL = re.compile(r"(?:[.,;:!?)\]\"'\u2026]|([^\w\s])\1+)+$")
 
 
-def pulled_apart(text: str) -> bool:
-    """Whether four single letters or signs follow each other with one or two characters between."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+
+
+def pulled_apart(points: np.ndarray) -> bool:
+    """Whether three single letters or signs follow each other with one or two characters between."""
     carrier = np.concatenate([[False], np.where(points < 0x250, _CARRIER[np.minimum(points, 0x24F)], True), [False]])
     single = np.flatnonzero(carrier[1:-1] & ~carrier[:-2] & ~carrier[2:])
     close = np.diff(single) <= 3
-    return bool((close[:-2] & close[1:-1] & close[2:]).any()) if len(close) > 2 else False
+    return bool((close[:-1] & close[1:]).any())
+
+
+def tripled(text: str, points: np.ndarray) -> set[str]:
+    """The words of any script in which a letter comes three times or more."""
+    same = points[1:] == points[:-1]
+    found, seen = set(), 0
+    for at in np.flatnonzero(same[:-1] & same[1:]).tolist():
+        if at < seen or not text[at].isalpha():
+            continue
+        low, seen = at, at
+        while low and text[low - 1].isalpha():
+            low -= 1
+        while seen < len(text) and text[seen].isalpha():
+            seen += 1
+        found.add(text[low:seen])
+    return found
 
 
 def disguised(text: str, odd: list[str]) -> set[str]:
     """The words of a lower-cased text that may hide another one.
 
     ``odd`` are its space-separated pieces that are not letters alone. A word is
-    disguised when signs stand inside or before its letters, when a letter comes
-    three times or more, or when single letters are pulled apart (there, also
-    without the first or the last, which may be words of one letter).
+    disguised when signs stand inside or before its letters, in whatever quotes,
+    brackets or compound it stands, when a letter comes three times or more, or
+    when three or more single letters are pulled apart (of four and more, also
+    without the first or the last, which may be words of one letter; three need a
+    letter among them, as figures come in threes). Signs that also open a phrase
+    are read both ways.
     """
     found = set()
     for piece in odd:
         bare = _TAIL.sub("", piece)
-        if not bare.isalpha() and _MIXED.fullmatch(bare):
-            found.add(bare)
-    if any(c * 3 in text for c in LETTERS):
-        found.update(m.group() for m in _TRIPLE.finditer(text))
-    if pulled_apart(text):
+        if bare.isalpha() or not _SIGN.search(bare):
+            continue
+        whole = [bare] if _MIXED.fullmatch(bare) else [_TAIL.sub("", x) for x in _SPAN.findall(piece)]
+        for word in whole:
+            for reading in {word, _HEAD.sub("", word)}:
+                if not reading.isalpha() and _MIXED.fullmatch(reading):
+                    found.add(reading)
+    points = _points(text)
+    found |= tripled(text, points)
+    if pulled_apart(points):
         for m in _APART.finditer(text):
             run = m.group()
-            tight = [x for x in run.split() if len(x) > 6]  # another separator than the space around it
-            found.update(tight or {run[a : len(run) - b] for a in (0, 2) for b in (0, 2)})
+            n = sum(c not in SEPARATORS for c in run)
+            if n == 3 and not any(c.isalpha() for c in run):
+                continue
+            tight = [x for x in run.split() if len(x) > 4]  # another separator than the space around it
+            ends = (0, 2) if n > 3 else (0,)
+            found.update(tight)
+            if all(len(x) < 7 for x in tight):
+                found.update(run[a : len(run) - b] for a in ends for b in ends)
     return found
 
 

@@ -272,6 +272,17 @@ def test_toxicity_restores_disguised_words(spark, small_dir, odd_docs, no_docs):
     assert toxicity.fit_toxicity(no_docs, labels, "toxic", F.lit(True)).share < 0.1
 
 
+def test_disguises_are_found_wherever_they_stand():
+    def found(text):
+        return toxicity.disguised(text, [p for p in set(text.split()) if not p.isalpha()])
+
+    for piece in ('"h4te"', "[h4te]", "*h4te*", "(h4te)", "h4te-speech", "you/h4te", "h4te_you", "\u201ch4te\u201d", "'h4te!'/x", "\u00a1h4te!", "h4te"):
+        assert "h4te" in found(f"the {piece} of"), piece
+    assert "a.s.s" in found("an a.s.s, no") and "f o x" in found("the f o x ran") and not found("at 1 2 3 or 1.2.3 now")
+    assert {"даааа", "ჰააა", "niiice"} <= found("ну даааа ჰააა so niiice... ---")
+    assert not found("plain words, 'quoted' and [bracketed] or well-known ones; i am a man. don't!")
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     data = rng.normal(size=(700, 5)).round(1)
