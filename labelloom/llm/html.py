@@ -18,6 +18,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN_TAGS = frozenset("script style noscript template textarea title head svg math object iframe select option button".split())
+HEAD_TAGS = frozenset("head base link meta title script style noscript template".split())
 RAW_TAGS = frozenset("script style noscript template textarea title iframe".split())
 CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
 BOILERPLATE_TAGS = {"nav": 8.0, "footer": 8.0, "aside": 8.0, "form": 8.0, "menu": 8.0, "dialog": 8.0, "header": 5.0, "fieldset": 4.0}
@@ -71,10 +72,12 @@ def blocks(page: str) -> tuple[list[tuple[str, float, Node]], list[Node]]:
     text: list[tuple[str, bool]] = []
 
     def flush() -> None:
-        whole = " ".join("".join(t for t, _ in text).split())
-        if whole and not stack.unseen:
+        whole, holder = " ".join("".join(t for t, _ in text).split()), stack
+        while _inline(holder.tag):
+            holder = holder.parent
+        if whole and not holder.unseen:
             linked = sum(len("".join(t.split())) for t, in_link in text if in_link)
-            out.append((whole, linked / max(sum(len("".join(t.split())) for t, _ in text), 1), stack))
+            out.append((whole, linked / max(sum(len("".join(t.split())) for t, _ in text), 1), holder))
         text.clear()
 
     def close(tag: str, within: tuple[str, ...] = ()) -> None:
@@ -85,11 +88,20 @@ def blocks(page: str) -> tuple[list[tuple[str, float, Node]], list[Node]]:
         if node.tag == tag and node.parent is not None:
             stack = node.parent
 
+    def inline_open(tag: str) -> Node | None:
+        """The innermost of the inline elements around this place, up to their block, that has the tag."""
+        node = stack
+        while _inline(node.tag) and node.tag != tag:
+            node = node.parent
+        return node if node.tag == tag else None
+
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
         if m is None or m.start() > at:
             piece = page[at : m.start() if m else end]
+            if stack.tag == "head" and piece.strip():
+                stack = stack.parent
             if not stack.unseen:
                 text.append((html.unescape(piece), depth > 0))
         if m is None:
@@ -99,16 +111,22 @@ def blocks(page: str) -> tuple[list[tuple[str, float, Node]], list[Node]]:
         if not tag:
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        if stack.tag == "head" and not closing and tag not in HEAD_TAGS:
+            stack = stack.parent  # the end tag of a head may be left out
         if not closing and tag in RAW_TAGS:
             stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
         if tag == "a":
             depth = max(depth - 1, 0) if closing else 1
-            continue
-        if tag not in BLOCK_TAGS and tag not in UNSEEN_TAGS and not _hides(attributes):
-            continue
-        if tag in BLOCK_TAGS or tag in UNSEEN_TAGS:
+        if _inline(tag):
+            around = inline_open(tag)
+            if closing:
+                stack = around.parent if around else stack
+                continue
+            if around is None and not _hides(attributes):
+                continue
+        else:
             flush()
             depth = 0 if tag in BLOCK_TAGS and tag != "br" else depth
         if closing:
@@ -126,6 +144,10 @@ def blocks(page: str) -> tuple[list[tuple[str, float, Node]], list[Node]]:
     return out, nodes
 
 
+def _inline(tag: str) -> bool:
+    return tag not in BLOCK_TAGS and tag not in UNSEEN_TAGS
+
+
 def _hides(attributes: str) -> bool:
     """Whether an inline element is kept from view, so that it counts as an element of its own."""
     return "hidden" in attributes or ("display" in attributes and "none" in attributes)

@@ -54,6 +54,22 @@ def test_html_by_hand():
     assert main_text("<article><p>" + "word " * 20_000).count("word") == 20_000
 
 
+def test_html_hidden_inline_elements_end():
+    def texts(inner):
+        return content_blocks(f"<article>{inner}</article>")
+
+    assert texts('<p>Some text <i class="icon" aria-hidden="true"></i> and more.</p><p>Next one.</p>') == ["Some text and more.", "Next one."]
+    assert texts('<i aria-hidden="true">x</i><p>First one.</p><p>Next one.</p>') == ["First one.", "Next one."]
+    assert texts('<p>Seen <span hidden>not <span>nor</span> this</span> again.</p>') == ["Seen again."]
+    assert texts('<p>Seen <b style="display: none">not this</p><p>Next one.</p>') == ["Seen", "Next one."]
+    assert texts('<p>Seen <a href="x" hidden>not this</a> again.</p>') == ["Seen again."]
+    assert texts('<p>Seen <span class="overflow-hidden">as well</span> here.</p>') == ["Seen as well here."]
+    for start in ("<body>", "", "<div>"):
+        page = f'<html><head><meta charset="utf-8"><title>T</title><script>x</script>\n{start}<article><p>Text of the page.</p></article>'
+        assert content_blocks(page) == ["Text of the page."]
+    assert content_blocks("<head><title>T</title>Bare words of this page, here.") == content_blocks("Bare words of this page, here.")
+
+
 def test_html_on_awkward_rows(spark):
     df = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (3, "<article><p>cut &am", "t")], "page_id long, html string, text string")
     assert [r["text"] for r in extract_main_text(df).orderBy("page_id").collect()] == ["", "", "cut &am"]
