@@ -11,12 +11,15 @@ from labelloom.llm.html import extract_main_text
 from labelloom.llm.labels import fold
 from labelloom.llm.language import fit_language, identify_language
 from labelloom.llm.lines import dedup_lines
+from labelloom.llm.merkle import folded, leaf_digest, merkle_manifest, proof_digest
 from labelloom.llm.mixing import mix_sources
 from labelloom.llm.near import near_duplicates
 from labelloom.llm.quality import fit_quality, score_quality
+from labelloom.llm.simhash import simhash_duplicates
 from labelloom.llm.tokens import count_tokens, read_vocabulary
 from labelloom.llm.topk import top_k
 from labelloom.llm.toxicity import fit_toxicity, score_toxicity
+from labelloom.llm.whitening import fit_whitening, identity_error, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +140,91 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
        vec_id, score
 FROM scored QUALIFY rank <= 10
 """
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector along the eight leading components of all vectors, each scaled to unit variance."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    model = fit_whitening(vectors)
+    error = identity_error(vectors, model)
+    shares = F.array(*[F.lit(float(e / model.trace)) for e in model.values]).cast("array<double>")
+    rows = whiten(vectors, model).select("vec_id", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether its proof holds once one in seven is tampered with."""
+    docs = documents(spark, sf)
+    told = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    found = F.when(told, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    leaf, now = (leaf_digest("doc_id", "source", "lang", n, "text") for n in ("n_chars", found))
+    made = merkle_manifest(docs.select("doc_id", "lang", leaf.alias("leaf"), now.alias("now")))
+    made = made.withColumn("folded_root", folded("now", "path"))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest("path").alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+# A tree's levels are lists that halve; a path is a list of L, R or - with the sibling's digest. crc32 is a fold over the id's digits.
+ORACLES["op12_merkle_manifest"] = r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree, row_number() OVER () AS line,
+           coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+               || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+           coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS told,
+           CASE WHEN doc_id IS NOT NULL AND xor(4294967295, list_reduce(
+               list_transform(range(len(CAST(doc_id AS VARCHAR))), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i + 1]) AS BIGINT)),
+               lambda crc, digit: list_reduce(range(8), lambda c, bit: xor(c >> 1, 3988292384 * (c & 1)), xor(crc, digit)),
+               CAST(4294967295 AS BIGINT))) % 7 = 0 THEN 1 ELSE 0 END AS added,
+           n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail
+    FROM documents
+), leaves AS (
+    SELECT doc_id, tree, line, sha256(head || told || tail) AS leaf,
+           sha256(head || coalesce(strlen(CAST(n_chars + added AS VARCHAR)) || ':' || (n_chars + added), '-') || tail) AS now
+    FROM docs
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, line) - 1 AS place FROM leaves
+), levels AS (
+    SELECT tree, 0 AS level, list(leaf ORDER BY place) AS nodes FROM placed GROUP BY tree
+    UNION ALL
+    SELECT tree, level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))
+    FROM levels WHERE len(nodes) > 1
+), subroots AS (
+    SELECT tree, nodes[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM levels WHERE len(nodes) = 1
+), tops AS (
+    SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+    UNION ALL
+    SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))
+    FROM tops WHERE len(nodes) > 1
+), above AS (
+    SELECT s.tree, list(CASE WHEN t.nodes[xor(s.place >> t.level, 1) + 1] IS NULL THEN '-' WHEN (s.place >> t.level) & 1 = 1 THEN 'L' ELSE 'R' END
+                        || coalesce(t.nodes[xor(s.place >> t.level, 1) + 1], '') ORDER BY t.level) AS steps
+    FROM subroots s, tops t WHERE len(t.nodes) > 1 GROUP BY s.tree
+), below AS (
+    SELECT p.line, list(CASE WHEN l.nodes[xor(p.place >> l.level, 1) + 1] IS NULL THEN '-' WHEN (p.place >> l.level) & 1 = 1 THEN 'L' ELSE 'R' END
+                        || coalesce(l.nodes[xor(p.place >> l.level, 1) + 1], '') ORDER BY l.level) AS steps
+    FROM placed p JOIN levels l ON l.tree = p.tree AND len(l.nodes) > 1 GROUP BY p.line
+), proved AS (
+    SELECT p.doc_id, p.leaf, p.now, s.subroot, (SELECT nodes[1] FROM tops WHERE len(nodes) = 1) AS root,
+           list_concat(coalesce(u.steps, []), coalesce(o.steps, [])) AS steps
+    FROM placed p JOIN subroots s ON s.tree = p.tree LEFT JOIN below u ON u.line = p.line LEFT JOIN above o ON o.tree = p.tree
+), ended AS (
+    SELECT *, list_reduce(steps, lambda node, step: sha256(
+               CASE step[1] WHEN 'L' THEN step[2:] || node WHEN 'R' THEN node || step[2:] ELSE node END), now) AS folded_root FROM proved
+)
+SELECT doc_id, leaf, subroot, root, sha256(list_reduce(steps, lambda text, step: text || step[2:], '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM ended
+"""
+
+
+@query
+def op13_simhash_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint of every document, and the least document that links of three bits or fewer reach."""
+    found = simhash_duplicates(documents(spark, sf))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
