@@ -693,6 +693,23 @@ def train_linear_svm(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def logistic_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows and classes, and whether the returned model is where the gradient vanishes."""
+    train = _training_data(spark, sf)[0].filter("split = 'train'")
+    rows = stage(sampling.with_weights(train, sampling.balanced_weights(train, "label_idx"), "label_idx"))
+    ratio = models.gradient_ratio(rows, models.train_logistic(train), weight="weight")
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("label_idx").alias("classes"), F.lit(ratio < 1e-4).alias("at_optimum"))
+
+
+@query
+def svm_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of the support vector machines."""
+    train = _training_data(spark, sf)[0].filter("split = 'train'")
+    ratio = models.gradient_ratio(train, models.train_linear_svm(train))
+    return train.agg(F.count("*").alias("n"), F.countDistinct("label_idx").alias("classes"), F.lit(ratio < 1e-4).alias("at_optimum"))
+
+
 @query
 def train_and_compare_query(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of the full job that hold whatever the fitted numbers are."""

@@ -279,6 +279,10 @@ stats AS (SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM ke
         + "SELECT class, max(count(*)) OVER () AS n, round(1.0::DOUBLE / count(*) OVER (), 2) AS share FROM splitted WHERE split = 'train' GROUP BY class",
         "train_linear_svm": _with(CORPUS, split())
         + "SELECT count(*) AS n, count(DISTINCT class) AS classes, true AS beats_majority FROM splitted WHERE split = 'train'",
+        "logistic_optimum": _with(CORPUS, split())
+        + "SELECT count(*) AS n, count(DISTINCT class) AS classes, true AS at_optimum FROM splitted WHERE split = 'train'",
+        "svm_optimum": _with(CORPUS, split())
+        + "SELECT count(*) AS n, count(DISTINCT class) AS classes, true AS at_optimum FROM splitted WHERE split = 'train'",
         "train_and_compare": _with(CORPUS, split())
         + """SELECT 3::BIGINT AS models, 3 * count(*) AS predictions, 1::BIGINT AS best, 3::BIGINT AS recall_is_accuracy,
             true AS best_has_top_f1 FROM splitted WHERE split = 'test'""",

@@ -62,18 +62,57 @@ def test_logistic_reaches_the_usual_optimum(train, balanced):
     assert best - 1e-6 <= ours <= best * 1.002
 
 
-def test_svm_beats_the_majority_class(train):
-    model = models.train_linear_svm(train)
-    right = model.transform(train).filter("prediction = label_idx").count()
-    assert right > 60
-    again = models.train_linear_svm(train)
-    assert [m.coefficients for m in model.models] == [m.coefficients for m in again.models]
-
-
-def test_small_training_data_is_packed(train):
-    packed, penalty = models._ready(train.repartition(16), None)
-    least = max(1, train.sparkSession.sparkContext.defaultParallelism // models.PARALLEL_CLASSES)
-    assert packed.rdd.getNumPartitions() == least and math.isclose(penalty, 1 / 90)
+def squared_hinge_optimum(x, sign, c, rounds=60):
+    """Newton steps with the dense matrix of the active rows; the intercept is a penalised feature."""
+    a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    w = np.zeros(a.shape[1])
+    for _ in range(rounds):
+        active = sign * (a @ w) < 1
+        hessian = np.eye(len(w)) + 2 * (a[active] * c[active][:, None]).T @ a[active]
+        w = np.linalg.solve(hessian, 2 * a[active].T @ (c[active] * sign[active]))
+    return w
+
+
+def test_svm_reaches_the_optimum_of_the_squared_hinge(train):
+    x, y = points()
+    own = len(y) / (3 * np.bincount(y))
+    model = models.train_linear_svm(train, tolerance=1e-9)
+    for k, m in enumerate(model.models):
+        best = squared_hinge_optimum(x, np.where(y == k, 1.0, -1.0), np.where(y == k, own[k], 1.0))
+        assert np.allclose([*m.coefficients, m.intercept], best, atol=1e-7)
+    assert models.gradient_ratio(train, model) < 1e-8
+    assert model.transform(train).filter("prediction = label_idx").count() > 60
+
+
+@pytest.mark.parametrize("balanced", [True, False])
+def test_logistic_gradient_vanishes(train, balanced):
+    x, y = points()
+    w = (len(y) / (3 * np.bincount(y)))[y] if balanced else np.ones(len(y))
+    model = models.train_logistic(train, balanced=balanced, tolerance=1e-9)
+    coef, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    p = np.exp(x @ coef.T + bias)
+    d = w[:, None] * (p / p.sum(axis=1, keepdims=True) - np.eye(3)[y])
+    assert np.abs(d.T @ x + coef).max() < 1e-6 and np.abs(d.sum(axis=0)).max() < 1e-6 and abs(bias.sum()) < 1e-9
+
+
+def test_sparse_and_dense_rows_and_rows_without_entries_are_the_same(spark):
+    dense = [(0, Vectors.dense([1.0, 0.0, 2.0])), (1, Vectors.dense([0.0, 0.0, 0.0])), (1, Vectors.dense([0.0, 3.0, 0.0])), (0, Vectors.dense([1.0, 1.0, 0.0]))]
+    sparse = [(y, Vectors.sparse(3, [(i, v) for i, v in enumerate(x) if v])) for y, x in dense]
+    found = [models.train_logistic(spark.createDataFrame(rows, ["label_idx", "features"]).repartition(3)) for rows in (dense, sparse)]
+    assert np.allclose(found[0].coefficientMatrix.toArray(), found[1].coefficientMatrix.toArray(), atol=1e-6)
+
+
+def test_training_refuses_nulls_and_no_rows(train):
+    with pytest.raises(ValueError):
+        models.train_logistic(train.filter("false"), balanced=False)
+    with pytest.raises(ValueError):
+        models.train_logistic(train.withColumn("features", F.when(F.col("id") > 0, F.col("features"))), balanced=False)
+
+
+def test_a_class_without_rows_stays_at_its_penalty(train):
+    gap = train.filter("label_idx <> 1")
+    model = models.train_logistic(gap, balanced=False)
+    assert model.numClasses == 3 and gap.count() == model.transform(gap).filter("prediction <> 1").count()
 
 
 def test_oversampled(spark, train):
