@@ -8,20 +8,26 @@ every executor is joined instead.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from labelloom.operators.profile import term_stats
+from labelloom.operators.vocabulary import frequent_terms, top_terms
 from labelloom.plans.staging import MAX_SHARED_BYTES, MAX_SHARED_ROWS, fits_in_memory, stage
 
-# Copies of each vocabulary row in the joined form, so that a term found in a
-# third of all documents is shared by as many tasks.
-JOIN_SALTS = 32
-# Rows one task may merge to find the top terms, and groups of partitions beyond.
-MAX_MERGED_ROWS = 5_000_000
-MERGE_GROUPS = 64
+# Occurrences from which on a vocabulary is fitted by summaries of fixed size.
+SUMMARY_TERMS = 200_000_000
+# Documents of one term that one task joins, and the most terms that have more.
+ROWS_PER_SALT = 200_000
+MAX_HOT_TERMS = 100_000
+# Bits of the filter for foreign terms: for each term, at most, and the hashes.
+FILTER_BITS_PER_TERM, MAX_FILTER_BITS, FILTER_HASHES = 16, 1 << 28, 4
 # Characters of a term that form its order-preserving bucket when numbering.
 PREFIX = 3
 
@@ -33,31 +39,20 @@ def idf(df_count: Column | str, n_docs: Column | int) -> Column:
     return F.log((total + 1.0) / (found + 1.0)) + 1.0
 
 
-def top_terms(stats: DataFrame, k: int) -> DataFrame:
-    """The ``k`` rows of highest ``cf``, ties to the smaller term, without a full sort.
-
-    Each partition keeps its own top ``k`` and one task merges them. With so many
-    partitions that the merge would be long, they are merged in groups first.
-    """
-    partitions = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = [F.desc("cf"), F.col("term")]
-    if partitions * k > MAX_MERGED_ROWS:
-        group = stats.withColumn("_group", F.spark_partition_id() % MERGE_GROUPS)
-        place = F.row_number().over(Window.partitionBy("_group").orderBy(*first))
-        stats = group.withColumn("_place", place).filter(F.col("_place") <= k).select(*stats.columns)
-    return stats.orderBy(*first).limit(k)
-
-
-def fit_vocabulary(docs: DataFrame, terms: str, max_features: int = 10_000) -> DataFrame:
+def fit_vocabulary(
+    docs: DataFrame, terms: str, max_features: int = 10_000, summary_from: int = SUMMARY_TERMS, capacity: int | None = None
+) -> DataFrame:
     """Staged ``(term, idx, cf, df, idf)`` of the most frequent terms.
 
     Keeps the ``max_features`` terms with the highest ``cf``, ties to the smaller
     term, and numbers them alphabetically. Documents without any term count
-    for the idf too.
+    for the idf too. A corpus of ``summary_from`` occurrences or more is
+    summarised first (``vocabulary.frequent_terms``, with ``capacity``); the result is the same.
     """
-    n_docs = docs.agg(F.count("*")).scalar()
-    top = top_terms(term_stats(docs, terms), max_features)
-    weighed = top.withColumn("idf", idf("df", n_docs))
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(terms).cast("long")), F.lit(0)).alias("terms")).first()
+    large = size["terms"] >= summary_from
+    stats = frequent_terms(docs, terms, max_features, capacity) if large else term_stats(docs, terms)
+    weighed = top_terms(stats, max_features).withColumn("idf", idf("df", size["n"]))
     if max_features <= MAX_SHARED_ROWS:
         place = F.row_number().over(Window.orderBy("term")) - 1
         return stage(weighed.select("term", place.alias("idx"), "cf", "df", "idf"))
@@ -82,7 +77,7 @@ def vectorizer(vocabulary: DataFrame, terms: str, output: str = "features") -> P
     The vocabulary comes to the driver, as ML models do; its size is checked.
     """
     if not fits_in_memory(vocabulary):
-        raise ValueError("vocabulary too large for a model; use tfidf(), which joins it")
+        raise ValueError("vocabulary too large for stages on one machine; vectorize() joins it")
     rows = vocabulary.select("term", "idf").orderBy("idx").toPandas()
     counts = CountVectorizerModel.from_vocabulary(rows["term"].tolist(), terms, f"{output}_counts")
     weigh = ElementwiseProduct(
@@ -92,10 +87,24 @@ def vectorizer(vocabulary: DataFrame, terms: str, output: str = "features") -> P
     return PipelineModel([counts, weigh, norm])
 
 
-def vectorize(docs: DataFrame, vocabulary: DataFrame, terms: str, output: str = "features") -> DataFrame:
-    """Adds the TF-IDF vector of each document; the zero vector when it has no term."""
-    made = vectorizer(vocabulary, terms, output).transform(docs)
-    return made.drop(f"{output}_counts", f"{output}_weighted")
+def vectorize(
+    docs: DataFrame,
+    vocabulary: DataFrame,
+    terms: str,
+    output: str = "features",
+    id_col: str | None = None,
+    max_rows: int = MAX_SHARED_ROWS,
+    max_bytes: int = MAX_SHARED_BYTES,
+) -> DataFrame:
+    """Adds the TF-IDF vector of each document; the zero vector when it has no term (null included).
+
+    A vocabulary beyond the bounds is joined: by a unique ``id_col``, else by row
+    numbers that are written down first.
+    """
+    if fits_in_memory(vocabulary, max_rows, max_bytes):
+        given = docs.withColumn("_terms", F.coalesce(terms, F.array().cast("array<string>")))
+        return vectorizer(vocabulary, "_terms", output).transform(given).drop("_terms", f"{output}_counts", f"{output}_weighted")
+    return _vectors_joined(docs, vocabulary, terms, output, id_col)
 
 
 def tfidf(
@@ -108,7 +117,7 @@ def tfidf(
 ) -> DataFrame:
     """The long form ``(id, term, idx, tfidf)``; documents without terms give no rows."""
     if fits_in_memory(vocabulary, max_rows, max_bytes):
-        vectors = vectorize(docs.select(id_col, terms), vocabulary, terms, "_v")
+        vectors = vectorize(docs.select(id_col, terms), vocabulary, terms, "_v", max_rows=max_rows, max_bytes=max_bytes)
         parts = vectors.select(id_col, F.unwrap_udt("_v").alias("_v"))
         pairs = parts.select(
             id_col, F.inline(F.arrays_zip(F.col("_v.indices").alias("idx"), F.col("_v.values").alias("tfidf")))
@@ -118,39 +127,117 @@ def tfidf(
     return _tfidf_joined(docs, vocabulary, id_col, terms)
 
 
-def _tfidf_joined(docs: DataFrame, vocabulary: DataFrame, id_col: str, terms: str) -> DataFrame:
-    """Any vocabulary size: salted join on the term, then one shuffle by document.
+def term_filter(vocabulary: DataFrame) -> np.ndarray:
+    """A Bloom filter of the terms, as 64-bit words.
 
-    A document's terms are counted inside its row, as runs of the sorted terms.
+    It has ``FILTER_BITS_PER_TERM`` for each term and ``MAX_FILTER_BITS`` at most.
+    """
+    n = vocabulary.count()
+    bits = 1 << min(max(n * FILTER_BITS_PER_TERM, 64).bit_length(), MAX_FILTER_BITS.bit_length() - 1)
+    places = F.array(*[_filter_place(F.xxhash64("term"), j, bits) for j in range(FILTER_HASHES)])
+    found = vocabulary.select(F.explode(places).alias("at"))
+    words = found.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+    rows = words.toPandas()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def _filter_place(hashed: Column, j: int, bits: int) -> Column:
+    """The ``j``-th place of a 64-bit hash: its halves, one times ``j``."""
+    low, high = hashed.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(hashed, 32)
+    return (low + high * F.lit(j)).bitwiseAND(F.lit(bits - 1))
+
+
+def _known_terms(docs: DataFrame, vocabulary: DataFrame, terms: str) -> Column:
+    """The terms without those that are surely not in the vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast(term_filter(vocabulary))
+
+    @F.arrow_udf("array<boolean>")
+    def maybe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = shared.value
+        for lists in batches:
+            h = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            low, high, inside = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32), np.ones(len(h), dtype=bool)
+            for j in range(FILTER_HASHES):
+                at = (low + high * np.uint64(j)) & np.uint64(64 * len(words) - 1)
+                inside &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(inside))
+
+    hashes = F.coalesce(F.transform(terms, lambda t: F.xxhash64(t)), F.array().cast("array<bigint>"))
+    return F.filter(F.arrays_zip(F.col(terms).alias("t"), maybe(hashes).alias("m")), lambda e: e["m"])["t"]
+
+
+def _postings(docs: DataFrame, vocabulary: DataFrame, id_col: str, terms: str) -> DataFrame:
+    """``(id, term, idx, weight)`` of every term of the vocabulary in every document: one join on the term.
+
+    Foreign terms go by a filter first. A document's terms are counted inside its
+    row, as runs of the sorted terms. A term of more than ``ROWS_PER_SALT``
+    documents is joined by as many tasks as its ``df`` asks for; these terms
+    are few, as their ``df`` add up, and known to every task.
     """
-    salt = F.pmod(F.xxhash64(id_col), F.lit(JOIN_SALTS)).cast("int")
-    ordered = docs.select(id_col, F.sort_array(terms).alias("_t"), F.size(terms).alias("_n")).filter("_n > 0")
+    known = docs.select(id_col, _known_terms(docs, vocabulary, terms).alias("_k"))
+    ordered = known.select(id_col, F.sort_array("_k").alias("_t"), F.size("_k").alias("_n")).filter("_n > 0")
     begins = F.filter(
         F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))
     )
     ends = F.concat(F.slice("_at", F.lit(2), F.col("_n")), F.array("_n"))
     runs = F.zip_with("_at", ends, lambda a, b: F.struct(F.get("_t", a).alias("term"), (b - a).alias("tf")))
-    counted = ordered.withColumn("_at", begins).select(id_col, F.inline(runs)).withColumn("_salt", salt)
-    shares = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1)))
-    salted = vocabulary.select("term", "idx", "idf").withColumn("_salt", shares)
-    weighted = counted.join(salted.hint("merge"), ["term", "_salt"])
-    weighted = weighted.select(id_col, "term", "idx", (F.col("tf") * F.col("idf")).alias("weight"))
+    counted = ordered.withColumn("_at", begins).select(id_col, F.inline(runs))
+    most = vocabulary.agg(F.sum("df").alias("all"), F.max("df").alias("one")).first()
+    share = max(ROWS_PER_SALT, -(-(most["all"] or 0) // MAX_HOT_TERMS))
+    known = vocabulary.select("term", "idx", "idf", F.ceil(F.col("df") / share).cast("int").alias("_salts"))
+    if (most["one"] or 0) > share:
+        hot = F.broadcast(known.where("_salts > 1").select("term", "_salts"))
+        salt = F.pmod(F.xxhash64(id_col), F.coalesce("_salts", F.lit(1))).cast("int")
+        counted = counted.join(hot, "term", "left").withColumn("_salt", salt).drop("_salts")
+        known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest("_salts", F.lit(1)) - 1)))
+    weighted = counted.join(known.hint("merge"), [c for c in ("term", "_salt") if c in counted.columns])
+    return weighted.select(id_col, "term", "idx", (F.col("tf") * F.col("idf")).alias("weight"))
+
+
+def _tfidf_joined(docs: DataFrame, vocabulary: DataFrame, id_col: str, terms: str) -> DataFrame:
+    """Any vocabulary size: a join on the term, then one shuffle by document."""
+    weighted = _postings(docs, vocabulary, id_col, terms)
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(id_col)))
     return weighted.select(id_col, "term", "idx", (F.col("weight") / length).alias("tfidf"))
 
 
+def _vector_form(entries: Column, size: int, value: str = "value") -> Column:
+    """The storage form of a sparse vector, from sorted entries with ``idx`` and ``value``."""
+    return F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(size).alias("size"),
+        F.transform(entries, lambda e: e["idx"].cast("int")).alias("indices"),
+        F.transform(entries, lambda e: e[value]).alias("values"),
+    )
+
+
+def _vectors_joined(docs: DataFrame, vocabulary: DataFrame, terms: str, output: str, id_col: str | None) -> DataFrame:
+    """Vectors for any vocabulary size: a join on the term, then one grouping that brings the rows along."""
+    if id_col is None:
+        docs = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    else:
+        docs = docs.withColumn("_row", F.col(id_col))
+    others = [f for f in docs.schema.fields if f.name not in ("_row", output)]
+    weighted = _postings(docs, vocabulary, "_row", terms)
+    whole = docs.select("_row", F.struct(*[f.name for f in others]).alias("_own"))
+    entry = F.struct("idx", "weight").alias("_entry")
+    both = whole.select("_row", "_own", F.lit(None).cast(weighted.select(entry).schema[0].dataType).alias("_entry"))
+    both = both.union(weighted.select("_row", F.lit(None).cast(whole.schema["_own"].dataType), entry))
+    grouped = both.groupBy("_row").agg(F.first("_own", ignorenulls=True).alias("_own"), F.sort_array(F.collect_list("_entry")).alias("_e"))
+    length = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e["weight"] * e["weight"]))
+    scaled = F.transform("_e", lambda e: F.struct(e["idx"].alias("idx"), (e["weight"] / F.col("_length")).alias("value")))
+    stored = grouped.withColumn("_length", length).select("_own.*", _vector_form(scaled, vocabulary.count()).alias(output))
+    return stage(stored, T.StructType([*others, T.StructField(output, VectorUDT())]))
+
+
 def to_vectors(long: DataFrame, id_col: str, size: int, output: str = "features") -> DataFrame:
     """Staged sparse vectors from the long form, one per document that has any term.
 
     They are written in the storage form of a sparse vector and read back as vectors.
     """
     entries = F.sort_array(F.collect_list(F.struct("idx", "tfidf")))
-    grouped = long.groupBy(id_col).agg(entries.alias("_e"))
-    form = F.struct(
-        F.lit(0).cast("byte").alias("type"),
-        F.lit(size).alias("size"),
-        F.col("_e.idx").cast("array<int>").alias("indices"),
-        F.col("_e.tfidf").alias("values"),
-    )
-    stored = grouped.select(id_col, form.alias(output))
+    stored = long.groupBy(id_col).agg(entries.alias("_e")).select(id_col, _vector_form(F.col("_e"), size, "tfidf").alias(output))
     return stage(stored, T.StructType([stored.schema[id_col], T.StructField(output, VectorUDT())]))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.functions.text import coarse_pos
-from labelloom.plans.staging import MAX_SHARED_BYTES, MAX_SHARED_ROWS, fits_in_memory
+from labelloom.plans.staging import MAX_SHARED_BYTES, MAX_SHARED_ROWS, fits_in_memory, stage
 
 JOIN_SALTS = 32
 
@@ -35,8 +35,9 @@ def lookup_array(
 
     A key with several values counts with the least. Elements not found take the
     ``fallback``: a constant Column, or the name of an array column of the same
-    length. A null array stays null. The join for large dictionaries needs a
-    unique ``id_col``; both ways give the same result.
+    length. A null array stays null. Large dictionaries are joined, by a unique
+    ``id_col`` where there is one; all ways give the same result. A stream can
+    only be joined batch by batch (``streaming.scoring.score_batches``).
     """
     dictionary = dictionary.groupBy("key").agg(F.min("value").alias("value"))
     if not fits_in_memory(dictionary, max_rows, max_bytes):
@@ -69,9 +70,10 @@ def lookup_array(
 def _lookup_joined(
     df: DataFrame, keys: str, dictionary: DataFrame, id_col: str | None, fallback: str | Column, output: str
 ) -> DataFrame:
-    """The same for a dictionary of any size."""
+    """The same for a dictionary of any size; rows without a unique ``id_col`` are numbered and written down first."""
     if id_col is None:
-        raise ValueError("the dictionary is too large to copy to executors; name a unique id column to join it")
+        numbered = stage(df.withColumn("_row", F.monotonically_increasing_id()))
+        return _lookup_joined(numbered, keys, dictionary, "_row", fallback, output).drop("_row")
     own = F.col(fallback) if isinstance(fallback, str) else F.transform(keys, lambda _: fallback)
     entries = df.select(id_col, F.posexplode(F.arrays_zip(F.col(keys).alias("key"), own.alias("own"))).alias("pos", "e"))
     entries = entries.select(id_col, "pos", F.col("e.key").alias("key"), F.col("e.own").alias("own"))

@@ -70,9 +70,12 @@ def distinct_labels(df: DataFrame, label: str) -> DataFrame:
     return drop_null_labels(df.select(label), label).distinct().orderBy(label)
 
 
-def term_stats(df: DataFrame, terms: str) -> DataFrame:
+def term_stats(df: DataFrame, terms: str, among: DataFrame | None = None) -> DataFrame:
     """Per term: ``cf`` (occurrences) and ``df`` (rows with the term).
 
+    ``among`` is a column of the terms that count, small enough to copy to every
+    executor; others go before anything is shuffled.
+
     A row's terms are sorted inside the row, so the first of each run of equal
     terms counts for ``df``. That leaves one aggregation on the term, combined
     map-side, and no (row, term) shuffle: a term that fills a third of the
@@ -85,8 +88,10 @@ def term_stats(df: DataFrame, terms: str) -> DataFrame:
         shifted,
         lambda term, before: F.struct(term.alias("term"), (~term.eqNullSafe(before)).cast("int").alias("is_first")),
     )
+    found = ordered.select(F.inline(marked))
+    if among is not None:
+        found = found.join(F.broadcast(among.toDF("term")), "term", "left_semi")
     return (
-        ordered.select(F.inline(marked))
-        .groupBy("term")
+        found.groupBy("term")
         .agg(F.count("*").alias("cf"), F.sum("is_first").alias("df"))
     )

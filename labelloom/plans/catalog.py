@@ -486,6 +486,13 @@ def fit_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return features.fit_vocabulary(corpus_terms(spark, sf), "terms").select("term", "idx", "cf", "df")
 
 
+@query
+def vocabulary_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The 50 most frequent terms by summaries of 1,000 terms a task and a recount."""
+    found = features.fit_vocabulary(corpus_terms(spark, sf), "terms", 50, summary_from=0, capacity=1_000)
+    return found.select("term", "idx", "cf", "df")
+
+
 @query
 def fit_idf(spark: SparkSession, sf: str) -> DataFrame:
     return features.fit_vocabulary(corpus_terms(spark, sf), "terms").select("term", F.round("idf", 6).alias("idf"))
@@ -529,6 +536,13 @@ def vectorize(spark: SparkSession, sf: str) -> DataFrame:
     return _terms_and_norm(features.vectorize(docs, features.fit_vocabulary(docs, "terms"), "terms"))
 
 
+@query
+def vectorize_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by joins with the vocabulary, rows being numbered on the way."""
+    docs = corpus_terms(spark, sf)
+    return _terms_and_norm(features.vectorize(docs, features.fit_vocabulary(docs, "terms"), "terms", max_rows=0))
+
+
 @query
 def to_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors put together from the long form."""

@@ -232,6 +232,7 @@ stats AS (SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM ke
         "compare_models": report + f"SELECT model, {rounded.format(d=4)} FROM metrics",
         "select_best": report + "SELECT model, round(f1, 6) AS f1 FROM metrics ORDER BY metrics.f1 DESC, ordinal LIMIT 1",
         "fit_vocabulary": _with(CORPUS, words("corpus"), GRAMS, vocab()) + "SELECT term, idx, cf, df FROM vocab",
+        "vocabulary_summary": _with(CORPUS, words("corpus"), GRAMS, vocab(k=50)) + "SELECT term, idx, cf, df FROM vocab",
         "vectorizer_tokens": r"""SELECT doc_id, len(w) AS n_tokens, array_to_string(w, ' ') AS tokens
             FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS w FROM documents)""",
         "reused_text_vocabulary": r"""SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM (
@@ -248,6 +249,8 @@ stats AS (SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM ke
         + "SELECT doc_id, count(idx) AS n_terms, round(sqrt(sum(tfidf * tfidf)), 6) AS norm FROM tfidf GROUP BY doc_id",
         "vectorize": _with(CORPUS, words("corpus"), GRAMS, vocab(), tfidf_cte())
         + "SELECT doc_id, count(idx) AS n_terms, round(coalesce(sqrt(sum(tfidf * tfidf)), 0), 6) AS norm FROM corpus LEFT JOIN tfidf USING (doc_id) GROUP BY doc_id",
+        "vectorize_joined": _with(CORPUS, words("corpus"), GRAMS, vocab(), tfidf_cte())
+        + "SELECT doc_id, count(idx) AS n_terms, round(coalesce(sqrt(sum(tfidf * tfidf)), 0), 6) AS norm FROM corpus LEFT JOIN tfidf USING (doc_id) GROUP BY doc_id",
         "stratified_split": _with(CORPUS, split()) + "SELECT doc_id, class, split FROM splitted",
         "balanced_weights": _with(CORPUS, split()) + """SELECT class, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*))::DOUBLE, 6) AS weight
             FROM splitted WHERE split = 'train' GROUP BY class""",

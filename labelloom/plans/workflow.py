@@ -37,7 +37,7 @@ from labelloom.operators.sampling import (
     random_oversample,
     stratified_split,
 )
-from labelloom.plans.staging import stage
+from labelloom.plans.staging import MAX_SHARED_ROWS, fits_in_memory, stage
 from labelloom.sources.models import TextModel, save_model
 from labelloom.sources.tables import head_sample, metrics_document, read_metrics, write_table
 
@@ -105,13 +105,14 @@ def train_and_compare(
     force: bool = False,
     stop: Iterable[str] = ENGLISH_STOP_WORDS,
     lemmas: DataFrame | None = None,
+    max_rows: int = MAX_SHARED_ROWS,
 ) -> Comparison:
     """Train the three linear models on one split, evaluate them and keep the best.
 
     ``fit_on="all"`` fits vocabulary and idf on the whole corpus before the split,
     ``"train"`` on the train part only. Words are filtered by ``stop`` and, given a
-    table ``(surface, pos, lemma)``, replaced by their lemmas. With ``run`` all artifacts are written
-    under that path.
+    table ``(surface, pos, lemma)``, replaced by their lemmas. A vocabulary of more than ``max_rows`` terms
+    (or too many bytes) is joined in place of copied. With ``run`` all artifacts are written under that path.
     """
     if fit_on not in ("all", "train"):
         raise ValueError("fit_on is 'all' or 'train'")
@@ -121,7 +122,7 @@ def train_and_compare(
     split = stratified_split(terms, id_col, "label", test_size, seed)
     vocabulary = fit_vocabulary(terms if fit_on == "all" else split.filter("split = 'train'"), "terms", max_features)
     indexed, classes = dense_label_index(split, "label")
-    data = stage(vectorize(indexed, vocabulary, "terms").select(id_col, "label", "label_idx", "split", "features"))
+    data = stage(vectorize(indexed, vocabulary, "terms", id_col=id_col, max_rows=max_rows).select(id_col, "label", "label_idx", "split", "features"))
     train, test = data.filter("split = 'train'"), data.filter("split = 'test'")
 
     oversampled = stage(random_oversample(train, id_col, "label_idx", seed))
@@ -143,7 +144,8 @@ def train_and_compare(
     metrics = stage(weighted_metrics(predictions, "label", "pred", by=("model", "ordinal")))
     best = select_best(metrics).first()["model"]
     classifier = fitted[MODEL_NAMES.index(best)]
-    model = TextModel(vectorizer(vocabulary, "terms"), classifier, classes, stop, lemmas=lemmas)
+    stages = vectorizer(vocabulary, "terms") if fits_in_memory(vocabulary, max_rows) else None
+    model = TextModel(stages, classifier, classes, stop, lemmas=lemmas, vocabulary=vocabulary)
     result = Comparison(metrics, predictions, best, model, vocabulary, docs)
     if run:
         _save_run(df, id_col, result, data, run)

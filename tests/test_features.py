@@ -1,11 +1,14 @@
 import math
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from labelloom.functions import ngrams
-from labelloom.operators import features, lookup
+from labelloom.operators import features, lookup, vocabulary
+from labelloom.plans.staging import stage
 
 DOCS = [(1, ["a", "b", "a"]), (2, []), (3, ["c", "b"]), (4, ["z"]), (5, ["b", "b", "c", "a"])]
 
@@ -49,9 +52,9 @@ def test_large_vocabularies_are_numbered_the_same(docs, monkeypatch):
 
 def test_top_terms_merged_in_groups(spark, monkeypatch):
     stats = spark.range(0, 5000, 1, 16).selectExpr("CAST(id % 700 AS STRING) || 'x' || id AS term", "id % 37 AS cf", "1L AS df")
-    plain = features.top_terms(stats, 900).collect()
-    monkeypatch.setattr(features, "MAX_MERGED_ROWS", 1)
-    grouped = features.top_terms(stats, 900)
+    plain = vocabulary.top_terms(stats, 900).collect()
+    monkeypatch.setattr(vocabulary, "MAX_MERGED_ROWS", 1)
+    grouped = vocabulary.top_terms(stats, 900)
     assert "WindowGroupLimit" in grouped._jdf.queryExecution().executedPlan().toString()
     assert grouped.collect() == plain and len(plain) == 900
 
@@ -69,6 +72,66 @@ def test_vectors(docs):
         assert all(math.isclose(x, y) for x, y in zip(v.values, vectors[i].values))
 
 
+def zipf(spark, n=400):
+    """Few frequent terms, many that occur once."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda j: F.concat(F.lit("t"), F.floor(F.pow(F.pmod(F.xxhash64("id", j), F.lit(100_003)) / 1_000, F.lit(2))).cast("string")))
+    return stage(spark.range(0, n, 1, 6).select("id", words.alias("terms")))
+
+
+@pytest.mark.parametrize("k, capacity", [(1, 5), (3, 40), (10, 100), (40, 200), (100, 150), (5_000, 6_000), (9_000, 10)])
+def test_summaries_give_the_same_vocabulary(spark, k, capacity):
+    docs = zipf(spark)
+    plain = features.fit_vocabulary(docs, "terms", k).orderBy("idx").collect()
+    assert features.fit_vocabulary(docs, "terms", k, summary_from=0, capacity=capacity).orderBy("idx").collect() == plain
+
+
+def test_a_summary_falls_short_by_what_it_lost():
+    rng, summary, true = random.Random(1), vocabulary.Summary(20), Counter()
+    for _ in range(50):
+        part = Counter(str(int(rng.paretovariate(0.6))) for _ in range(100))
+        true.update(part)
+        summary.add(list(part), list(part.values()), [1] * len(part))
+        assert len(summary.counts) <= 40
+    assert summary.lost > 0
+    for term, n in true.items():
+        assert n - summary.lost <= summary.counts.get(term, (0, 0))[0] <= n
+
+
+def test_a_summarised_vocabulary_shuffles_summaries_only(spark):
+    docs = zipf(spark)
+    rows = vocabulary.summaries(docs, "terms", 30)
+    assert rows.count() <= 6 * 60 + 1 and rows.where("term IS NULL").first()["cf"] > 0
+    assert vocabulary.frequent_terms(docs, "terms", 3, 400).count() < docs.selectExpr("explode(terms) t").distinct().count() / 4
+
+
+def test_awkward_terms_are_summarised(spark):
+    docs = spark.createDataFrame([(1, None), (2, []), (3, ["a", None, "a", "b"]), (4, [""])], "id int, terms array<string>")
+    got = {r["term"]: (r["cf"], r["df"]) for r in vocabulary.frequent_terms(docs, "terms", 5).collect()}
+    assert got == {"a": (2, 1), "b": (1, 1), "": (1, 1)}
+
+
+@pytest.mark.parametrize("id_col, salt", [("id", 1), (None, 1), (None, 1_000)])
+def test_joined_vectors_equal_those_of_the_stages(spark, monkeypatch, id_col, salt):
+    monkeypatch.setattr(features, "ROWS_PER_SALT", salt)
+    docs = zipf(spark, 60).unionByName(spark.createDataFrame([(900, None), (901, []), (902, ["foreign"])], "id long, terms array<string>"))
+    vocab = features.fit_vocabulary(docs, "terms", 50)
+    plain = {r["id"]: r["features"] for r in features.vectorize(docs, vocab, "terms").collect()}
+    joined = features.vectorize(docs, vocab, "terms", id_col=id_col, max_rows=0)
+    assert joined.columns == ["id", "terms", "features"]
+    got = {r["id"]: r["features"] for r in joined.collect()}
+    assert got.keys() == plain.keys() and len(got) == 63
+    for i, v in got.items():
+        assert v.size == plain[i].size and v.indices.tolist() == plain[i].indices.tolist() and np.allclose(v.values, plain[i].values)
+
+
+def test_the_filter_keeps_all_terms_and_few_others(spark):
+    vocab = spark.range(2_000).selectExpr("CAST(id AS STRING) AS term")
+    docs = spark.range(40).selectExpr("id", "transform(sequence(0, 99), i -> CAST(id * 100 + i AS STRING)) AS terms")
+    kept = docs.select(features._known_terms(docs, vocab, "terms").alias("k")).selectExpr("explode(k) AS t").collect()
+    known = {r["t"] for r in kept}
+    assert {str(i) for i in range(2_000)} <= known and len(known) < 2_100
+
+
 def test_vectorizing_needs_no_shuffle_and_no_python(docs):
     vocabulary = features.fit_vocabulary(docs, "terms", 4)
     plan = features.vectorize(docs, vocabulary, "terms")._jdf.queryExecution().executedPlan().toString()
