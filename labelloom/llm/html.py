@@ -22,12 +22,18 @@ HEAD_TAGS = frozenset("head base link meta title script style noscript template"
 RAW_TAGS = frozenset("script style noscript template textarea title iframe".split())
 CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
 BOILERPLATE_TAGS = {"nav": 8.0, "footer": 8.0, "aside": 8.0, "form": 8.0, "menu": 8.0, "dialog": 8.0, "header": 5.0, "fieldset": 4.0}
-BOILERPLATE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|cookies?|consent|gdpr|notices?|alert|promo\w*|sponsor\w*|share|sharing|social|sidebar|side|"
-    r"comments?|commentlist|disqus|repl(?:y|ies)|respond|related|recommend\w*|newsletter|subscri\w*|popup|modal|overlay|nav\w*|menu|"
-    r"breadcrumbs?|footer|header|masthead|pag(?:er|ination)|widgets?|login|signup|sign-up|copyright|disclaimer|legal|toolbar|search|tags?|skip)(?:$|[\s_-])"
+BOILERPLATE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner cookie cookies consent gdpr notice notices alert promo promos promotion promoted sponsor "
+    "sponsored sponsors share sharing social sidebar sidebars comment comments commentlist disqus reply replies respond related recommend recommended "
+    "recommendations newsletter subscribe subscription popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead "
+    "pager pagination widget widgets login signup copyright disclaimer legal toolbar search tag tags skip".split()
 )
-CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text|prose)(?:$|[\s_-])")
+OWN_BOILERPLATE = frozenset("ad ads advert advertisement sponsor sponsored promo comment comments reply replies respond related recommended teaser".split())
+STATE_WORDS = frozenset("has no with without is hide show hidden open closed enabled disabled on off none wrapper wrap layout container page".split())
+NAMING_WORDS = frozenset("tag category cat author format type status lang hentry".split())
+CONTENT_TOKEN = re.compile(r"(?:main-?)?(?:article|content|post|entry|story|main|prose)(?:[-_]{1,2}(?:content|body|text|main|article))?|article-?body")
+BOILERPLATE_ROLES = frozenset("navigation complementary contentinfo banner search".split())
+LANDMARK_SHARE = 0.4  # of the page's text that an article holds where elements around it lose the weight of their class
 BIAS, CONTENT_ANCESTOR, HEADING, PER_LOG_WORD, SENTENCE_END, LINKED, MARK = -1.2, 3.0, 0.8, 0.5, 0.6, -4.0, -2.0
 NEXT_BLOCK, SAME_PARENT, IN_PARENT, NESTED = 0.3, 0.4, 0.5, 0.25
 # ------------------------------------------------------------------------------
@@ -39,30 +45,80 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?<=\s)(hidden)(?=[\s/]|$)")
 
 
+def class_kind(token: str) -> str:
+    """What one class or id says of its element: ``content``, ``boilerplate`` or nothing.
+
+    The first or the last word of a compound names it (``sidebar-left``,
+    ``post-comments``). Words that tell a state or a layout (``has-sidebar``,
+    ``comments-open``) and names of a tag or category (``tag-news``) say nothing.
+    """
+    if CONTENT_TOKEN.fullmatch(token):
+        return "content"
+    words = [w for w in re.split(r"[-_]+", token) if w]
+    if not words or STATE_WORDS.intersection(words) or (len(words) > 1 and words[0] in NAMING_WORDS):
+        return ""
+    return "boilerplate" if token == "side" or words[0] in BOILERPLATE_WORDS or words[-1] in BOILERPLATE_WORDS else ""
+
+
 class Node:
-    """An element that holds blocks: its parent, and what the classifier takes from it and all above."""
+    """An element that holds blocks: its parent, and what the classifier takes from it.
+
+    ``tagged`` is the weight of its tag and role, ``classed`` that of its class; ``weight`` adds up
+    what counts of them from the page down, once the whole page is read.
+    """
 
-    __slots__ = ("tag", "parent", "weight", "content", "unseen", "index")
+    __slots__ = ("tag", "parent", "tagged", "classed", "weight", "content", "landmark", "unseen", "index", "chars")
 
     def __init__(self, tag: str, parent: "Node | None", attributes: str, index: int):
-        self.tag, self.parent, self.index = tag, parent, index
-        self.weight = parent.weight if parent else 0.0
-        self.content = (parent.content if parent else False) or tag in ("article", "main")
+        self.tag, self.parent, self.index, self.chars = tag, parent, index, 0
+        self.landmark = tag in ("article", "main")
+        inside = parent.content if parent else False
         self.unseen = (parent.unseen if parent else False) or tag in UNSEEN_TAGS
-        self.weight += BOILERPLATE_TAGS.get(tag, 0.0)
+        self.tagged = 0.0 if tag == "header" and inside else BOILERPLATE_TAGS.get(tag, 0.0)
+        self.classed = self.weight = 0.0
         if attributes and tag not in ("html", "body"):
             said = {}
             for name, value, bare in _ATTRIBUTE.findall(attributes):
                 said[(name or bare).lower()] = value.strip("\"'").lower()
-            names = " ".join(said.get(k, "") for k in ("class", "id", "role"))
-            if names.strip():
-                if BOILERPLATE_WORDS.search(names) or said.get("role") in ("navigation", "complementary", "contentinfo", "banner", "search"):
-                    self.weight += 8.0
-                elif CONTENT_WORDS.search(names):
-                    self.content = True
+            tokens = " ".join(said.get(k, "") for k in ("class", "id")).split()
+            kinds = {class_kind(t) for t in tokens}
+            if self.landmark:
+                if any(OWN_BOILERPLATE.intersection(re.split(r"[-_]+", t)[:1]) and class_kind(t) for t in tokens):
+                    self.classed, self.landmark = 8.0, False
+            elif "content" in kinds:
+                self.landmark = True
+            elif "boilerplate" in kinds:
+                self.classed = 8.0
+            if said.get("role") in BOILERPLATE_ROLES:
+                self.tagged += 8.0
+            elif said.get("role") in ("main", "article"):
+                self.landmark = True
             style = said.get("style", "").replace(" ", "")
             if "hidden" in said or said.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
                 self.unseen = True
+        self.content = inside or self.landmark
+
+
+def weigh(nodes: list[Node], blocks: list[tuple[str, float, Node]]) -> None:
+    """The weight of every element, from those around it down.
+
+    A class of an element around an article that holds much of the page's text
+    describes the page's layout, and does not count.
+    """
+    for text, _, node in blocks:
+        node.chars += len(text)
+    for node in reversed(nodes):  # a parent stands before its children
+        if node.parent is not None:
+            node.parent.chars += node.chars
+    around: set[int] = set()
+    for node in nodes:
+        if node.landmark and node.chars >= LANDMARK_SHARE * max(nodes[0].chars, 1):
+            above = node.parent
+            while above is not None and above.index not in around:
+                around.add(above.index)
+                above = above.parent
+    for node in nodes:
+        node.weight = (node.parent.weight if node.parent else 0.0) + node.tagged + (0.0 if node.index in around else node.classed)
 
 
 def blocks(page: str) -> tuple[list[tuple[str, float, Node]], list[Node]]:
@@ -141,6 +197,7 @@ def blocks(page: str) -> tuple[list[tuple[str, float, Node]], list[Node]]:
                 stack = Node(tag, stack, attributes, len(nodes))
                 nodes.append(stack)
     flush()
+    weigh(nodes, out)
     return out, nodes
 
 

@@ -18,7 +18,8 @@ def labelled_sample(
     """``(id, text, y)`` of at most ``limit`` labelled ids, the first by a hash of the id.
 
     ``learn`` is a condition on ``id_col``. An id with several labels counts
-    with the largest; null labels and null ids do not count. The side that is
+    with the largest, one with several texts with the least, so the bound holds
+    for rows too; null labels and null ids do not count. The side that is
     broadcast has at most ``limit`` rows of two numbers.
     """
     some = labels.where(F.col(target).isNotNull() & F.col(id_col).isNotNull() & learn)
@@ -27,4 +28,5 @@ def labelled_sample(
     some = some.select(F.col(id_col).alias("__id"), "__y")
     rows = docs.select(F.col(f"`{id_col}`").alias("__doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
     joined = rows.join(F.broadcast(some), F.col("__doc") == F.col("__id"))
-    return joined.select(F.col("__id").alias("id"), F.col("__text").alias("text"), F.col("__y").alias("y"))
+    single = joined.groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
+    return single.select(F.col("__id").alias("id"), F.col("__text").alias("text"), F.col("__y").alias("y"))

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 DOCS_PER_LANGUAGE = 2_000  # expected number of documents of each language that n-grams are counted in
-MAX_LANGUAGES = 256
 AMBIGUOUS = 0.35  # a gap of weighted losses below this is flagged
 SHARPNESS = 4.0
 CHUNK = 1 << 19
@@ -101,16 +100,17 @@ def fit_from_counts(languages: list[str], counts: np.ndarray) -> CodeModel:
 def fit_language(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> CodeModel:
     """The model from documents with a language for which ``learn`` holds.
 
-    Each of the ``MAX_LANGUAGES`` most frequent languages gives an expected
-    ``DOCS_PER_LANGUAGE`` documents, chosen by a hash of the id. Trigrams are
-    counted on the executors and summed; the driver gets at most ``BUCKETS``
-    numbers for each language.
+    Every language gives an expected ``DOCS_PER_LANGUAGE`` documents, chosen by a
+    hash of the id; one whose documents hold no letters has nothing to be known
+    by and is never predicted. Trigrams are counted on the executors and summed;
+    the driver gets ``BUCKETS`` numbers at most for each language, a language at
+    a time, whatever the number of documents.
     """
     spark = docs.sparkSession
     known = docs.where(F.col(f"`{lang_col}`").isNotNull() & learn).select(
         F.col(f"`{lang_col}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.xxhash64(f"`{id_col}`").alias("h")
     )
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().collect()
     if not sizes:
         return CodeModel([], np.zeros((0, 0)), np.zeros((BUCKETS, 0)), np.zeros(0))
     rates = spark.createDataFrame([(r["lang"], float(min(1.0, DOCS_PER_LANGUAGE / r["count"]))) for r in sizes], "lang string, rate double")
@@ -126,10 +126,15 @@ def fit_language(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col:
             yield pd.DataFrame({"lang": lang, "bucket": found, "n": n[found]})
 
     counts = sample.select("lang", "text").mapInPandas(counted, "lang string, bucket int, n long")
-    rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(rows["lang"].unique())
-    table = np.zeros((len(languages), BUCKETS))
-    table[np.searchsorted(languages, rows["lang"].to_numpy()), rows["bucket"]] = rows["n"]
+    summed = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    listed = summed.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n")).orderBy("lang")
+    languages, rows = [], []
+    for r in listed.toLocalIterator():
+        row = np.zeros(BUCKETS)
+        row[r["buckets"]] = r["n"]
+        languages.append(r["lang"])
+        rows.append(row)
+    table = np.array(rows).reshape(len(rows), BUCKETS)
     return fit_from_counts(languages, table)
 
 

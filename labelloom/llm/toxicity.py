@@ -47,14 +47,36 @@ _APART = re.compile(
     rf"(?<![\w{_SIGNS}])(?:[^\W\d_]|[{_SIGNS}])(?:[{re.escape(SEPARATORS)}]{{1,2}}(?:[^\W\d_]|[{_SIGNS}])){{2,}}(?![\w{_SIGNS}])"
 )
 _WORDS = re.compile(r"[^\W\d_]+")
-_HEAD = re.compile(r"^(?:[(<!|+\u00a1]|([^\w\s])\1+)+")
-_TAIL = re.compile(r"(?:[.,;:!?)\]\"'\u2026]|([^\w\s])\1+)+$")
+OPENING, CLOSING = "(<!|+¡", ".,;:!?)]\"'…"
 
 
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
 
 
+def _without_signs(text: str, single: str) -> str:
+    """The text less the signs at its front: any of ``single``, and others that stand twice or more. One walk over it."""
+    at = 0
+    while at < len(text):
+        c, end = text[at], at + 1
+        while end < len(text) and text[end] == c:
+            end += 1
+        if c.isalnum() or c == "_" or c.isspace() or (end == at + 1 and c not in single):
+            break
+        at = end
+    return text[at:]
+
+
+def headless(text: str) -> str:
+    """The text without the signs that open a phrase."""
+    return _without_signs(text, OPENING)
+
+
+def tailless(text: str) -> str:
+    """The text without the signs that close a phrase."""
+    return _without_signs(text[::-1], CLOSING)[::-1]
+
+
 def pulled_apart(points: np.ndarray) -> bool:
     """Whether three single letters or signs follow each other with one or two characters between."""
     carrier = np.concatenate([[False], np.where(points < 0x250, _CARRIER[np.minimum(points, 0x24F)], True), [False]])
@@ -92,12 +114,12 @@ def disguised(text: str, odd: list[str]) -> set[str]:
     """
     found = set()
     for piece in odd:
-        bare = _TAIL.sub("", piece)
+        bare = tailless(piece)
         if bare.isalpha() or not _SIGN.search(bare):
             continue
-        whole = [bare] if _MIXED.fullmatch(bare) else [_TAIL.sub("", x) for x in _SPAN.findall(piece)]
+        whole = [bare] if _MIXED.fullmatch(bare) else [tailless(x) for x in _SPAN.findall(piece)]
         for word in whole:
-            for reading in {word, _HEAD.sub("", word)}:
+            for reading in {word, headless(word)}:
                 if not reading.isalpha() and _MIXED.fullmatch(reading):
                     found.add(reading)
     points = _points(text)

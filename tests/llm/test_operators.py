@@ -369,3 +369,110 @@ def test_empty_tables_pass_the_pipeline(spark, small_dir):
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, small_dir)
         assert docs.count() == 0
+
+
+ARTICLE = "<h1>A title of it</h1>" + "".join(f"<p>{'This is a full sentence of the article, with many words in it. ' * 3}Part {i}.</p>" for i in range(3))
+SIDE = "<p>Read this other thing, it is good. Yes, it really is that good.</p>"
+LAYOUTS = [
+    '<div class="content has-sidebar"><article>{a}</article></div>',
+    '<div class="post-with-comments"><div class="entry">{a}</div></div>',
+    '<div class="wrapper-side"><article>{a}</article></div>',
+    '<article class="post tag-news category-legal">{a}</article>',
+    '<article class="post type-post status-publish hentry category-legal tag-cookies">{a}</article>',
+    '<div class="sidebar-right layout"><div class="sidebar">{s}</div><main>{a}</main></div>',
+    '<div id="page" class="no-sidebar"><div id="primary" class="content-area"><main class="site-main">{a}</main></div></div>',
+    '<body class="single comments-open"><div class="site-header">{s}</div><div class="entry-content">{a}</div></body>',
+    '<div class="widgets"><div class="post-content">{a}</div><ul class="widget">{s}</ul></div>',
+    '<section class="search-layout"><div class="article-body">{a}</div><div class="related-posts">{s}</div></section>',
+    '<article>{a}</article><section class="comments"><article class="comment">{s}</article></section>',
+    '<div role="main">{a}</div><div role="complementary">{s}</div>',
+    '<div class="menu-open"><article>{a}<footer>{s}</footer></article><div class="post-comments">{s}</div></div>',
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_articles_of_many_layouts(layout):
+    expected = " ".join(re.sub("<[^>]*>", " ", ARTICLE).split())
+    assert main_text(layout.format(a=ARTICLE, s=SIDE)) == expected
+
+
+def test_an_article_keeps_the_title_in_its_header():
+    assert main_text(f"<header>{SIDE}</header><article><header><h1>Own title</h1></header>{ARTICLE}</article>").startswith("Own title A title")
+
+
+@pytest.mark.parametrize("sign", list(".-=!#*~?\"'(<+"))
+def test_long_runs_of_signs_take_no_time(sign):
+    import time
+
+    start = time.perf_counter()
+    for text in (sign * 100_000 + "5a", "page" + sign * 100_000 + "5a", "a" + sign * 100_000, (sign + ".") * 50_000 + "h4te"):
+        toxicity.disguised(text, [text])
+    assert time.perf_counter() - start < 5
+
+
+def test_signs_around_a_word_go_as_by_the_pattern():
+    head, tail = re.compile(r"^(?:[(<!|+¡]|([^\w\s])\1+)+"), re.compile(r"(?:[.,;:!?)\]\"'…]|([^\w\s])\1+)+$")
+    for signs in itertools.product(".!(#-", repeat=4):
+        for text in ("".join(signs), "a" + "".join(signs), "".join(signs) + "5a", "x-".join(signs)):
+            assert toxicity.headless(text) == head.sub("", text) and toxicity.tailless(text) == tail.sub("", text)
+
+
+def test_viterbi_reads_as_listing_all_readings():
+    rng = np.random.default_rng(4)
+    costs = rng.random((toxicity.SYMBOLS,) * 3).astype(np.float32) * 4
+    code = lambda c: int(toxicity._CODE[ord(c)])
+
+    def listed(word):
+        best = (np.inf, "")
+        choices = []
+        for before, c in zip(" " + word, word):
+            if c.isalpha():
+                choices.append([(c, 0.0)] + ([("", toxicity.DROP)] if c == before else []))
+            else:
+                choices.append([(x, toxicity.SWAP) for x in toxicity.DISGUISES.get(c, "")] + [("", toxicity.DROP if c in toxicity.SEPARATORS else toxicity.DROP_SIGN)])
+        for reading in itertools.product(*choices):
+            letters, a, b = "".join(x for x, _ in reading), toxicity.BOUNDARY, toxicity.BOUNDARY
+            cost = sum(x for _, x in reading)
+            for c in letters:
+                cost, a, b = cost + float(costs[a, b, code(c)]), b, code(c)
+            best = min(best, (cost + float(costs[a, b, toxicity.BOUNDARY]), letters))
+        return best[1]
+
+    for word in ("h4te", "1d10t", "h.a.t.e", "baaad", "$t0p", "6r6", "x", "ll1ll", "a-@-a", "5000b"):
+        assert toxicity.decode(word, costs) == listed(word)
+
+
+def test_three_hundred_languages_are_all_learnt(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k, j: "".join(letters[(k * 7 + j * 3 + i * (k // 26 + 1)) % 26] for i in range(6)) + letters[k % 26] + letters[k // 26]
+    rows = [(k * 10 + d, " ".join(word(k, (d + j) % 5) for j in range(40)), f"l{k:03}") for k in range(300) for d in range(3)]
+    docs = spark.createDataFrame([*rows, (9_999, "123", "digits")], "doc_id long, text string, lang string")
+    model = language.fit_language(docs, F.lit(True))
+    assert len(model.languages) == 300
+    sure = sum(model.decode(text)[0] == lang for _, text, lang in rows)
+    assert sure >= 0.95 * len(rows)
+
+
+def test_language_equals_a_plain_search_for_the_nearest_codeword(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    model = language.fit_language(docs, fold("doc_id", 4) != 2)
+    for r in language.identify_language(docs.select("doc_id", "text"), model).limit(60).collect():
+        grams = language.trigrams(r["text"] or "")
+        losses = []
+        for word in model.code:
+            loss = 0.0
+            for b, bit in enumerate(word):
+                margin = sum(float(model.weights[g, b]) for g in grams) / max(len(grams), 1)
+                loss += model.bit_weight[b] * np.log1p(np.exp(-language.SHARPNESS * bit * min(max(margin, -4), 4)))
+            losses.append(loss)
+        if r["lang_pred"] != language.UNKNOWN:
+            assert model.languages[int(np.argmin(losses))] == r["lang_pred"]
+
+
+def test_repeated_ids_count_once_in_the_fit(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    from labelloom.llm.labels import labelled_sample
+
+    found = labelled_sample(docs, labels, "quality", "doc_id", "text", F.lit(True)).collect()
+    assert sorted((r["id"], r["text"], r["y"]) for r in found) == [(1, "a", 1), (2, "", 0)]
