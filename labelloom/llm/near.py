@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.llm.words import GOLDEN, chunk_shingles, chunk_words, chunks, mix
 from labelloom.plans.staging import stage
@@ -97,9 +97,9 @@ def _bands(signature: np.ndarray) -> np.ndarray:
 
 
 def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``(id, c1, c2, grams, bands, sketch)``: c1, c2 fingerprint the sequence of words."""
+    """``(id, fp, c1, c2, grams, bands, sketch)``: c1, c2 fingerprint the sequence of words."""
     for batch in batches:
-        ids = batch["id"].to_numpy()
+        ids, fps = batch["id"].to_numpy(), batch["fp"].to_numpy()
         for first, last, held in chunks(batch["text"].tolist()):
             words, at = chunk_words(held)
             grams, gat = chunk_shingles(words, at)
@@ -115,7 +115,7 @@ def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             some = np.diff(gat) > 0
             yield pd.DataFrame(
                 {
-                    "id": ids[first:last], "c1": sums[0], "c2": sums[1], "grams": np.diff(gat),
+                    "id": ids[first:last], "fp": fps[first:last], "c1": sums[0], "c2": sums[1], "grams": np.diff(gat),
                     "bands": [b if s else [] for b, s in zip(bands.tolist(), some)], "sketch": [x.tobytes() for x in sketch],
                 }
             )
@@ -259,13 +259,16 @@ def _cell_links(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[
             yield pd.DataFrame(found, columns=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``(id, class_id, n_links)`` per row: its class, and the verified links of its text.
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Staged ``(id, fp, class_id, keeper)`` of every distinct id and text; ``fp`` is ``text_fingerprint``.
 
     Two texts are linked when the weighted Jaccard similarity of their multisets
     of five-word shingles is at least ``similarity``; a class is what links
-    connect, named by its least id. Texts with the same words are one node from
-    the start, by a 128-bit fingerprint, so copies are never paired.
+    connect, named by its least id. ``keeper`` marks the one text that stands for
+    its class: that of the least id, of several the one with the least ``fp``.
+    Texts with the same words are one node from the start, by a 128-bit
+    fingerprint, so copies are never paired. Nodes are texts, not ids: an id that
+    comes with several texts has a row, and maybe a class, for each.
 
     Nodes that share a band of their signatures are candidates. First every node
     is compared with the least of its bucket, then with a random one of another
@@ -278,27 +281,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out by its sketch, or lies within one class already.
 
     A text of one to four words is one shingle; one without words (null and empty, too) is
-    a class of its own, as is a row without id, whose class is null. Rows that repeat an id are
-    one document. An empty table gives no rows.
+    a class of its own. Rows without id are left out. An empty table gives no rows.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_fingerprint(text_col).alias("fp"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     named = rows.where(F.col("id").isNotNull())
-    sig = stage(named.mapInPandas(signatures, "id long, c1 long, c2 long, grams long, bands array<long>, sketch binary"))
-    copies = sig.where("grams > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    sig = named.mapInPandas(signatures, "id long, fp long, c1 long, c2 long, grams long, bands array<long>, sketch binary")
+    sig = stage(sig.withColumn("row", F.monotonically_increasing_id()))
+    copies = sig.where("grams > 0").groupBy("c1", "c2").agg(F.min("row").alias("rep"), F.max("row").alias("last"))
     copies = stage(copies.where("rep < last").select("c1", "c2", "rep"))
     member = stage(
-        sig.select("id", "c1", "c2", "grams")
+        sig.select("row", "id", "fp", "c1", "c2", "grams")
         .join(copies, ["c1", "c2"], "left")
-        .select("id", F.when(F.col("grams") > 0, F.col("rep")).alias("rep"))
-        .select("id", F.coalesce("rep", "id").alias("node"))
+        .select("row", "id", "fp", F.when(F.col("grams") > 0, F.col("rep")).alias("rep"))
+        .select("row", "id", "fp", F.coalesce("rep", "row").alias("node"))
     )
-    nodes = member.where("id = node").select("node").distinct()
-    placed = sig.select(F.col("id").alias("node"), "bands").distinct().join(nodes, "node")
+    nodes = member.where("row = node").select("node", "id", "fp")
+    placed = sig.select(F.col("row").alias("node"), "bands").join(nodes.select("node"), "node")
     placed = stage(placed.select("node", F.explode("bands").alias("bucket")))
     full = stage(placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "lo"))
     met = stage(placed.join(full, "bucket"))
     tested = stage(met.where("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct())
-    texts = named.join(met.select(F.col("node").alias("id")).distinct().hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text"))
+    asked = stage(met.select("node").distinct().join(nodes, "node"))
+    texts = named.join(asked.hint("merge"), ["id", "fp"]).groupBy(F.col("node").alias("id")).agg(F.min("text").alias("text"))
     texts = stage(texts)
     links = _verify(texts, tested, similarity)
     labels = components(links)
@@ -329,18 +333,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     cells = stage(inner.select(*(order := ["bucket", "oc", "fc", "node", "comp", "outer"])).union(outer.select(*order)))
     own = stage(cells.select(F.col("node").alias("id")).distinct())
-    sketches = sig.join(own, "id").groupBy("id").agg(F.min(F.struct("bands", "sketch")).alias("s"))
+    sketches = sig.select(F.col("row").alias("id"), "bands", "sketch").join(own, "id")
     cards = texts.join(own, "id").mapInPandas(_cards, "id long, bag binary").join(sketches, "id")
-    cards = stage(cards.select("id", "s.bands", "s.sketch", "bag"))
+    cards = stage(cards.select("id", "bands", "sketch", "bag"))
     cells = cells.join(cards, F.col("node") == F.col("id")).drop("id")
     cells = cells.repartition("bucket", "oc", "fc").sortWithinPartitions("bucket", "oc", "fc")
     rest = stage(_untested(cells.mapInPandas(lambda parts: _cell_links(parts, similarity), "a long, b long"), tested))
-    links = stage(links.union(_verify(texts, rest, similarity)))
+    links = links.union(_verify(texts, rest, similarity))
     labels = components(links, labels)
 
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = stage(_labelled(nodes, labels).join(degree, "node", "left").select("node", "comp", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    found = member.distinct().join(classes, "node").select("id", F.col("comp").alias("class_id"), "n_links")
-    found = stage(found.groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links")))
-    every = rows.select("id").join(found, "id", "left")
-    return every.select(F.col("id").alias(id_col), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classed = stage(_labelled(member.select("id", "fp", "node"), labels).select("id", "fp", "comp"))
+    ends = classed.groupBy("comp").agg(F.min(F.struct("id", "fp")).alias("end"))
+    found = classed.join(stage(ends), "comp").groupBy("id", "fp").agg(F.min("end").alias("end"))
+    return stage(found.select("id", "fp", F.col("end.id").alias("class_id"), F.struct("id", "fp").eqNullSafe(F.col("end")).alias("keeper")))
+
+
+def text_fingerprint(text_col: str) -> Column:
+    """64-bit hash of a whole text, null being empty: it tells apart the texts of one id."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``(id, class_id)`` per row: the class of its text (see ``near_classes``).
+
+    A row without id is a class of its own, whose name is null. Rows that repeat an id are each a row.
+    """
+    found = near_classes(docs, id_col, text_col, similarity).select("id", "fp", "class_id")
+    every = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_fingerprint(text_col).alias("fp"))
+    return every.join(found, ["id", "fp"], "left").select(F.col("id").alias(id_col), "class_id")

@@ -335,6 +335,59 @@ def test_queries_equal_sql(spark, small_dir, name):
     assert sorted(map(tuple, df.collect())) == sorted(tuple(r[i] for i in at) for r in result.fetchall())
 
 
+def plain_quality(model, text):
+    """A plain sum of one table entry for each feature and pair."""
+    x = quality.features([text or ""])[0]
+    bins = [sum(float(v) >= e for e in edges) for v, edges in zip(x, model.edges)]
+    total = model.bias + sum(table[b] for table, b in zip(model.tables, bins))
+    for (i, j), grid in zip(model.pairs, model.pair_tables):
+        total += grid[bins[i] * quality.PAIR_BINS // quality.BINS][bins[j] * quality.PAIR_BINS // quality.BINS]
+    return 1 / (1 + np.exp(-total))
+
+
+def plain_classes(texts):
+    """{key: keys of its class}, by comparing all pairs."""
+    bags, classes = {k: bag(t) for k, t in texts.items()}, {k: {k} for k in texts}
+    for a, b in itertools.combinations(bags, 2):
+        small, large = sorted((sum(bags[a].values()), sum(bags[b].values())))
+        if large and small >= 0.8 * large and classes[a] is not classes[b]:
+            if sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values()):
+                both = classes[a] | classes[b]
+                classes.update((k, both) for k in both)
+    return classes
+
+
+def test_quality_equals_a_plain_sum_of_its_tables(spark, small_dir):
+    docs, labels = (spark.read.parquet(f"{small_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels, "quality", fold("doc_id", 3) != 1)
+    for r in quality.score_quality(docs.select("doc_id", "text"), model).collect():
+        assert abs(r["score"] - plain_quality(model, r["text"])) < 1e-9
+
+
+def test_ids_with_several_texts_lose_none(spark, small_dir):
+    base = [f"w{i}" for i in range(60)]
+    near_base = " ".join(base[:-2] + ["y", "z"])
+    rows = [
+        (1, " ".join(base)), (1, "another text of some words that stands alone here"), (1, ""), (2, near_base), (2, near_base), (2, None),
+        (3, "another text of some words that stands alone here"), (4, ""), (5, " ".join(base)), (5, near_base), (None, near_base), (6, near_base.upper()),
+    ]
+    crowd = [(100 + i // 3, " ".join(base[: 58 - i % 7] + [f"c{i}", f"d{i}"])) for i in range(40)]
+    docs = spark.createDataFrame(rows + crowd, "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("fp"))
+    texts = sorted({(i, t or "") for i, t in rows + crowd if i is not None})
+    classes = plain_classes({k: t for k, (_, t) in enumerate(texts)})
+    least = {key: min(texts[k][0] for k in classes[n]) for n, key in enumerate(texts)}
+    found = near.near_duplicates(docs)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(((i, least.get((i, t or ""))) for i, t in rows + crowd), key=repr)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, small_dir)
+    assert kept.columns == docs.columns
+    left = [(r["doc_id"], r["text"] or "") for r in kept.collect()]
+    assert left.count((None, near_base)) == 1
+    named = [x for x in left if x[0] is not None]
+    number = {key: n for n, key in enumerate(texts)}
+    assert len(named) == len(set(named)) == len({id(c) for c in classes.values()}) == len({id(classes[number[x]]) for x in named})
+    assert all(x[0] == least[x] for x in named)
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, small_dir):
     """Every stage's decision, from its own input."""
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
@@ -353,6 +406,12 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, small_dir):
             gone = {k: max(v) for k, v in keys.items() if len(k) >= 20 and len(v) >= 3}
             for i, r in before.items():
                 assert after[i]["text"] == "\n".join(x for x in (r["text"] or "").split("\n") if gone.get(key(x), i) == i)
+        if name == "quality classifier":
+            labels = spark.read.parquet(f"{small_dir}/labels.parquet")
+            model = quality.fit_quality(docs, labels, "quality", fold("doc_id", 3) != 1)
+            assert after.keys() == {i for i, r in before.items() if plain_quality(model, r["text"]) >= 0.5} and after.keys() != before.keys()
+        if name == "minhash near-dedup":
+            assert after.keys() == {min(c) for c in plain_classes({i: r["text"] for i, r in before.items()}).values()}
         if name == "benchmark decontamination":
             for i in before.keys() - after.keys():
                 assert any(len(b & set(bag(before[i]["text"]))) >= 0.3 * len(b) for b in bench)
