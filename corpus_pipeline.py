@@ -14,7 +14,7 @@ from labelloom.llm.decontaminate import find_leaks
 from labelloom.llm.labels import fold
 from labelloom.llm.lines import dedup_lines
 from labelloom.llm.mixing import mix_sources
-from labelloom.llm.near import near_duplicates
+from labelloom.llm.near import near_classes, text_fingerprint
 from labelloom.llm.quality import fit_quality, score_quality
 from labelloom.plans.staging import stage
 
@@ -38,13 +38,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class; of rows that repeat an id, one."""
-    found = stage(near_duplicates(docs).select("doc_id", "class_id"))
-    gone = stage(found.where("doc_id <> class_id").select("doc_id").distinct())
-    repeated = stage(found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti")
-    single = kept.join(repeated, "doc_id", "left_anti")
-    return single.union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """The text with the least id of each class; of rows that repeat an id and its text, one. Rows without id stay."""
+    found = near_classes(docs)
+    gone = stage(found.where(~F.col("keeper")).select(F.col("id").alias("__id"), F.col("fp").alias("__fp")))
+    keyed = docs.withColumn("__fp", text_fingerprint("text"))
+    here = (F.col("doc_id") == F.col("__id")) & (keyed["__fp"] == gone["__fp"])
+    kept = keyed.join(gone, here, "left_anti")
+    named = kept.where("doc_id IS NOT NULL").select("doc_id", "__fp")
+    repeated = stage(named.groupBy("doc_id", "__fp").count().where("count > 1").select("doc_id", "__fp"))
+    single = kept.join(repeated, ["doc_id", "__fp"], "left_anti")
+    one = kept.join(repeated, ["doc_id", "__fp"], "left_semi").dropDuplicates(["doc_id", "__fp"])
+    return single.select(*docs.columns).union(one.select(*docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
