@@ -10,45 +10,90 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from labelloom.llm.words import SHINGLE, chunk_shingles, chunk_words, chunks
+from labelloom.llm.words import GOLDEN, SHINGLE, chunk_shingles, chunk_words, chunks, mix
 from labelloom.plans.staging import stage
 
 COVERAGE = 0.5
 MAX_ITEMS, MAX_BYTES = 200_000, 16 * 1024 * 1024  # most of the benchmark that one pass copies to every executor
 FILTER_BITS = 22
+ITEM_EDGE, TEXT_EDGE = 1, 2  # in place of a word beyond the end
 RESULT = "doc_id long, item_id long, tiles int, covered int, item_words int, coverage double"
 
 
+def _beside(words: np.ndarray, offsets: np.ndarray, text: np.ndarray, place: np.ndarray, edge: int) -> np.ndarray:
+    """The words at ``place`` of each text; ``edge`` where a text has none there."""
+    out = np.full(len(place), edge, dtype=np.uint64)
+    inside = (place >= 0) & (place < np.diff(offsets)[text])
+    out[inside] = words[(offsets[text] + place)[inside]]
+    return out
+
+
+def _pair(keys: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """One hash of a seed and the word beside it."""
+    return mix(keys ^ mix(beside + np.uint64(GOLDEN)))
+
+
+@dataclass
+class Postings:
+    """Where each seed occurs, the occurrences of a seed in the order of the word beside it."""
+
+    item: np.ndarray
+    place: np.ndarray
+    pairs: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, item: np.ndarray, place: np.ndarray, beside: np.ndarray) -> "Postings":
+        order = np.lexsort((beside, keys))
+        pair = _pair(keys, beside)[order]
+        starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.empty(0, dtype=np.int64)
+        ends, by = np.append(starts, len(pair))[1:], np.argsort(pair[starts], kind="stable")
+        return cls(item[order], place[order], pair[starts][by], starts[by], ends[by])
+
+    def other(self, low: np.ndarray, high: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(place in low, occurrence)`` of all occurrences from ``low`` to ``high`` that do not have the same word beside them."""
+        skip, on = high.copy(), high.copy()
+        if len(self.pairs):
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            same = self.pairs[at] == pair
+            skip[same], on[same] = self.first[at[same]], self.last[at[same]]
+        starts, sizes = np.concatenate([low, on]), np.concatenate([skip - low, high - on])
+        source = np.repeat(np.tile(np.arange(len(low)), 2), sizes)
+        return source, np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+
+
 @dataclass
 class Seeds:
-    """The items' words, and where each run of five of them occurs: postings sorted by fingerprint."""
+    """Items of one seed length: their words, and where each run of ``least`` of them occurs, by fingerprint.
+
+    A match that cannot be made longer begins where the words in front differ
+    and ends where those behind do. Occurrences are kept in the order of either
+    word, so those of a document's seed that go on a match are stepped over and
+    a repeating text or a phrase costs one step for each whole match.
+    """
 
+    least: int
     ids: np.ndarray
     words: np.ndarray
     offsets: np.ndarray
     keys: np.ndarray
     first: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
+    before: Postings
+    behind: Postings
     maybe: np.ndarray
 
     @classmethod
-    def of(cls, ids: list[int], texts: list[str | None]) -> "Seeds":
-        words, counts, grams, gram_counts = [], [], [], []
-        for _, _, held in chunks(texts):
-            w, at = chunk_words(held)
-            g, gat = chunk_shingles(w, at)
-            words.append(w), counts.append(np.diff(at)), grams.append(g), gram_counts.append(np.diff(gat))
-        join = lambda parts, kind: np.concatenate([np.empty(0, dtype=kind), *parts])
-        words, counts, grams, per = join(words, np.uint64), join(counts, np.int64), join(grams, np.uint64), join(gram_counts, np.int64)
-        item = np.repeat(np.arange(len(ids)), per)
-        place = np.arange(len(grams)) - np.repeat(np.cumsum(per) - per, per)
-        order = np.argsort(grams, kind="stable")
-        keys, first = np.unique(grams[order], return_index=True)
+    def of(cls, ids: np.ndarray, words: np.ndarray, offsets: np.ndarray, least: int) -> "Seeds":
+        grams, at = chunk_shingles(words, offsets, least)
+        item = np.repeat(np.arange(len(ids)), np.diff(at))
+        place = np.arange(len(grams)) - np.repeat(at[:-1], np.diff(at))
+        before = Postings.of(grams, item, place, _beside(words, offsets, item, place - 1, ITEM_EDGE))
+        behind = Postings.of(grams, item, place, _beside(words, offsets, item, place + least, ITEM_EDGE))
+        keys, counts = np.unique(grams, return_counts=True)
         maybe = np.zeros(1 << FILTER_BITS, dtype=bool)
         maybe[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        offsets = np.concatenate([[0], np.cumsum(counts)])
-        return cls(np.array(ids, dtype=np.int64), words, offsets, keys, np.append(first, len(grams)), item[order], place[order], maybe)
+        return cls(least, ids, words, offsets, keys, np.concatenate([[0], np.cumsum(counts)]), before, behind, maybe)
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(places in grams, rows of keys)`` of the fingerprints that occur in an item."""
@@ -59,70 +104,91 @@ class Seeds:
         same = self.keys[row] == grams[at]
         return at[same], row[same]
 
+    def matches(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows ``(text, item, place in the text, place in the item, words)`` of all matches that cannot be made longer."""
+        grams, at = chunk_shingles(words, offsets, self.least)
+        where, row = self.hits(grams)
+        text = np.searchsorted(at, where, side="right") - 1
+        place = where - at[text]
+        low, high = self.first[row], self.first[row + 1]
+
+        def edges(postings: Postings, shift: int) -> tuple[np.ndarray, ...]:
+            beside = _beside(words, offsets, text, place + shift, TEXT_EDGE)
+            source, hit = postings.other(low, high, _pair(self.keys[row], beside))
+            t, item, p, i = text[source], postings.item[hit], place[source], postings.place[hit]
+            order = np.lexsort((p, p - i, item, t))
+            return t[order], item[order], p[order], i[order]
+
+        t, item, p, i = edges(self.before, -1)
+        *_, end, _ = edges(self.behind, self.least)
+        return np.stack([t, item, p, i, end - p + self.least], axis=1)
+
+
+def seeds_of(ids: list[int], texts: list[str | None]) -> list[Seeds]:
+    """The items by the length of their seeds: SHINGLE words, or all of a shorter item."""
+    words, counts = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+    for _, _, held in chunks(texts):
+        w, at = chunk_words(held)
+        words.append(w)
+        counts.append(np.diff(at))
+    words, counts = np.concatenate(words), np.concatenate(counts)
+    numbers, least = np.array(ids, dtype=np.int64), np.minimum(counts, SHINGLE)
+    found = []
+    for k in range(1, SHINGLE + 1):
+        own = np.flatnonzero(least == k)
+        if len(own):
+            held = words[np.repeat(least == k, counts)]
+            found.append(Seeds.of(numbers[own], held, np.concatenate([[0], np.cumsum(counts[own])]), k))
+    return found
+
 
-def tile(doc: np.ndarray, item: np.ndarray, places: list[tuple[int, int]], least: int = SHINGLE) -> tuple[int, int]:
+def tile(doc: np.ndarray, item: np.ndarray, runs: list[tuple[int, int, int]], least: int = SHINGLE) -> tuple[int, int]:
     """``(tiles, words covered)`` of an item in a document, by greedy string tiling.
 
-    ``places`` are the (document, item) positions of equal fingerprints. Runs on
-    a diagonal are maximal matches. The longest is marked first, on both sides;
-    what a marked tile leaves of another match goes back until it is shorter
-    than ``least`` words. Equal lengths go by document position, then item position.
+    ``runs`` are the matches that cannot be made longer, as (document place, item
+    place, words). The longest is marked first, on both sides; what a marked
+    tile leaves of another match goes back until it is shorter than ``least``
+    words. Equal lengths go by document position, then item position.
     """
-    least = min(least, len(item))
-    heap, runs = [], {}
-    for p, i in sorted(set(places)):
-        start = runs.get(p - i)
-        if start is not None and start[0] + start[2] == p:
-            start[2] += 1
-        else:
-            if start is not None:
-                heap.append(start)
-            runs[p - i] = [p, i, 1]
-    heap = [(-(n + least - 1), p, i) for p, i, n in [*heap, *runs.values()]]
-    heap = [(n, p, i) for n, p, i in heap if np.array_equal(doc[p : p - n], item[i : i - n])]
+    heap = [(-n, p, i) for p, i, n in runs if np.array_equal(doc[p : p + n], item[i : i + n])]
     heapq.heapify(heap)
-    doc_free: dict[int, bool] = {}
+    base = min((p for _, p, _ in heap), default=0)
+    doc_free = np.ones(max((p - n for n, p, _ in heap), default=0) - base, dtype=bool)
     item_free = np.ones(len(item), dtype=bool)
-    tiles = 0
-    while heap:
+    tiles, left = 0, len(item)
+    while heap and left >= least:
         n, p, i = heapq.heappop(heap)
-        free = [item_free[i + k] and doc_free.get(p + k, True) for k in range(-n)]
-        if all(free):
-            tiles += 1
-            item_free[i : i - n] = False
-            doc_free.update((p + k, False) for k in range(-n))
+        there, here = doc_free[p - base : p - base - n], item_free[i : i - n]
+        free = there & here
+        if free.all():
+            tiles, left = tiles + 1, left + n
+            there[:] = here[:] = False
             continue
-        k = 0
-        while k < -n:
-            end = k
-            while end < -n and free[end]:
-                end += 1
-            if end - k >= least:
-                heapq.heappush(heap, (k - end, p + k, i + k))
-            k = end + 1
-    return tiles, int((~item_free).sum())
-
-
-def matches(doc_ids: list, texts: list[str | None], seeds: Seeds, coverage: float) -> Iterator[tuple]:
-    """A row of RESULT for every (document, item) covered enough."""
+        edges = np.flatnonzero(np.diff(free, prepend=False, append=False)).reshape(-1, 2)
+        for a, b in edges[edges[:, 1] - edges[:, 0] >= least].tolist():
+            heapq.heappush(heap, (a - b, p + a, i + a))
+    return tiles, len(item) - left
+
+
+def matches(doc_ids: list, texts: list[str | None], groups: list[Seeds], coverage: float) -> Iterator[tuple]:
+    """A row of RESULT for every (document, item) covered enough.
+
+    No item is covered further than the sum of its matches, so most end there.
+    """
     for first, _, held in chunks(texts):
         words, at = chunk_words(held)
-        grams, gat = chunk_shingles(words, at)
-        places, rows = seeds.hits(grams)
-        if not len(places):
-            continue
-        docs = np.searchsorted(gat, places, side="right") - 1
-        for j in np.unique(docs):
-            found: dict[int, list[tuple[int, int]]] = {}
-            for p, row in zip(places[docs == j] - gat[j], rows[docs == j]):
-                for x in range(seeds.first[row], seeds.first[row + 1]):
-                    found.setdefault(int(seeds.item[x]), []).append((int(p), int(seeds.place[x])))
-            for k, where in sorted(found.items()):
+        for seeds in groups:
+            found = seeds.matches(words, at)
+            if not len(found):
+                continue
+            starts = np.flatnonzero(np.r_[True, (found[1:, :2] != found[:-1, :2]).any(axis=1)])
+            need = coverage * np.diff(seeds.offsets)[found[starts, 1]]
+            enough = np.add.reduceat(found[:, 4], starts) >= need
+            stops = np.append(starts, len(found))[1:]
+            for a, b in zip(starts[enough].tolist(), stops[enough].tolist()):
+                j, k = found[a, :2].tolist()
                 item = seeds.words[seeds.offsets[k] : seeds.offsets[k + 1]]
-                distinct = len({i for _, i in where})
-                if distinct + SHINGLE * min(distinct, len(item)) < coverage * len(item):
-                    continue
-                tiles, covered = tile(words[at[j] : at[j + 1]], item, where)
+                tiles, covered = tile(words[at[j] : at[j + 1]], item, found[a:b, 2:].tolist(), seeds.least)
                 if covered >= coverage * len(item):
                     yield doc_ids[first + j], int(seeds.ids[k]), tiles, covered, len(item), covered / len(item)
 
@@ -148,8 +214,9 @@ def find_leaks(
     and each part takes one more pass, written out before the next begins.
 
     Null and empty texts match nothing, nor do rows of the benchmark without id
-    or words. An item of fewer than five words matches only a document of just
-    these words. Repeated rows give repeated results; an empty table gives none.
+    or words. An item of fewer than five words is found where all of them stand
+    together, in any document. Repeated rows give repeated results; an empty
+    table gives none.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(
         F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
@@ -161,7 +228,7 @@ def find_leaks(
 
     def against(part: int) -> DataFrame:
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        shared = docs.sparkSession.sparkContext.broadcast(Seeds.of([r["item_id"] for r in own], [r["text"] for r in own]))
+        shared = docs.sparkSession.sparkContext.broadcast(seeds_of([r["item_id"] for r in own], [r["text"] for r in own]))
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names = [f.split()[0] for f in RESULT.split(", ")]

@@ -238,11 +238,69 @@ def test_tiles_of_a_cut_and_reordered_passage(spark, odd_docs, no_docs):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for bound in ({}, {"max_items": 1}):
         found = {(r["doc_id"], r["item_id"]): (r["tiles"], r["covered"]) for r in decontaminate.find_leaks(df, bench, **bound).collect()}
-        assert found == {(1, 7): (2, 30), (5, 7): (1, 30)}
+        assert found == {(1, 7): (2, 30), (5, 7): (1, 30), (3, 10): (1, 2)}
     assert decontaminate.find_leaks(odd_docs, bench).count() == 0 and decontaminate.find_leaks(no_docs, bench).count() == 0
     assert decontaminate.find_leaks(df, bench.where("false")).count() == 0
 
 
+def plain_tiles(doc, item, least):
+    """Greedy string tiling by looking for the longest common run of free words, again and again."""
+    number = {w: n for n, w in enumerate(dict.fromkeys(doc + item))}
+    a, b = np.array([number[w] for w in doc]), np.array([number[w] for w in item])
+    doc_free, item_free, tiles = np.ones(len(a), dtype=bool), np.ones(len(b), dtype=bool), 0
+    while True:
+        best, run = (0, 0, 0), np.zeros(len(b) + 1, dtype=int)
+        for p in range(len(a) - 1, -1, -1):
+            run[:-1] = np.where((b == a[p]) & item_free & doc_free[p], run[1:] + 1, 0)
+            top = int(run.max())
+            if top >= best[0]:
+                best = (top, p, int(run.argmax()))
+        if best[0] < least:
+            return tiles, int((~item_free).sum())
+        n, p, i = best
+        doc_free[p : p + n], item_free[i : i + n], tiles = False, False, tiles + 1
+
+
+def test_matches_equal_plain_tiling_on_repeating_texts():
+    rng = np.random.default_rng(8)
+    for size in (2, 3, 5):
+        items = [" ".join(f"w{x}" for x in rng.integers(0, size, int(n))) for n in rng.integers(1, 40, 12)]
+        docs = [" ".join(f"w{x}" for x in rng.integers(0, size, int(n))) for n in rng.integers(1, 80, 12)] + [items[0] + " x " + items[3]]
+        found = {(d, i): (t, c) for d, i, t, c, *_ in decontaminate.matches(list(range(13)), docs, decontaminate.seeds_of(list(range(12)), items), 0.5)}
+        for d, i in itertools.product(range(13), range(12)):
+            tiles, covered = plain_tiles(words(docs[d]), words(items[i]), min(5, len(words(items[i]))))
+            assert found.get((d, i)) == ((tiles, covered) if covered >= 0.5 * len(words(items[i])) else None)
+
+
+def test_leaks_equal_plain_tiling_over_the_tables(spark, small_dir):
+    docs, bench = (spark.read.parquet(f"{small_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = {(r["doc_id"], r["item_id"]): (r["tiles"], r["covered"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    items = {r["item_id"]: words(r["text"]) for r in bench.collect()}
+    seeds = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in items.items()}
+    expected = {}
+    for r in docs.collect():
+        w = words(r["text"])
+        own = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+        for i, item in items.items():
+            if own & seeds[i]:
+                tiles, covered = plain_tiles(w, item, 5)
+                if covered >= 0.5 * len(item):
+                    expected[r["doc_id"], i] = (tiles, covered)
+    assert found == expected and len(found) > 0
+
+
+def test_hot_phrases_and_repeats_are_tiled_in_no_time():
+    import time
+
+    opening = " ".join(f"p{i}" for i in range(12))
+    items = [opening + " " + " ".join(f"i{k}x{j}" for j in range(30)) for k in range(2_000)] + ["w " * 2_000]
+    groups = decontaminate.seeds_of(list(range(2_001)), items)
+    docs = [opening + " " + " ".join(f"d{k}x{j}" for j in range(128)) for k in range(20)] + [items[3], "w " * 2_000]
+    start = time.perf_counter()
+    found = list(decontaminate.matches(list(range(22)), docs, groups, 0.5))
+    assert [(d, i) for d, i, *_ in found] == [(20, 3), (21, 2_000)] and time.perf_counter() - start < 1
+
+
 def test_quality_on_held_out_rows(spark, small_dir, odd_docs, no_docs):
     path = small_dir.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
