@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -14,42 +17,64 @@ UNKNOWN_PENALTY = 10.0
 # ------------------------------------------------------------------------------
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_CACHED_WORDS = 300_000
+_WORD = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
-def read_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
-    """``(piece, score)`` by id, as the model file has them."""
+@dataclass
+class Vocabulary:
+    """Pieces with their log probabilities, without control, unknown and byte pieces; whether other characters count as bytes."""
+
+    pieces: list[tuple[str, float]]
+    byte_fallback: bool
+
+
+def read_vocabulary(path: str = VOCABULARY) -> Vocabulary:
+    """The pieces of a model file as a unigram vocabulary.
+
+    The scores of a unigram file are log probabilities and stay as they are. A
+    file of merges has ranks in their place, whose sums mean nothing: its pieces,
+    listed from the most frequent on, get those of Zipf's law, minus the
+    logarithm of their place in the list.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    scores = [model.get_score(i) for i in ids]
+    if all(x == int(x) for x in scores):
+        scores = [-math.log(place + 1) for place in range(len(ids))]
+    return Vocabulary([(model.id_to_piece(i), x) for i, x in zip(ids, scores)], any(model.is_byte(i) for i in range(model.get_piece_size())))
 
 
 class UnigramCounter:
     """Counts the pieces of the best segmentation, without building it.
 
-    A text is split before every word mark (a space, one being put in front);
-    each word is segmented by itself. The automaton lists all pieces that end at
-    a position; the best score so far and its piece count are carried along. Of
-    equal scores the earliest start, that is the longest last piece, wins. A
-    character that is no piece costs the least score less ten, and counts as its
-    UTF-8 bytes where the vocabulary has all byte pieces, else as one per run.
+    Every space is a word mark, and one is put in front of the text. No piece
+    of a usual vocabulary goes on with a mark after another sign, so a text is
+    split in front of every run of marks and each word is segmented by itself,
+    together with that run; where some piece does, the text stays whole. The
+    automaton lists all pieces that end at a position; the best score so far and
+    its piece count are carried along. Of equal scores the earliest start, that
+    is the longest last piece, wins. A character that is no piece costs the least
+    score less ten, and counts as its UTF-8 bytes where the vocabulary falls
+    back to them, else as one per run.
     """
 
-    def __init__(self, vocabulary: list[tuple[str, float]]):
+    def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
 
         self.trie = ahocorasick.Automaton()
-        for piece, score in vocabulary:
+        for piece, score in vocabulary.pieces:
             if piece:
                 self.trie.add_word(piece, (len(piece), score))
         self.trie.make_automaton()
-        pieces = {p for p, _ in vocabulary}
-        self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
-        self.byte_pieces = all(f"<0x{b:02X}>" in pieces for b in range(256))
+        self.unknown = min((s for _, s in vocabulary.pieces), default=0.0) - UNKNOWN_PENALTY
+        self.byte_pieces = vocabulary.byte_fallback
+        self.whole = any(MARK in piece.lstrip(MARK) for piece, _ in vocabulary.pieces)
         self.seen: dict[str, int] = {}
 
     def word(self, word: str) -> int:
-        """Pieces of one word, its mark included."""
+        """Pieces of one word, its marks included."""
         known = self.seen.get(word)
         if known is None:
             if len(self.seen) >= MAX_CACHED_WORDS:
@@ -95,13 +120,13 @@ class UnigramCounter:
         """Tokens of a whole text; a null or empty one has none."""
         if not text:
             return 0
-        words = text.replace(MARK, " ").split(" ")
-        if not words[0] and len(words) > 1:
-            words = words[1:]
-        return sum(self.word(MARK + w) * n for w, n in Counter(words).items())
+        marked = MARK + text.replace(" ", MARK)
+        if self.whole:
+            return self._search(marked)
+        return sum(self.word(w) * n for w, n in Counter(_WORD.findall(marked)).items())
 
 
-def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], text_col: str = "text", output: str = "n_tokens") -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", output: str = "n_tokens") -> DataFrame:
     """``docs`` with the number of tokens of each whole text; an input column named ``output`` is replaced.
 
     The vocabulary is a parameter of fixed size; it goes to the workers once.

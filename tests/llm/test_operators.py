@@ -94,25 +94,51 @@ def test_articles_of_pages(spark, small_dir):
         assert main_text(row["html"]) == " ".join(p for p in parts if p)
 
 
+ODD_TEXTS = [
+    "", "  a b  ", " ", "     ", "日本 語", "▁▁a", "<0x41>", "a<s>b", "x</s>", "tag:<0x41><0x42>", "<unk>", "def f():\n    return 1", "a  b", "a                   b",
+    "the quick brown fox", "hello world, this is a normal sentence about tokenizers", "\t\ttabs", "é" * 50, "x" * 300,
+]
+
+
 def test_token_counts_equal_the_library(spark, small_dir, odd_docs, no_docs):
-    from tokenizers import Tokenizer, models, pre_tokenizers
+    """Whole texts against another implementation of the unigram search, over the same pieces and scores."""
+    from tokenizers import Tokenizer, models
 
     vocabulary = tokens.read_vocabulary()
-    exact = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
-    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    exact = Tokenizer(models.Unigram([("\0unknown", min(x for _, x in vocabulary.pieces)), *vocabulary.pieces], unk_id=0, byte_fallback=False))
+    plain = tokens.Vocabulary(vocabulary.pieces, False)
     df = spark.read.parquet(f"{small_dir}/documents.parquet").select("text")
-    df = df.union(spark.createDataFrame([(t,) for t in ("", "  a b  ", "日本 語", "😀\u0000", "▁▁a", "<0x41>")], "text string"))
-    for row in tokens.count_tokens(df, vocabulary).collect():
-        assert row["n_tokens"] == len(exact.encode(row["text"], add_special_tokens=False).ids)
+    df = df.union(spark.createDataFrame([(t,) for t in ODD_TEXTS + ["😀 a 😀😀"]], "text string"))
+    for row in tokens.count_tokens(df, plain).collect():
+        marked = "▁" + row["text"].replace(" ", "▁") if row["text"] else ""
+        assert row["n_tokens"] == len(exact.encode(marked).ids), row["text"]
     assert {r["n_tokens"] for r in tokens.count_tokens(odd_docs, vocabulary).where("text IS NULL OR text = ''").collect()} == {0}
     assert tokens.count_tokens(no_docs, vocabulary).count() == 0
 
 
+def test_unknown_characters_count_as_their_bytes():
+    counter = tokens.UnigramCounter(tokens.read_vocabulary())
+    assert counter.text("🜚🜚") == 1 + 8 and counter.text("\0") == 1 + 1
+
+
+def test_control_and_byte_pieces_are_ordinary_text():
+    vocabulary = tokens.read_vocabulary()
+    assert not {"<s>", "</s>", "<unk>", "<0x41>"} & {p for p, _ in vocabulary.pieces} and vocabulary.byte_fallback
+    counter = tokens.UnigramCounter(vocabulary)
+    assert counter.text("a<s>b") > 3 and counter.text("<0x41>") > 3
+    assert counter.text("the quick brown fox") <= 5
+
+
 def test_tied_segmentations_take_the_longest_last_piece():
-    counter = tokens.UnigramCounter([("<unk>", 0.0), ("▁", 0.0), ("▁a", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁ab", -2.0)])
+    counter = tokens.UnigramCounter(tokens.Vocabulary([("▁", 0.0), ("▁a", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁ab", -2.0)], False))
     assert counter.text("ab") == 1
 
 
+def test_pieces_across_words_keep_the_text_whole():
+    counter = tokens.UnigramCounter(tokens.Vocabulary([("▁", -1.0), ("a", -1.0), ("a▁a", -1.5)], False))
+    assert counter.whole and counter.text("a a") == 2
+
+
 def test_pfair_lag_is_below_one_block():
     for weights in ([0.9] + [0.01] * 10, [1, 2, 3, 5, 8], [1], [0.5, 0.5]):
         shares = mixing.quotas(weights, 200)
