@@ -18,6 +18,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from labelloom.operators.profile import term_stats
+from labelloom.operators.ranking import numbered
 from labelloom.operators.vocabulary import frequent_terms, top_terms
 from labelloom.plans.staging import MAX_SHARED_BYTES, MAX_SHARED_ROWS, fits_in_memory, stage
 
@@ -28,8 +29,6 @@ ROWS_PER_SALT = 200_000
 MAX_HOT_TERMS = 100_000
 # Bits of the filter for foreign terms: for each term, at most, and the hashes.
 FILTER_BITS_PER_TERM, MAX_FILTER_BITS, FILTER_HASHES = 16, 1 << 28, 4
-# Characters of a term that form its order-preserving bucket when numbering.
-PREFIX = 3
 
 
 def idf(df_count: Column | str, n_docs: Column | int) -> Column:
@@ -56,19 +55,7 @@ def fit_vocabulary(
     if max_features <= MAX_SHARED_ROWS:
         place = F.row_number().over(Window.orderBy("term")) - 1
         return stage(weighed.select("term", place.alias("idx"), "cf", "df", "idf"))
-    return stage(_numbered(stage(weighed)))
-
-
-def _numbered(kept: DataFrame) -> DataFrame:
-    """Alphabetical ``idx`` of very many terms: bucket offsets plus places inside a bucket."""
-    keyed = kept.withColumn("_bucket", F.substring("term", 1, PREFIX))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    offsets = offsets.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("term"))
-    return keyed.join(offsets, "_bucket").select(
-        "term", (F.col("_before") + place - 1).cast("int").alias("idx"), "cf", "df", "idf"
-    )
+    return stage(numbered(weighed, "term").select("term", F.col("idx").cast("int").alias("idx"), "cf", "df", "idf"))
 
 
 def vectorizer(vocabulary: DataFrame, terms: str, output: str = "features") -> PipelineModel:

@@ -19,6 +19,14 @@ from labelloom.functions.text import coarse_pos
 from labelloom.plans.staging import MAX_SHARED_BYTES, MAX_SHARED_ROWS, fits_in_memory, stage
 
 JOIN_SALTS = 32
+# --- Fixed values: endings that a lemma's forms take, and what stands in their place, by part of speech ---
+DETACHMENTS = {
+    "n": (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")),
+    "v": (("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", "")),
+    "a": (("er", ""), ("est", ""), ("er", "e"), ("est", "e")),
+    "r": (),
+}
+# ----------------------------------------------------------------------------------------------------------
 
 
 def lookup_array(
@@ -111,6 +119,64 @@ def lemmatize(
     return lookup_array(keyed, "_keys", dictionary, id_col, tokens, output, **bounds).drop("_keys")
 
 
+def word_tags(
+    df: DataFrame, tokens: str, tagged: DataFrame, id_col: str | None, output: str = "tags", **bounds: int
+) -> DataFrame:
+    """Adds the part-of-speech tag of each token, from a table ``(surface, tag)``; ``NN`` for unknown ones."""
+    dictionary = tagged.select(F.col("surface").alias("key"), F.col("tag").alias("value"))
+    return lookup_array(df, tokens, dictionary, id_col, F.lit("NN"), output, **bounds)
+
+
+def lemmatize_by_rule(
+    df: DataFrame,
+    tokens: str,
+    known: DataFrame,
+    exceptions: DataFrame | None,
+    id_col: str | None,
+    tags: str | None = None,
+    output: str = "lemmas",
+    **bounds: int,
+) -> DataFrame:
+    """Adds the lemma of each token by taking off endings, as far as that gives a lemma that is known.
+
+    ``known`` is a table ``(lemma, pos)``, ``exceptions`` one of irregular forms
+    ``(surface, pos, lemma)``, for which no ending is taken off. Candidates are the
+    token itself, then what each ending of its part of speech leaves (see
+    ``DETACHMENTS``). The shortest known one counts, of equal ones the first; a
+    token without any stays. All candidates of a row are looked up at once. ``pos`` is
+    one of ``a v n r``; ``tags`` as in ``lemmatize``.
+    """
+    slots = 2 + max(len(rules) for rules in DETACHMENTS.values())
+
+    def candidates(word: Column, pos: Column) -> Column:
+        def detached(j: int) -> Column:
+            found = F.lit(None).cast("string")
+            for name, rules in DETACHMENTS.items():
+                if j < len(rules):
+                    ending, by = rules[j]
+                    stem = F.substring(word, F.lit(1), F.length(word) - len(ending))
+                    found = F.when((pos == name) & word.endswith(ending), F.concat(stem, F.lit(by))).otherwise(found)
+            return found
+
+        tried = [word, *[detached(j) for j in range(slots - 2)]]
+        return F.array(F.concat(F.lit("form\t"), word, F.lit("\t"), pos), *[F.concat(F.lit("lemma\t"), c, F.lit("\t"), pos) for c in tried])
+
+    pos = F.transform(tags, lambda tag: coarse_pos(tag)) if tags else F.transform(tokens, lambda _: F.lit("n"))
+    keyed = df.withColumn("_keys", F.flatten(F.zip_with(tokens, pos, candidates)))
+    dictionary = known.select(F.concat(F.lit("lemma\t"), "lemma", F.lit("\t"), "pos").alias("key"), F.col("lemma").alias("value"))
+    if exceptions is not None:
+        dictionary = dictionary.union(exceptions.select(F.concat(F.lit("form\t"), "surface", F.lit("\t"), "pos"), "lemma"))
+    found = lookup_array(keyed, "_keys", dictionary, id_col, F.lit(None).cast("string"), "_found", **bounds)
+
+    def chosen(word: Column, i: Column) -> Column:
+        own = F.slice("_found", i * slots + 1, F.lit(slots))
+        tried = F.when(F.get(own, F.lit(0)).isNotNull(), F.slice(own, 1, 2)).otherwise(own)
+        ranked = F.filter(F.transform(tried, lambda value, at: F.struct(F.length(value).alias("size"), at.alias("at"), value.alias("value"))), lambda e: e["value"].isNotNull())
+        return F.coalesce(F.array_min(ranked)["value"], word)
+
+    return found.withColumn(output, F.transform(tokens, chosen)).drop("_keys", "_found")
+
+
 def remove_stopwords_table(
     df: DataFrame, tokens: str, stop: DataFrame, id_col: str, output: str = "kept", **bounds: int
 ) -> DataFrame:

@@ -15,6 +15,8 @@ from labelloom.plans.staging import stage
 # to 1,048,576 buckets per class.
 ROWS_PER_BUCKET = 1_000_000
 BUCKET_DIGITS = (3, 4, 5)
+# Bits of the place in a partition in Spark's increasing ids.
+RANGE_BITS = 33
 
 
 def order_key(id_col: str, seed: int) -> Column:
@@ -53,3 +55,19 @@ def ranked(df: DataFrame, buckets: DataFrame, id_col: str, label: str, seed: int
         .withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
         .drop("_key", "_bucket", "before")
     )
+
+
+def numbered(df: DataFrame, order: str, output: str = "idx") -> DataFrame:
+    """``df`` with the place, from 0, of each row by ``order``, which must be unique.
+
+    Rows are dealt into ranges of equal size by sampled quantiles, whatever the
+    values look like, sorted there and written with their place in the range. One count for each range
+    then says how many rows come before it.
+    """
+    dealt = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
+    dealt = stage(dealt).withColumn("_range", F.shiftright("_m", RANGE_BITS))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"), F.min("_m").alias("_first"))
+    sizes = sizes.select("_range", "_first", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    place = (F.col("_before") + F.col("_m") - F.col("_first")).alias(output)
+    return dealt.join(F.broadcast(sizes), "_range").select(*df.columns, place)  # a row for each partition

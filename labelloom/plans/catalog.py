@@ -40,9 +40,9 @@ from labelloom.plans.workflow import (
     write_run_config,
 )
 from labelloom.sources import tables
-from labelloom.sources.models import TextModel, load_model, save_model
+from labelloom.sources.models import TextModel, load_model, publish_model, save_model
 from labelloom.sources.paths import first_existing, run_path
-from labelloom.streaming.scoring import clean_stream, score_stream, write_stream
+from labelloom.streaming.scoring import clean_stream, score_batches, score_stream, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -335,6 +335,26 @@ def lemmatize_nouns(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", join_tokens("lemmas").alias("lemmas"))
 
 
+@query
+def lemmatize_by_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """Endings taken off where that leaves a word of the corpus; words in -ses are listed as irregular."""
+    kept, _ = _lemma_inputs(spark, sf)
+    seen = stage(kept.select(F.explode("tokens").alias("lemma")).distinct())
+    known = seen.where("length(lemma) > 2").select("lemma", F.explode(F.array(F.lit("n"), F.lit("v"))).alias("pos"))
+    irregular = seen.where("lemma LIKE '%ses'").select(F.col("lemma").alias("surface"), F.lit("n").alias("pos"), F.expr("left(lemma, 3)").alias("lemma"))
+    found = lookup.lemmatize_by_rule(kept, "tokens", known, irregular, "doc_id", "tags")
+    return found.select("doc_id", join_tokens("lemmas").alias("lemmas"))
+
+
+@query
+def prepare_documents_tagged(spark: SparkSession, sf: str) -> DataFrame:
+    """The full cleaning job with lemmas looked up by the tags of a word table."""
+    kept, lemmas = _lemma_inputs(spark, sf)
+    verbs = stage(kept.select(F.explode("tokens").alias("surface")).distinct()).where("surface LIKE '%ing'")
+    docs = prepare_documents(documents(spark, sf).withColumn("class", F.lit(1)), "doc_id", lemmas=lemmas, tags=verbs.withColumn("tag", F.lit("VBG")))
+    return docs.select("doc_id", F.col("text_clean").alias("lemmas"))
+
+
 @query
 def ngrams_query(spark: SparkSession, sf: str) -> DataFrame:
     words = cleaned(documents(spark, sf)).withColumn("w", content_tokens("t")).withColumn("g", ngrams("w"))
@@ -777,3 +797,19 @@ def score_stream_query(spark: SparkSession, sf: str) -> DataFrame:
     scored = score_stream(arriving_documents(spark, sf), model, "text").select("doc_id", "pred")
     write_stream(scored, target, checkpoint, once=True).awaitTermination()
     return _differences(spark.read.parquet(target), model.predict(documents(spark, sf), "text"))
+
+
+@query
+def score_batches_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document labelled as it arrives, in two parts with a new model between them."""
+    model, vocabulary, _ = _text_model(spark, sf)
+    arriving, models_, target, progress = (staging_path(spark, k) for k in ("arriving", "models", "stream", "progress"))
+    docs = documents(spark, sf).select("doc_id", "text")
+    for half in (0, 1):
+        docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half).write.mode("append").parquet(arriving)
+        publish_model(model, vocabulary, models_)
+        stream = spark.readStream.schema(docs.schema).parquet(arriving)
+        score_batches(stream, models_, "text", target, progress, once=True).awaitTermination()
+    found = spark.read.parquet(target)
+    facts = found.agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("model_version").alias("versions")).first()
+    return _differences(found, model.predict(docs, "text")).select("*", *[F.lit(facts[c]).alias(c) for c in ("docs", "versions")])

@@ -34,6 +34,14 @@ def fused(text: str) -> str:
     return text
 
 
+RULES = ", ".join(
+    f"('{p}', {slot}, '{ending}', '{rep}')"
+    for p, listed in (
+        ("n", "s: ses:s ves:f xes:x zes:z ches:ch shes:sh men:man ies:y"),
+        ("v", "s: ies:y es:e es: ed:e ed: ing:e ing:"),
+    )
+    for slot, (ending, rep) in enumerate((r.split(":") for r in listed.split()), 2)
+)
 CLASS = "CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 0 THEN 1 ELSE 2 END"
 CORPUS = f"corpus AS (SELECT d.doc_id, d.text, d.n_chars, {CLASS} AS class FROM documents d JOIN labels l USING (doc_id))"
 PARTLY = f"partly AS (SELECT d.*, CASE WHEN l.doc_id IS NULL THEN NULL ELSE {CLASS} END AS class FROM documents d LEFT JOIN labels l USING (doc_id))"
@@ -201,6 +209,17 @@ stats AS (SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM ke
         "min_token_length": _with(docs_words) + f"SELECT c.doc_id, {joined.format(o='p')} AS kept FROM cleaned c LEFT JOIN (SELECT * FROM words WHERE length(w) >= 4) USING (doc_id) GROUP BY c.doc_id",
         "content_tokens": _with(docs_words) + content,
         "lemmatize": _with(docs_words, dictionary) + lemmatized.format(pos="CASE WHEN w LIKE '%ing' THEN 'v' ELSE 'n' END"),
+        "prepare_documents_tagged": _with(docs_words, dictionary) + lemmatized.format(pos="CASE WHEN w LIKE '%ing' THEN 'v' ELSE 'n' END"),
+        "lemmatize_by_rule": _with(docs_words, f"rules(p, slot, ending, rep) AS (VALUES {RULES})") + """,
+            toks AS (SELECT DISTINCT w, CASE WHEN w LIKE '%ing' THEN 'v' ELSE 'n' END AS p FROM kept),
+            known AS (SELECT w AS c FROM toks WHERE length(w) > 2),
+            tried AS (SELECT w, p, 1 AS slot, w AS c FROM toks
+                      UNION ALL SELECT w, p, slot, left(w, length(w) - length(ending)) || rep FROM toks JOIN rules USING (p) WHERE w LIKE '%' || ending),
+            good AS (SELECT w, p, slot, c FROM tried WHERE c IN (SELECT c FROM known) AND (slot = 1 OR p = 'v' OR w NOT LIKE '%ses')
+                     UNION ALL SELECT w, p, 0, left(w, 3) FROM toks WHERE p = 'n' AND w LIKE '%ses'),
+            chosen AS (SELECT w, arg_min(c, length(c) * 100 + slot) AS lemma FROM good GROUP BY w)
+            SELECT c.doc_id, coalesce(string_agg(coalesce(lemma, w), ' ' ORDER BY k.pos), '') AS lemmas FROM cleaned c
+            LEFT JOIN kept k USING (doc_id) LEFT JOIN chosen USING (w) GROUP BY c.doc_id""",
         "lemmatize_nouns": _with(docs_words, dictionary) + lemmatized.format(pos="'n'"),
         "ngrams": _with(docs_words, GRAMS) + """SELECT c.doc_id, count(term) AS n_terms, coalesce(string_agg(term, '|' ORDER BY kind, pos), '') AS terms
             FROM cleaned c LEFT JOIN grams USING (doc_id) GROUP BY c.doc_id""",
@@ -291,6 +310,7 @@ stats AS (SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM ke
             true AS best_has_top_f1 FROM splitted WHERE split = 'test'""",
         "score": _with(CORPUS, split()) + "SELECT count(*) AS n, 0::BIGINT AS differing FROM splitted WHERE split = 'test'",
         "save_and_load_model": "SELECT count(*) AS n, 0::BIGINT AS differing FROM documents",
+        "score_batches": "SELECT count(*) AS n, 0::BIGINT AS differing, count(DISTINCT doc_id) AS docs, 2::BIGINT AS versions FROM documents",
         "score_stream": "SELECT count(*) AS n, 0::BIGINT AS differing FROM documents",
         "clean_stream": _with(docs_words) + content,
     }

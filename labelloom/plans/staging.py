@@ -25,13 +25,18 @@ MAX_SHARED_BYTES = 64 * 1024 * 1024
 def staging_root(spark: SparkSession) -> str:
     """The shared folder of this session.
 
-    ``spark.checkpoint.dir`` where it is set, else a folder below the warehouse,
-    which Spark always has and which a cluster shares as well.
+    ``spark.checkpoint.dir`` where it is set, else a folder below the warehouse.
+    A warehouse on a local disk is refused on a cluster, whose machines would
+    each write to their own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    scheme = spark._jvm.org.apache.hadoop.fs.Path(warehouse).toUri().getScheme()
+    if (scheme or "file") == "file" and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{warehouse} is local to each machine; set spark.checkpoint.dir to a folder that all of them share")
+    return f"{warehouse}/_staged"
 
 
 def staging_path(spark: SparkSession, kind: str = "stage") -> str:

@@ -28,7 +28,7 @@ from labelloom.operators.evaluate import (
     weighted_metrics,
 )
 from labelloom.operators.features import fit_vocabulary, vectorize, vectorizer
-from labelloom.operators.lookup import encode_fixed_length, lemmatize
+from labelloom.operators.lookup import encode_fixed_length, lemmatize, word_tags
 from labelloom.operators.models import score, train_linear_svm, train_logistic, train_oversampled_logistic
 from labelloom.operators.profile import class_distribution, distinct_labels, empty_text_rate, row_counts
 from labelloom.operators.sampling import (
@@ -72,10 +72,12 @@ def prepare_documents(
     force: bool = False,
     stop: Iterable[str] = ENGLISH_STOP_WORDS,
     lemmas: DataFrame | None = None,
+    tags: DataFrame | None = None,
 ) -> DataFrame:
     """``(id, label, text_clean, tokens)``, staged: every text is cleaned once.
 
     ``lemmas`` is a table ``(surface, pos, lemma)``; without it words stay as they are.
+    ``tags`` is one of ``(surface, tag)``, the part of speech that each word is looked up as; without it all are nouns.
 
     An existing ``text_clean`` column is used as it is unless ``force``; its tokens
     follow the vectorizer's rule, as those of lemmas do. Otherwise only the tokens are written; joining them back is cheap.
@@ -88,7 +90,9 @@ def prepare_documents(
     cleaned = df.select(*base, clean_text(F.col(f"`{text}`")).alias("_clean"))
     words = cleaned.select(id_col, "label", content_tokens("_clean", stop).alias("tokens"))
     if lemmas is not None:
-        words = lemmatize(words, "tokens", lemmas, id_col, output="tokens")
+        if tags is not None:
+            words = word_tags(words, "tokens", tags, id_col, "_tags")
+        words = lemmatize(words, "tokens", lemmas, id_col, "_tags" if tags is not None else None, output="tokens")
         clean = stage(words.select(id_col, "label", join_tokens("tokens").alias("text_clean")))
         return clean.withColumn("tokens", vectorizer_tokens("text_clean"))
     return stage(words).select(id_col, "label", join_tokens("tokens").alias("text_clean"), "tokens")
@@ -105,19 +109,20 @@ def train_and_compare(
     force: bool = False,
     stop: Iterable[str] = ENGLISH_STOP_WORDS,
     lemmas: DataFrame | None = None,
+    tags: DataFrame | None = None,
     max_rows: int = MAX_SHARED_ROWS,
 ) -> Comparison:
     """Train the three linear models on one split, evaluate them and keep the best.
 
     ``fit_on="all"`` fits vocabulary and idf on the whole corpus before the split,
     ``"train"`` on the train part only. Words are filtered by ``stop`` and, given a
-    table ``(surface, pos, lemma)``, replaced by their lemmas. A vocabulary of more than ``max_rows`` terms
+    table ``(surface, pos, lemma)``, replaced by their lemmas, as the part of speech that ``tags`` gives. A vocabulary of more than ``max_rows`` terms
     (or too many bytes) is joined in place of copied. With ``run`` all artifacts are written under that path.
     """
     if fit_on not in ("all", "train"):
         raise ValueError("fit_on is 'all' or 'train'")
     stop = list(stop)
-    docs = prepare_documents(df, id_col, force, stop, lemmas)
+    docs = prepare_documents(df, id_col, force, stop, lemmas, tags)
     terms = docs.withColumn("terms", ngrams("tokens"))
     split = stratified_split(terms, id_col, "label", test_size, seed)
     vocabulary = fit_vocabulary(terms if fit_on == "all" else split.filter("split = 'train'"), "terms", max_features)
@@ -145,7 +150,7 @@ def train_and_compare(
     best = select_best(metrics).first()["model"]
     classifier = fitted[MODEL_NAMES.index(best)]
     stages = vectorizer(vocabulary, "terms") if fits_in_memory(vocabulary, max_rows) else None
-    model = TextModel(stages, classifier, classes, stop, lemmas=lemmas, vocabulary=vocabulary)
+    model = TextModel(stages, classifier, classes, stop, lemmas=lemmas, vocabulary=vocabulary, tags=tags)
     result = Comparison(metrics, predictions, best, model, vocabulary, docs)
     if run:
         _save_run(df, id_col, result, data, run)

@@ -6,11 +6,11 @@ on a stream unchanged and keeps no state between batches.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from labelloom.functions.text import clean_text, content_tokens, join_tokens
-from labelloom.sources.models import TextModel
+from labelloom.sources.models import TextModel, load_model, published
 
 
 def clean_stream(stream: DataFrame, text: str) -> DataFrame:
@@ -27,3 +27,31 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str, once: bool = Fal
     """Append a stream to parquet; ``once`` stops when all data at hand is done."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def score_batches(
+    stream: DataFrame, models: str, text: str, path: str, checkpoint: str, id_col: str | None = None, once: bool = False
+) -> StreamingQuery:
+    """Score a growing stream batch by batch, by the newest model published under ``models``.
+
+    Each batch looks for a newer model (``sources.models.publish_model``) and adds
+    ``pred`` and ``model_version``. It is written to a folder of its own number
+    under ``path``, in place of what an earlier try of the same batch left, so
+    after a restart no row is lost or there twice. A batch is an ordinary frame:
+    vocabularies and lemma tables of any size are joined.
+    """
+    spark = stream.sparkSession
+    held: dict[int, TextModel] = {}
+
+    def scored(batch: DataFrame, number: int) -> None:
+        version = published(spark, models)
+        if version is None:
+            raise FileNotFoundError(f"no model is published under {models}")
+        if version not in held:
+            held.clear()
+            held[version] = load_model(spark, f"{models}/version={version}")
+        found = held[version].predict(batch, text, id_col=id_col).withColumn("model_version", F.lit(version))
+        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(scored).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

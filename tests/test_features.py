@@ -167,6 +167,41 @@ def test_lemmatize(spark, bounds):
     assert nouns == {1: ["dog", "running", "leaf"], 2: [], 3: ["leaf", "xs"]}
 
 
+@pytest.mark.parametrize("bounds", BOUNDS)
+@pytest.mark.parametrize("id_col", ["id", None])
+def test_lemmas_by_rule(spark, bounds, id_col):
+    words = ["dogs", "boxes", "wolves", "wives", "running", "baking", "larger", "mice", "men", "glass", "xyzs", "s", ""]
+    df = spark.createDataFrame([(1, words, ["NNS"] * 4 + ["VBG", "VBG", "JJR"] + ["NN"] * 6), (2, [], []), (3, None, None), (4, ["dogs", "mice"], ["VBZ", "RB"])],
+                               "id int, tokens array<string>, tags array<string>")
+    known = [("dog", "n"), ("box", "n"), ("boxe", "n"), ("wolf", "n"), ("wive", "n"), ("run", "v"), ("runn", "v"), ("bake", "v"), ("large", "a"), ("man", "n"), ("men", "n"), ("glass", "n"), ("glas", "v")]
+    irregular = [("mice", "n", "mouse"), ("wives", "n", "wife"), ("wives", "n", "wifes")]
+    found = lookup.lemmatize_by_rule(
+        df, "tokens", spark.createDataFrame(known, "lemma string, pos string"), spark.createDataFrame(irregular, "surface string, pos string, lemma string"), id_col, "tags", **bounds
+    )
+    assert found.columns == ["id", "tokens", "tags", "lemmas"]
+    got = {r["id"]: r["lemmas"] for r in found.collect()}
+    assert got[1] == ["dog", "box", "wolf", "wife", "runn", "bake", "large", "mouse", "men", "glass", "xyzs", "s", ""]
+    assert got[2] == [] and got[3] is None and got[4] == ["dogs", "mice"]
+    nouns = lookup.lemmatize_by_rule(df, "tokens", spark.createDataFrame(known, "lemma string, pos string"), None, id_col, **bounds)
+    assert {r["id"]: r["lemmas"] for r in nouns.collect()}[4] == ["dog", "mice"]
+
+
+def test_word_tags(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, None)], "id int, tokens array<string>")
+    tagged = spark.createDataFrame([("a", "VBG")], "surface string, tag string")
+    assert {r["id"]: r["tags"] for r in lookup.word_tags(df, "tokens", tagged, "id").collect()} == {1: ["VBG", "NN"], 2: None}
+
+
+def test_numbering_follows_the_order_of_any_script(spark):
+    from labelloom.operators.ranking import numbered
+
+    terms = sorted({chr(c) * n + str(c % 7) for c in [*range(97, 110), *range(0x4E00, 0x4E60), *range(0x430, 0x440)] for n in (1, 2, 5)}, key=lambda t: t.encode())
+    df = spark.createDataFrame([(t,) for t in terms], "term string").repartition(7)
+    assert [r["term"] for r in numbered(df, "term").orderBy("idx").collect()] == terms
+    assert sorted(r["idx"] for r in numbered(df, "term").collect()) == list(range(len(terms)))
+    assert numbered(df.where("false"), "term").count() == 0
+
+
 @pytest.mark.parametrize("bounds", BOUNDS)
 def test_stopword_table(spark, bounds):
     df = spark.createDataFrame([(1, ["a", "b", "a", "c"]), (2, ["a"])], "id int, tokens array<string>")

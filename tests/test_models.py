@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from labelloom.operators import models, sampling
 from labelloom.plans import workflow
-from labelloom.sources.models import load_model, save_model
+from labelloom.sources.models import load_model, publish_model, published, save_model
 from labelloom.sources.tables import read_metrics
-from labelloom.streaming.scoring import clean_stream, score_stream, write_stream
+from labelloom.streaming.scoring import clean_stream, score_batches, score_stream, write_stream
 
 
 def points(n=90, seed=3):
@@ -185,6 +185,55 @@ def test_streams(spark, compared, corpus, tmp_path):
     assert got == {r["row"]: r["pred"] for r in result.model.predict(corpus, "tweet").collect()}
 
 
+def test_a_growing_stream_is_scored_by_the_newest_model(spark, compared, corpus, tmp_path):
+    result, _ = compared
+    folder, models_, out, progress = (str(tmp_path / x) for x in ("in", "models", "out", "progress"))
+    corpus.where("row < 50").write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(corpus.schema).parquet(folder)
+    run = lambda: score_batches(stream, models_, "tweet", out, progress, once=True).awaitTermination()
+    with pytest.raises(Exception, match="no model is published"):
+        run()
+    assert published(spark, models_) is None and publish_model(result.model, result.vocabulary, models_) == 1
+    run()
+    os.makedirs(f"{models_}/version=2")  # begun and not completed
+    assert published(spark, models_) == 1
+    other = type(result.model)(None, result.model.classifier, result.model.classes, result.model.stop, vocabulary=result.vocabulary)
+    assert publish_model(other, result.vocabulary, models_) == 2  # written over
+    corpus.where("row >= 50").write.mode("append").parquet(folder)
+    run()
+    last = max(int(n) for n in os.listdir(f"{progress}/commits") if n.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        os.remove(f"{progress}/commits/{name}")  # as if the run had ended before it noted the batch
+    run()
+    got = spark.read.parquet(out).collect()
+    expected = {r["row"]: r["pred"] for r in result.model.predict(corpus, "tweet").collect()}
+    assert len(got) == 120 and {r["row"]: r["pred"] for r in got} == expected
+    assert {r["row"]: r["model_version"] for r in got} == {i: 1 if i < 50 else 2 for i in expected}
+
+
+def test_vocabularies_beyond_memory_give_the_same_models(spark, compared, corpus, tmp_path):
+    result, _ = compared
+    joined = workflow.train_and_compare(corpus, "row", max_features=40, max_rows=0)
+    assert joined.model.vectors is None and joined.best == result.best
+    key = lambda c: {(r["model"], r["row"]): r["pred"] for r in c.predictions.collect()}
+    assert key(joined) == key(result)
+    loaded = load_model(spark, save_model(joined.model, joined.vocabulary, str(tmp_path / "model")))
+    expected = {r["row"]: r["pred"] for r in result.model.predict(corpus, "tweet").collect()}
+    assert {r["row"]: r["pred"] for r in loaded.predict(corpus, "tweet").collect()} == expected
+
+
+def test_tags_go_through_the_job_and_with_the_model(spark, compared, corpus, tmp_path):
+    result, _ = compared
+    lemmas = spark.createDataFrame([("lovely", "v", "good"), ("sunny", "n", "good")], "surface string, pos string, lemma string")
+    tags = spark.createDataFrame([("lovely", "VBD")], "surface string, tag string")
+    docs = workflow.prepare_documents(corpus, "row", lemmas=lemmas, tags=tags)
+    assert not {w for r in docs.collect() for w in r["tokens"]} & {"lovely", "sunny"}
+    model = type(result.model)(result.model.vectors, result.model.classifier, result.model.classes, lemmas=lemmas, tags=tags, vocabulary=result.vocabulary)
+    loaded = load_model(spark, save_model(model, result.vocabulary, str(tmp_path / "model")))
+    one = spark.createDataFrame([("lovely sunny",)], "t string")
+    assert loaded.tags.count() == 1 and [r["pred"] for r in loaded.predict(one, "t").collect()] == [4]
+
+
 def test_lemmas_go_with_the_model(spark, compared, corpus, tmp_path):
     result, _ = compared
     lemmas = spark.createDataFrame([("lovely", "n", "good"), ("sunny", "n", "good")], "surface string, pos string, lemma string")
