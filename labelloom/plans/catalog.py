@@ -42,6 +42,7 @@ from labelloom.plans.workflow import (
 from labelloom.sources import tables
 from labelloom.sources.models import TextModel, load_model, publish_model, save_model
 from labelloom.sources.paths import first_existing, run_path
+from labelloom.sources.quoted import read_quoted_csv
 from labelloom.streaming.scoring import clean_stream, score_batches, score_stream, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,6 +219,14 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("doc_id", F.col(text).alias("text"), F.col(label).alias("class"))
 
 
+@query
+def csv_quoted_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from one file that its line breaks in quotes do not keep whole."""
+    rows = corpus(spark, sf).select("doc_id", "text", "class")
+    path = tables.write_table(rows.coalesce(1), staging_path(spark), "corpus", "csv")
+    return read_quoted_csv(spark, path, rows.schema)
+
+
 @query
 def first_existing_query(spark: SparkSession, sf: str) -> DataFrame:
     found = first_existing(spark, f"{sf}/missing.parquet", (f"{sf}/absent.parquet", f"{sf}/documents.parquet"))

@@ -280,6 +280,7 @@ stats AS (SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM ke
         "dense_label_index": "SELECT doc_id, source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS label_idx FROM documents",
         "score_with": f"WITH {CORPUS} SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN 0 WHEN n_chars % 3 = 0 THEN 1 ELSE 2 END AS pred FROM corpus",
         "csv_round_trip": f"WITH {CORPUS} SELECT doc_id, text, class FROM corpus",
+        "csv_quoted_split": f"WITH {CORPUS} SELECT doc_id, text, class FROM corpus",
         "first_existing": "SELECT count(*) AS n FROM documents",
         "head_sample": f"WITH {CORPUS} SELECT doc_id, class FROM corpus ORDER BY doc_id LIMIT 50",
         "artifact_round_trip": f"WITH {CORPUS}, c AS (SELECT class, count(*) AS n FROM corpus GROUP BY class) "

@@ -35,15 +35,18 @@ def read_labeled_csv(
     """UTF-8 CSV with a header; quoted text may hold quotes and line breaks.
 
     Without a schema the types are inferred, which reads the data once more.
-    ``multiline`` files are read one file per task, so keep a large corpus in
-    many files, or turn it off when no text holds a line break: then files are
-    split. ``na_values`` lists texts that also mean null (Spark itself takes only the
+    ``multiline`` files are read one file per task; ``quoted.read_quoted_csv``
+    splits them, and so does turning it off where no text holds a line break. ``na_values`` lists texts that also mean null (Spark itself takes only the
     empty field as null); they are applied to string columns.
     """
     reader = spark.read.option("header", True).option("encoding", "UTF-8")
     reader = reader.option("multiLine", multiline).option("quote", '"').option("escape", '"')
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    df = reader.csv(path)
+    return without_missing(reader.csv(path), na_values)
+
+
+def without_missing(df: DataFrame, na_values: Iterable[str]) -> DataFrame:
+    """``df`` with null in place of the listed texts in string columns."""
     missing = list(na_values)
     if not missing:
         return df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelloom.plans import staging
 from labelloom.sources import paths, tables
+from labelloom.sources.quoted import _lines, read_quoted_csv
 
 CSV = '''count,hate_speech,offensive_language,neither,class,tweet
 3,0,0,3,2,"said ""hi"", twice
@@ -100,3 +101,36 @@ def test_spread_only_small_inputs(spark):
     assert staging.spread(few, "id").rdd.getNumPartitions() == cores
     many = spark.range(0, 100, 1, cores * 2)
     assert staging.spread(many, "id") is many
+
+
+@pytest.mark.parametrize("size", [40, 97, 1_000, 100_000])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_do_not_keep_a_file_whole(spark, tmp_path, size, end):
+    texts = ["plain", 'said ""hi"", twice', "two\nlines", "\n", "a\n\n\nb,c", '""', "é" * 30, "x\n" * 80, "last, one"]
+    rows = [(i, texts[i % len(texts)]) for i in range(60)]
+    quoted = lambda t: f'"{t}"' if set(t) & set('",\n') else t
+    for k in (0, 1):
+        lines = [f"{i},{quoted(t)},{i % 3}" for i, t in rows[k * 30 : k * 30 + 30]] + [f"{100 + k},,", f'{102 + k},"",2']
+        (tmp_path / f"part{k}.csv").write_bytes((end.join(["id,text,class", *lines]) + (end if k else "")).encode())
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = read_quoted_csv(spark, str(tmp_path))
+        many = _lines(spark, str(tmp_path)).rdd.getNumPartitions()
+        plain = tables.read_labeled_csv(spark, str(tmp_path), na_values=["plain"])
+        assert found.dtypes == plain.dtypes == [("id", "int"), ("text", "string"), ("class", "int")]
+        assert read_quoted_csv(spark, str(tmp_path), na_values=["plain"]).orderBy("id").collect() == plain.orderBy("id").collect()
+        assert read_quoted_csv(spark, str(tmp_path), plain.schema).count() == 64
+        assert many > 20 or size > 97
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_quoted_names_and_empty_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeff"the, id",,"b""q"\n1,2.5,"x\ny"\n')
+    found = read_quoted_csv(spark, str(tmp_path / "a.csv"))
+    assert found.dtypes == [("the, id", "int"), ("_c1", "double"), ('b"q', "string")] and [tuple(r) for r in found.collect()] == [(1, 2.5, "x\ny")]
+    (tmp_path / "b.csv").write_text("")
+    assert read_quoted_csv(spark, str(tmp_path / "b.csv")).collect() == []
