@@ -6,14 +6,21 @@ itself is never shuffled by its label: one class may hold most of the rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelloom.operators.ranking import bucket_counts, bucket_digits, bucket_of, order_key, ranked
 from labelloom.plans.staging import stage
 
-# Draws generated per task step, and copies of one row made by one task.
-DRAW_BLOCK = 100_000
-COPIES_PER_SALT = 10_000
+# Copies of one row made by one task step.
+COPIES_PER_STEP = 10_000
+# Bits that a digest gives, fair draws that are counted bit by bit (more follow the normal curve,
+# less than 0.0001 off by then), binary places of a share, and halvings of a class.
+WORD_BITS = 60
+COUNTED_DRAWS = 960
+SHARE_BITS = 128
+HALVINGS = 62
 
 
 def _fail_when(condition: Column, message: str, value: Column) -> Column:
@@ -135,56 +142,131 @@ def dense_label_index(df: DataFrame, label: str, index: str = "label_idx") -> tu
     return df.join(classes, label).select(*df.columns, index), classes
 
 
-def oversampling_draws(counts: DataFrame, label: str, seed: int = 42) -> DataFrame:
-    """``(label, rank, salt, times)``: how often each row of a class is drawn again.
+def _digest(*key: Column) -> Column:
+    """``WORD_BITS`` random bits, fixed by the key."""
+    text = F.concat_ws(":", *[k.cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, WORD_BITS // 4), 16, 10).cast("long")
+
+
+def _shifted(name: str, value: Column, places: Column) -> Column:
+    return F.call_function(name, value.cast("long"), places.cast("int"))
+
 
-    A class short of the largest one draws the difference, with replacement: draw
-    ``i`` takes the row of rank ``md5("seed:label:i") mod n``. The draws are
-    generated in blocks spread over the tasks and counted before they meet the
-    rows. A row that is expected to be drawn very often has its draws divided
-    over several salts.
+def fair_draws(m: Column, *key: Column) -> Column:
+    """How many of ``m`` draws fall on the first of two equal sides, fixed by the key.
+
+    Up to ``COUNTED_DRAWS`` draws are one random bit each, and the set bits are
+    counted. Beyond, the number is taken from the normal curve.
+    """
+
+    def ones(word: Column) -> Column:
+        mask = _shifted("shiftleft", F.lit(1), F.least(F.lit(WORD_BITS), m - word * WORD_BITS)) - 1
+        return F.bit_count(_digest(*key, word).bitwiseAND(mask)).cast("long")
+
+    words = F.sequence(F.lit(0).cast("long"), F.floor((m - 1) / WORD_BITS))
+    counted = F.aggregate(words, F.lit(0).cast("long"), lambda total, word: total + ones(word))
+    unit = F.lit(2.0**WORD_BITS)
+    radius = F.sqrt(F.lit(-2.0) * F.log((_digest(*key, F.lit("radius")) + 1) / unit))
+    normal = radius * F.cos(F.lit(2 * math.pi) * (_digest(*key, F.lit("angle")) / unit))
+    drawn = F.floor(m / 2.0 + F.sqrt(m.cast("double")) / 2.0 * normal + 0.5).cast("long")
+    many = F.greatest(F.lit(0).cast("long"), F.least(m, drawn))
+    return F.when(m <= 0, F.lit(0).cast("long")).when(m <= COUNTED_DRAWS, counted).otherwise(many)
+
+
+def share_draws(m: Column, part: Column, whole: Column, *key: Column) -> Column:
+    """How many of ``m`` draws fall into ``part`` of ``whole``, by fair draws alone.
+
+    A draw is a number below 1, compared with ``part / whole`` binary place by
+    place. At each place fair draws say how many of the open draws have a 0
+    there. Where the share has a 1 these are inside; where it has a 0 the others
+    are outside. The rest stay open, about half of them each time.
+    """
+
+    def place(state: Column, step: Column) -> Column:
+        zeros, double = fair_draws(state["open"], *key, step), state["x"] * 2
+        inside = double >= whole
+        return F.struct(
+            F.when(inside, state["open"] - zeros).otherwise(zeros).alias("open"),
+            F.when(inside, state["taken"] + zeros).otherwise(state["taken"]).alias("taken"),
+            F.when(inside, double - whole).otherwise(double).alias("x"),
+        )
+
+    def step(state: Column, i: Column) -> Column:
+        return F.when(state["open"] == 0, state).otherwise(place(state, i))
+
+    start = F.struct(m.alias("open"), F.lit(0).cast("long").alias("taken"), part.alias("x"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SHARE_BITS)), start, step)["taken"]
+
+
+def draw_blocks(counts: DataFrame, label: str, seed: int = 42) -> DataFrame:
+    """``(label, power, draws)``: the draws that a class still needs, over blocks of its ranks.
+
+    The ranks of a class are cut into blocks of falling powers of two, the ones
+    in its size's binary form. The first block takes its share of all
+    draws, the next its share of the others, and the last what is left. At
+    most 62 rows for each class that is smaller than the largest one.
     """
-    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     missing = F.max("n").over(Window.partitionBy()) - F.col("n")
-    salts = F.ceil(F.col("missing") / F.col("n") / COPIES_PER_SALT)
-    short = counts.withColumn("missing", missing).filter("missing > 0").withColumn("salts", salts)
-    blocks = short.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("missing") - 1, F.lit(DRAW_BLOCK))))
-    blocks = blocks.repartition(parts, label, "start")
-    last = F.least(F.col("start") + DRAW_BLOCK, F.col("missing")) - 1
-    draws = blocks.withColumn("i", F.explode(F.sequence(F.col("start"), last)))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(label).cast("string"), F.col("i").cast("string")).cast("binary"))
-    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
-    return (
-        draws.select(label, (number % F.col("n")).alias("rank"), (F.col("i") % F.col("salts")).alias("salt"))
-        .groupBy(label, "rank", "salt")
-        .agg(F.count("*").alias("times"))
-    )
+    short = counts.withColumn("missing", missing).filter("missing > 0")
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    key = F.lit(str(seed)), F.col(label), F.lit("block")
+
+    def block(state: Column, power: Column) -> Column:
+        size = _shifted("shiftleft", F.lit(1), power)
+        rest = n.bitwiseAND(_shifted("shiftleft", F.lit(1), power + 1) - 1)
+        share = share_draws(state["rest"], size, rest, *key, power)
+        draws = F.when(n.bitwiseAND(size) == 0, zero).when(rest == size, state["rest"]).otherwise(share)
+        return F.struct((state["rest"] - draws).alias("rest"), F.concat(state["draws"], F.array(draws)).alias("draws"))
+
+    powers = F.sequence(F.lit(HALVINGS - 1), F.lit(0), F.lit(-1))
+    start = F.struct(F.col("missing").alias("rest"), F.array().cast("array<bigint>").alias("draws"))
+    walked = F.aggregate(powers, start, block)["draws"]
+    blocks = short.select(label, F.posexplode(walked).alias("at", "draws")).filter("draws > 0")
+    return blocks.select(label, (F.lit(HALVINGS - 1) - F.col("at")).alias("power"), "draws")
+
+
+def copies_drawn(rank: Column, power: Column, draws: Column, *key: Column) -> Column:
+    """How many of its block's draws fall on the row of this rank.
+
+    The block is halved until the row stands alone; fair draws divide the draws
+    of every part between its halves. All rows of a part compute the same
+    numbers, so no draw is ever written down or joined.
+    """
+
+    def halve(m: Column, level: Column) -> Column:
+        first = fair_draws(m, *key, level, _shifted("shiftright", rank, level))
+        is_first = _shifted("shiftright", rank, level - 1).bitwiseAND(F.lit(1).cast("long")) == 0
+        return F.when(m == 0, m).when(is_first, first).otherwise(m - first)
+
+    levels = F.sequence(power, F.lit(1), F.lit(-1))
+    return F.when(power == 0, draws).otherwise(F.aggregate(levels, draws, halve))
 
 
 def random_oversample(train: DataFrame, id_col: str, label: str, seed: int = 42) -> DataFrame:
     """``train`` plus drawn copies, so that every class is as large as the largest.
 
-    Column ``copy`` is 0 on the kept rows and numbers the copies of a row from 1.
-    Only the classes that need copies are ranked and shuffled; the originals of
-    all classes pass straight through.
+    A class short of the largest one draws the difference, with replacement.
+    Draws are divided by halving the class's ranks, down to the single row
+    (``copies_drawn``), so the work grows with rows, not draws. Column ``copy``
+    is 0 on the kept rows and numbers the copies of a row from 1. Only the
+    classes that need copies are ranked and shuffled; the originals of all
+    classes pass straight through. Many copies of one row are made by many tasks.
     """
     columns = train.columns
     digits = bucket_digits(train)
     buckets = bucket_counts(train.select(id_col, label), id_col, label, seed, digits)
-    counts = buckets.groupBy(label).agg(F.sum("n").alias("n"))
-    missing = F.max("n").over(Window.partitionBy()) - F.col("n")
-    salts = F.ceil(F.col("_missing") / F.col("n") / COPIES_PER_SALT)
-    short = counts.withColumn("_missing", missing).filter("_missing > 0").select(label, salts.alias("_salts"))
-
-    minority = train.join(short, label)
-    rows = ranked(minority, buckets, id_col, label, seed, digits).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))
-    )
-    # Merge-joined: Catalyst cannot see how many draws the blocks unfold to.
-    draws = oversampling_draws(counts, label, seed).hint("merge")
-    copies = (
-        rows.join(draws, [label, "rank", "salt"])
-        .withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-        .select(*columns, ((F.col("_turn") - 1) * F.col("_salts") + F.col("salt") + 1).alias("copy"))
-    )
+    counts = stage(buckets.groupBy(label).agg(F.sum("n").alias("n")))
+    blocks = stage(draw_blocks(counts, label, seed))
+    blocks = blocks.select(label, F.col("power").alias("_power"), F.col("draws").alias("_draws"))
+    short = counts.join(blocks.select(label).distinct(), label, "left_semi").select(label, F.col("n").alias("_n"))
+
+    rows = ranked(train.join(short, label), buckets, id_col, label, seed, digits)
+    # The rank's block is that of the highest place where it falls below the class's size.
+    rows = rows.withColumn("_power", F.length(F.bin(F.col("_n").bitwiseXOR(F.col("rank")))) - 1).join(blocks, [label, "_power"])
+    times = copies_drawn(F.col("rank"), F.col("_power"), F.col("_draws"), F.lit(str(seed)), F.col(label))
+    drawn = rows.withColumn("_times", times).filter("_times > 0")
+    steps = F.sequence(F.lit(0).cast("long"), F.col("_times") - 1, F.lit(COPIES_PER_STEP).cast("long"))
+    steps = drawn.withColumn("_from", F.explode(steps)).repartition(id_col, "_from")
+    upto = F.least(F.col("_times"), F.col("_from") + COPIES_PER_STEP)
+    copies = steps.select(*columns, F.explode(F.sequence(F.col("_from") + 1, upto)).alias("copy"))
     return train.withColumn("copy", F.lit(0).cast("long")).unionByName(copies)

@@ -137,6 +137,16 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts) + " "
 
 
+def fair(m: str, key: str) -> str:
+    """How many of ``m`` draws fall on the first of two equal sides: set bits of digests, or the normal curve."""
+    number = "('0x' || substr(md5({}), 1, 15))::BIGINT".format
+    ones = f"bit_count({number(f"{key} || ':' || word")} & ((1::BIGINT << least(60, {m} - 60 * word)) - 1))"
+    radius = f"sqrt(-2 * ln(({number(f"{key} || ':radius'")} + 1) / 2.0::DOUBLE ** 60))"
+    normal = f"{radius} * cos(2 * pi() * ({number(f"{key} || ':angle'")} / 2.0::DOUBLE ** 60))"
+    return f"""CASE WHEN {m} <= 0 THEN 0 WHEN {m} <= 960 THEN list_sum(list_transform(range(0, ({m} + 59) // 60), lambda word: {ones}))::BIGINT
+        ELSE greatest(0, least({m}, floor({m} / 2.0::DOUBLE + sqrt({m}) / 2 * {normal} + 0.5)::BIGINT)) END"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL text per query name."""
     profile = """SELECT class, count(*) AS n, sum(CASE WHEN t = '' THEN 1 ELSE 0 END)::BIGINT AS n_empty,
@@ -168,8 +178,27 @@ ids AS (SELECT doc_id, list(id ORDER BY pos) AS ids, count(*) AS n FROM numbered
 train AS (SELECT doc_id, class FROM splitted WHERE split = 'train'),
 t_sizes AS (SELECT class, count(*) AS n, max(count(*)) OVER () - count(*) AS need FROM train GROUP BY class),
 t_ranked AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('42:' || doc_id), doc_id) - 1 AS rk FROM train),
-draws AS (SELECT class, n, unnest(generate_series(0, need - 1)) AS i FROM t_sizes WHERE need > 0),
-taken AS (SELECT class, ('0x' || substr(md5('42:' || class || ':' || i), 1, 15))::BIGINT % n AS rk FROM draws)"""
+powers AS (SELECT *, n & ((1::BIGINT << (k + 1)) - 1) AS whole, row_number() OVER (PARTITION BY class ORDER BY k DESC) AS ord,
+    count(*) OVER (PARTITION BY class) AS blocks FROM (SELECT class, n, need, unnest(range(0, 62)) AS k FROM t_sizes WHERE need > 0)
+    WHERE n & (1::BIGINT << k) > 0),
+walk AS (SELECT class, 1::BIGINT AS ord, 1::BIGINT AS step, need::BIGINT AS rest, need::BIGINT AS open, 0::BIGINT AS taken, 1::BIGINT << k AS x
+        FROM powers WHERE ord = 1
+    UNION ALL SELECT class, ord + (open = 0)::INT, CASE WHEN open = 0 THEN 1 ELSE step + 1 END,
+        CASE WHEN open = 0 THEN rest - taken ELSE rest END,
+        CASE WHEN open = 0 THEN rest - taken WHEN 2 * x >= whole THEN open - zeros ELSE zeros END,
+        CASE WHEN open = 0 THEN 0 WHEN 2 * x >= whole THEN taken + zeros ELSE taken END,
+        CASE WHEN open = 0 THEN next_size WHEN 2 * x >= whole THEN 2 * x - whole ELSE 2 * x END
+        FROM (SELECT w.*, p.whole, q.size AS next_size, {zeros} AS zeros FROM walk w JOIN powers p USING (class, ord)
+              LEFT JOIN (SELECT class, ord - 1 AS ord, 1::BIGINT << k AS size FROM powers) q USING (class, ord)
+              WHERE w.ord < p.blocks AND w.step <= 129)),
+block_draws AS (SELECT w.class, p.k, (p.n - p.whole) >> p.k AS node, CASE WHEN w.ord = p.blocks THEN w.rest ELSE w.taken END AS m
+    FROM walk w JOIN powers p USING (class, ord) WHERE w.open = 0 OR (w.ord = p.blocks AND w.step = 1)),
+tree AS (SELECT class, k, node, m FROM block_draws WHERE m > 0
+    UNION ALL SELECT class, k - 1, 2 * node + side, CASE WHEN side = 0 THEN heads ELSE m - heads END
+        FROM (SELECT *, {heads} AS heads, unnest([0, 1]) AS side FROM tree WHERE k > 0 AND m > 0)),
+taken AS (SELECT class, node AS rk, m FROM tree WHERE k = 0)"""
+    oversampled = oversampled.format(zeros=fair("w.open", "'42:' || class || ':block:' || k || ':' || step"),
+                                     heads=fair("m", "'42:' || class || ':' || k || ':' || node"))
     narrow_words = f"""
 pairs AS (SELECT doc_id, class AS label, {light('text')} AS text FROM corpus),
 {split('pairs', 'label').strip()},
@@ -275,8 +304,8 @@ stats AS (SELECT w AS term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM ke
             FROM splitted WHERE split = 'train' GROUP BY class""",
         "inverse_frequency_weights": _with(CORPUS, split(), "c AS (SELECT class, count(*) AS n FROM splitted WHERE split = 'train' GROUP BY class)")
         + "SELECT class, n, round((1.0::DOUBLE / n) / sum(1.0::DOUBLE / n) OVER () * count(*) OVER (), 6) AS weight FROM c",
-        "random_oversample": _with(CORPUS, split(), oversampled)
-        + "SELECT doc_id, class, 1 + count(t.rk) AS copies FROM t_ranked r LEFT JOIN taken t USING (class, rk) GROUP BY doc_id, class",
+        "random_oversample": _with(CORPUS, split(), oversampled).replace("WITH", "WITH RECURSIVE", 1)
+        + "SELECT doc_id, class, 1 + coalesce(m, 0) AS copies FROM t_ranked LEFT JOIN taken USING (class, rk)",
         "dense_label_index": "SELECT doc_id, source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS label_idx FROM documents",
         "score_with": f"WITH {CORPUS} SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN 0 WHEN n_chars % 3 = 0 THEN 1 ELSE 2 END AS pred FROM corpus",
         "csv_round_trip": f"WITH {CORPUS} SELECT doc_id, text, class FROM corpus",

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from labelloom.operators import ranking, sampling
 
@@ -91,17 +92,43 @@ def test_oversample(spark):
 
 
 def test_oversample_spreads_a_row_drawn_very_often(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "COPIES_PER_SALT", 10)
-    monkeypatch.setattr(sampling, "DRAW_BLOCK", 64)
+    monkeypatch.setattr(sampling, "COPIES_PER_STEP", 10)
     df = frame(spark, {0: 2, 1: 301})
     rows = sampling.random_oversample(df, "id", "label").collect()
     assert Counter(r["label"] for r in rows) == {0: 301, 1: 301}
     assert len({(r["id"], r["copy"]) for r in rows}) == 602
 
 
-def test_draws_are_never_broadcast(spark):
-    plan = sampling.random_oversample(frame(spark, {0: 3, 1: 50}), "id", "label")._jdf.queryExecution().executedPlan()
-    assert plan.toString().count("SortMergeJoin") == 1
+@pytest.mark.parametrize("draws", [0, 1, 59, 60, 61, 959, 960, 961, 100_000])
+def test_fair_draws(spark, draws):
+    keys = spark.range(400).withColumn("m", F.lit(draws).cast("long"))
+    got = [r[0] for r in keys.select(sampling.fair_draws(F.col("m"), F.lit("7"), F.col("id"))).collect()]
+    assert min(got) >= 0 and max(got) <= draws
+    assert abs(sum(got) / 400 - draws / 2) <= 5 * math.sqrt(draws / 1600)
+    spread = sum((g - draws / 2) ** 2 for g in got) / 400
+    assert abs(spread - draws / 4) <= 0.4 * draws / 4
+
+
+@pytest.mark.parametrize("part,whole", [(1, 2), (1, 3), (64, 65), (8, 13), (2**40, 2**40 + 1)])
+@pytest.mark.parametrize("draws", [1, 50, 5000])
+def test_share_draws(spark, part, whole, draws):
+    keys = spark.range(300).select("id", *(F.lit(v).cast("long").alias(c) for c, v in (("m", draws), ("p", part), ("w", whole))))
+    got = [r[0] for r in keys.select(sampling.share_draws(*map(F.col, "mpw"), F.lit("7"), F.col("id"))).collect()]
+    p = part / whole
+    assert min(got) >= 0 and max(got) <= draws
+    assert abs(sum(got) / 300 - draws * p) <= 5 * math.sqrt(draws * p * (1 - p) / 300) + 1e-3
+
+
+def test_draws_reach_all_rows_alike(spark):
+    df = frame(spark, {0: 13, 1: 13_013})
+    copies = Counter(r["id"] for r in sampling.random_oversample(df, "id", "label").filter("label = 0 and copy > 0").collect())
+    assert sum(copies.values()) == 13_000 and len(copies) == 13
+    assert sum((c - 1000) ** 2 / 1000 for c in copies.values()) < 40  # chi-square of 12 degrees
+
+
+def test_few_draws_of_a_large_class(spark):
+    df = frame(spark, {0: 1000, 1: 1003})
+    assert sampling.random_oversample(df, "id", "label").filter("copy > 0").count() == 3
 
 
 def test_oversample_of_equal_classes_adds_nothing(spark):
