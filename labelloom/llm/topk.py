@@ -1,4 +1,4 @@
-"""Exact top-k search by block-at-a-time pruning."""
+"""Exact top-k search by block-at-a-time pruning, bounds before rows."""
 
 from __future__ import annotations
 
@@ -12,8 +12,10 @@ from labelloom.plans.staging import stage
 
 SCALE = 1024
 BLOCK_ROWS = 256
-PACK_ROWS = 512
+PACK_ROWS = 4096
 SLICE_BLOCKS = 64
+EDGE_BLOCKS = 4096  # blocks whose bounds are computed in one task
+FIRST_BLOCKS = 4  # blocks of the highest bounds, which raise a query's floor before the others are chosen
 SAMPLE_ROWS = 4096  # rows that the coarse clusters are fitted on; they order the rows and change no result
 CLUSTERS = 64
 EXACT = 2**53
@@ -77,6 +79,24 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres**2).sum(axis=1) - 2 * (x.astype(np.float64) @ centres.T), axis=1)
 
 
+def block_bounds(queries: np.ndarray, least: np.ndarray, largest: np.ndarray) -> np.ndarray:
+    """The largest score that a row of each block can give each query: the sum over components of the larger product."""
+    split = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
+    return _product(split, np.concatenate([largest, least], axis=1))
+
+
+def deal_packs(counts: dict[int, int], pack_rows: int) -> list[tuple[int, int, int]]:
+    """``(cluster, first pack, packs)``: small clusters of queries share a pack, a large one is dealt over several."""
+    dealt, pack, held = [], 0, 0
+    for cluster, n in sorted(counts.items()):
+        if held and held + n > pack_rows:
+            pack, held = pack + 1, 0
+        packs = -(-n // pack_rows)
+        dealt.append((cluster, pack, packs))
+        pack, held = (pack + packs, 0) if packs > 1 else (pack, held + n)
+    return dealt
+
+
 def search_pack(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, blocks: list[tuple], k: int):
     """``(query position, id, score)`` of every row that may be among a query's k best.
 
@@ -86,9 +106,7 @@ def search_pack(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, blocks:
     below its k-th score so far. ``floor`` is a k-th score known beforehand.
     """
     hi, lo = np.stack([b[3] for b in blocks]), np.stack([b[2] for b in blocks])
-    pos, neg = np.maximum(queries, 0), np.minimum(queries, 0)
-    bound = np.concatenate([pos, neg], axis=1), np.concatenate([hi, lo], axis=1)
-    bound = _product(*bound)
+    bound = block_bounds(queries, lo, hi)
     order = np.argsort(-bound, axis=1, kind="stable") if bound.min(initial=0) > -(2**63) else np.argsort(bound, axis=1)[:, ::-1]
     least = np.iinfo(np.int64).min
     best = np.full((len(queries), k), least)
@@ -130,6 +148,8 @@ def top_k(
     block_rows: int = BLOCK_ROWS,
     pack_rows: int = PACK_ROWS,
     slice_blocks: int = SLICE_BLOCKS,
+    edge_blocks: int = EDGE_BLOCKS,
+    first_blocks: int = FIRST_BLOCKS,
 ) -> DataFrame:
     """``(query_id, rank, id, score)``: the k largest integer inner products of each query row.
 
@@ -139,11 +159,16 @@ def top_k(
 
     Rows are range-partitioned by a coarse cluster and id, and cut into blocks
     of ``block_rows`` that carry their rows (the forward index) and each
-    component's least and largest value. A query starts from the k-th score
-    within its own block. Queries are packed, and every pack meets every slice
-    of blocks in a task that holds one pack and about ``slice_blocks`` blocks;
-    there the blocks are visited in the order of each query's bounds until they
-    fall below its k-th score. Only the few rows that stay are ranked.
+    component's least and largest value. Queries are packed by cluster.
+
+    Bounds are sent before rows. A query starts from the k-th score within its
+    own block. Every pack first meets only the blocks' least and largest values,
+    and the ``first_blocks`` blocks of each query's highest bounds over the whole
+    table are scored, which raises its floor. Then a block's rows go to a pack if its bound reaches
+    the floor of any query there. Each task holds one pack and about
+    ``slice_blocks`` blocks; there the blocks are visited in the order of each
+    query's bounds until they fall below its k-th score. Only the few rows that
+    stay are ranked.
 
     Vectors that are null or hold null or non-finite components take no part, nor
     rows without an id. Shorter vectors count as filled up with zeros. Of rows with one id the least
@@ -152,8 +177,8 @@ def top_k(
     """
     spark = df.sparkSession
     rows = stage(integer_vectors(df, id_col, vector_col, scale).withColumn("q", F.coalesce(is_query, F.lit(False))))
-    sizes = rows.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("int")).alias("q")).first()
-    dim, n, n_queries = sizes["dim"] or 0, sizes["n"], sizes["q"] or 0
+    sizes = rows.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
+    dim, n = max(sizes["dim"] or 1, 1), sizes["n"]
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
     centres = fit_centroids(_matrix(sample, dim)) if n else np.zeros((1, dim))
 
@@ -191,29 +216,75 @@ def top_k(
     ordered = ordered.repartitionByRange("cluster", "id").sortWithinPartitions("cluster", "id")
     kind = "block long, cluster int, ids binary, rows binary, least binary, largest binary, q_ids array<long>, q_rows array<binary>, q_floor array<long>"
     blocks = stage(ordered.mapInPandas(cut, kind))
-    slices, packs = max(1, -(-blocks.count() // slice_blocks)), max(1, -(-n_queries // pack_rows))
+    n_blocks = blocks.count()
+    slices, edge_slices = max(1, -(-n_blocks // slice_blocks)), max(1, -(-n_blocks // edge_blocks))
 
     asked = blocks.select("cluster", F.explode(F.arrays_zip("q_ids", "q_rows", "q_floor")).alias("z"))
     asked = asked.select("cluster", F.col("z.q_ids").alias("id"), F.col("z.q_rows").alias("row"), F.col("z.q_floor").alias("floor"))
-    asked = asked.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int"))
-    met = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    there = blocks.select("ids", "rows", "least", "largest", F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int").alias("slice"))
-    there = there.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    counts = {r["cluster"]: r["count"] for r in asked.groupBy("cluster").count().collect()}  # at most CLUSTERS rows
+    dealt = deal_packs(counts, pack_rows)
+    packs = max((first + of for _, first, of in dealt), default=1)
+    asked = asked.join(F.broadcast(spark.createDataFrame(dealt, "cluster int, first int, packs int")), "cluster")
+    pack = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("packs"))).cast("int").alias("pack")
+    asked = stage(asked.select("id", "row", "floor", pack))
+
+    edge = F.pmod(F.xxhash64("block"), F.lit(edge_slices)).cast("int").alias("edge")
+    edges = blocks.select("block", "least", "largest", edge).withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+
+    def matrix(packed: pd.Series) -> np.ndarray:
+        return np.concatenate([_unpacked(v, dim) for v in packed])
+
+    def meet_edges(asked: DataFrame, chosen, kind: str) -> DataFrame:
+        """``chosen(queries, blocks, bounds)`` for every pack and slice of block bounds."""
+
+        def meet(queries: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+            if not len(queries) or not len(part):
+                return pd.DataFrame({c.split()[0]: [] for c in kind.split(", ")})
+            return chosen(queries, part, block_bounds(matrix(queries["row"]), matrix(part["least"]), matrix(part["largest"])))
+
+        there = asked.withColumn("edge", F.explode(F.sequence(F.lit(0), F.lit(edge_slices - 1))))
+        return there.groupBy("pack", "edge").cogroup(edges.groupBy("pack", "edge")).applyInPandas(meet, kind)
+
+    def highest(queries: pd.DataFrame, part: pd.DataFrame, bound: np.ndarray) -> pd.DataFrame:
+        top = min(first_blocks, len(part))
+        at = np.argpartition(bound, len(part) - top, axis=1)[:, len(part) - top :]
+        return pd.DataFrame(
+            {
+                "query_id": np.repeat(queries["id"].to_numpy(), top), "pack": np.repeat(queries["pack"].to_numpy(), top),
+                "block": part["block"].to_numpy()[at].ravel(), "bound": np.take_along_axis(bound, at, axis=1).ravel(),
+            }
+        )
+
+    def reached(queries: pd.DataFrame, part: pd.DataFrame, bound: np.ndarray) -> pd.DataFrame:
+        some = (bound >= queries["floor"].to_numpy()[:, None]).any(axis=0)
+        return pd.DataFrame({"pack": queries["pack"].iloc[0], "block": part["block"].to_numpy()[some]})
 
     def meet(queries: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(part):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        m = np.concatenate([_unpacked(v, dim) for v in queries["row"]])
         own = queries["id"].to_numpy()
         held = [
             (np.frombuffer(i, "<i8"), _unpacked(r, dim), _unpacked(lo, dim)[0], _unpacked(hi, dim)[0])
             for i, r, lo, hi in zip(part["ids"], part["rows"], part["least"], part["largest"])
         ]
-        q, ids, scores = search_pack(m, own, queries["floor"].to_numpy(), held, k)
+        q, ids, scores = search_pack(matrix(queries["row"]), own, queries["floor"].to_numpy(), held, k)
         return pd.DataFrame({"query_id": own[q], "id": ids, "score": scores})
 
-    near = met.groupBy("pack", "slice").cogroup(there.groupBy("pack", "slice"))
-    near = near.applyInPandas(meet, "query_id long, id long, score long")
-    rank = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)")
-    best = near.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
+    def best_of(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The ranked best rows, where each pack sees the blocks that ``(pack, block)`` pairs name."""
+        place = F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int")
+        there = blocks.select("block", "ids", "rows", "least", "largest").join(pairs, "block").withColumn("slice", place)
+        met = asked.join(pairs.select("pack", place.alias("at")).distinct(), "pack")
+        near = met.groupBy("pack", "at").cogroup(there.groupBy("pack", "slice"))
+        near = near.applyInPandas(meet, "query_id long, id long, score long")
+        rank = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)")
+        return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    place = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY bound DESC, block)")
+    first = meet_edges(asked, highest, "query_id long, pack int, block long, bound long").withColumn("place", place)
+    first = stage(first.where(F.col("place") <= first_blocks).select("pack", "block").distinct())
+    raised = best_of(asked, first).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("raised"))
+    floor = F.greatest("floor", F.coalesce("raised", "floor")).alias("floor")
+    asked = stage(asked.join(raised, "id", "left").select("id", "row", floor, "pack"))
+    pairs = stage(meet_edges(asked, reached, "pack int, block long"))
+    return best_of(asked, pairs).select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")

@@ -399,9 +399,49 @@ def test_top_k_equals_brute_force(spark):
         for q in (i for i in ints if i % 50 == 0):
             best = sorted((-dot(ints[q], v), i) for i, v in ints.items() if i != q)[:10]
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-        got = topk.top_k(part, F.col("id") % 50 == 0, block_rows=64, pack_rows=4, slice_blocks=3).collect()
+        got = topk.top_k(part, F.col("id") % 50 == 0, block_rows=64, pack_rows=4, slice_blocks=3, edge_blocks=2).collect()
         assert sorted(map(tuple, got)) == sorted(want)
     assert topk.top_k(df.where("false"), F.lit(True)).count() == 0
+    assert topk.top_k(df, F.lit(False)).count() == 0
+    flat = spark.createDataFrame([(i, []) for i in range(3)], "vec_id long, embedding array<double>")
+    got = topk.top_k(flat, F.col("id") == 0).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 0), (0, 2, 2, 0)]
+
+
+def test_top_k_of_tables_with_clashing_columns(spark):
+    names = "block pack query_id rank score floor slice cluster".split()
+    df = spark.range(30).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("embedding"), *(F.lit(7).alias(c) for c in names))
+    got = topk.top_k(df, F.col("id") == 20, k=2).collect()
+    assert sorted(map(tuple, got)) == [(20, 1, 29, 20480 * 29696), (20, 2, 28, 20480 * 28672)]
+
+
+@pytest.mark.parametrize("n", [600, 1200, 2400])
+def test_top_k_sends_only_blocks_that_reach_a_floor(spark, monkeypatch, n):
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(12, 16)) * 4
+    data = centres[rng.integers(0, 12, n)] + rng.normal(size=(n, 16)) * 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    tables = []
+    keep = lambda t: tables.append(topk_stage(t)) or tables[-1]
+    topk_stage = topk.stage
+    monkeypatch.setattr(topk, "stage", keep)
+    got = topk.top_k(df, F.col("id") % 10 == 0, block_rows=16, pack_rows=8, slice_blocks=4, edge_blocks=16).collect()
+    ints = np.floor(1024 * data).astype(np.int64)
+    scores = ints[::10] @ ints.T
+    want = []
+    for at, q in enumerate(range(0, n, 10)):
+        best = sorted((-scores[at, i], i) for i in range(n) if i != q)[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    blocks = next(t.count() for t in tables if "largest" in t.columns)
+    pairs = [t.count() for t in tables if t.columns == ["pack", "block"]]
+    packs = next(t.select("pack").distinct().count() for t in tables if "floor" in t.columns)
+    assert len(pairs) == 2 and sum(pairs) < blocks * packs / 2
+
+
+def test_packs_of_queries():
+    assert topk.deal_packs({}, 4) == []
+    assert topk.deal_packs({0: 2, 1: 2, 2: 1, 5: 9, 6: 4, 7: 1}, 4) == [(0, 0, 1), (1, 0, 1), (2, 1, 1), (5, 2, 3), (6, 5, 1), (7, 6, 1)]
 
 
 @pytest.mark.parametrize("name", ["op4_line_dedup", "op10_top_k"])
