@@ -117,9 +117,12 @@ def logits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def arriving_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents as a stream of files."""
+    """The documents as a stream of files, whether the table is one file or a folder of them.
+
+    A stream refuses the plain path of one file, but not a pattern that matches it.
+    """
     shape = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").schema
-    return spark.readStream.schema(shape).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    return spark.readStream.schema(shape).parquet(f"{sf}/documents.parque[t]")
 
 
 # --- sources, projections, filters -----------------------------------------

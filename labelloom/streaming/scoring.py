@@ -15,7 +15,8 @@ from labelloom.sources.models import TextModel, load_model, published
 
 def clean_stream(stream: DataFrame, text: str) -> DataFrame:
     """Adds ``text_clean``, the joined content words, to a stream."""
-    return stream.withColumn("text_clean", join_tokens(content_tokens(clean_text(text))))
+    cleaned = stream.withColumn("_clean", clean_text(text))  # a column of its own is worked out once for both uses
+    return cleaned.withColumn("text_clean", join_tokens(content_tokens("_clean"))).drop("_clean")
 
 
 def score_stream(stream: DataFrame, model: TextModel, text: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from labelloom.operators import models, sampling
-from labelloom.plans import workflow
+from labelloom.plans import catalog, workflow
 from labelloom.sources.models import load_model, publish_model, published, save_model
 from labelloom.sources.tables import read_metrics
 from labelloom.streaming.scoring import clean_stream, score_batches, score_stream, write_stream
@@ -299,3 +299,15 @@ def test_fixed_length_job(spark, tmp_path):
     workflow.write_run_config(made.data, run, {"max_length": 4, "seed": 42})
     config = spark.read.json(f"{run}/run_config").first()
     assert (config["max_length"], config["num_labels"]) == ("4", 3)
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_documents_arrive_from_a_file_and_from_a_folder(spark, tmp_path, folder):
+    rows = spark.createDataFrame([(i, f"Some words {i}") for i in range(6)], "doc_id long, text string")
+    rows.repartition(3 if folder else 1).write.parquet(str(tmp_path / "written"))
+    if folder:
+        (tmp_path / "written").rename(tmp_path / "documents.parquet")
+    else:
+        next((tmp_path / "written").glob("part-*")).rename(tmp_path / "documents.parquet")
+    found = catalog.QUERIES["clean_stream"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text_clean"]) for r in found) == [(i, "words") for i in range(6)]
