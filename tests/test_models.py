@@ -6,10 +6,11 @@ import os
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from labelloom.operators import models, sampling
+from labelloom.operators import models, sampling, solver
 from labelloom.plans import catalog, workflow
 from labelloom.sources.models import load_model, publish_model, published, save_model
 from labelloom.sources.tables import read_metrics
@@ -311,3 +312,22 @@ def test_documents_arrive_from_a_file_and_from_a_folder(spark, tmp_path, folder)
         next((tmp_path / "written").glob("part-*")).rename(tmp_path / "documents.parquet")
     found = catalog.QUERIES["clean_stream"](spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["text_clean"]) for r in found) == [(i, "words") for i in range(6)]
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 9, 24])
+def test_the_driver_gets_the_sums_once(spark, train, monkeypatch, tasks):
+    sent = []
+    collect = RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    batches = solver.sparse_batches(train.repartition(tasks, "id"), "label_idx", "features", None).repartition(tasks)
+    size = train.first()["features"].size + 1
+    passes = solver.Passes(batches, solver.Softmax(), size, 3)
+    value, gradient, diagonal = passes.at(np.zeros((size, 3)))
+    numbers = sum(np.size(piece) for part in sent for _, piece in part)
+    assert numbers == (2 * size + 1) * 3
+    x, y = points()
+    assert np.allclose(gradient[:-1], x.T @ (1 / 3 - np.eye(3)[y])) and np.allclose(value.sum(), len(y) * np.log(3))
+    whole = passes.sample(10_000)
+    assert np.isclose(whole.weights.sum(), len(y)) and len(whole.labels) == len(y) and len(passes.sample(7).labels) == 7
+    assert sum(len(part) for part in sent[-2:]) <= 2 * solver.DIRECT_SUMS
+    passes.rdd.unpersist()
