@@ -29,6 +29,7 @@ ROWS_PER_SALT = 200_000
 MAX_HOT_TERMS = 100_000
 # Bits of the filter for foreign terms: for each term, at most, and the hashes.
 FILTER_BITS_PER_TERM, MAX_FILTER_BITS, FILTER_HASHES = 16, 1 << 28, 4
+FILTER_SLICE = 1 << 18  # terms that a worker tests at a time
 
 
 def idf(df_count: Column | str, n_docs: Column | int) -> Column:
@@ -136,24 +137,39 @@ def _filter_place(hashed: Column, j: int, bits: int) -> Column:
     return (low + high * F.lit(j)).bitwiseAND(F.lit(bits - 1))
 
 
-def _known_terms(docs: DataFrame, vocabulary: DataFrame, terms: str) -> Column:
-    """The terms without those that are surely not in the vocabulary."""
+def maybe_known(docs: DataFrame, vocabulary: DataFrame, terms: str) -> Column:
+    """For each term whether it may be in the vocabulary (column ``term``), from a filter; no terms for a null array.
+
+    Terms are tested ``FILTER_SLICE`` at a time, so a worker's memory is bounded by the batch that Spark sends.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(term_filter(vocabulary))
+    step = FILTER_SLICE
+
+    def tested(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+        low, high, inside = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32), np.ones(len(h), dtype=bool)
+        for j in range(FILTER_HASHES):
+            at = (low + high * np.uint64(j)) & np.uint64(64 * len(words) - 1)
+            inside &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return inside
 
     @F.arrow_udf("array<boolean>")
     def maybe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = shared.value
         for lists in batches:
-            h = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            low, high, inside = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32), np.ones(len(h), dtype=bool)
-            for j in range(FILTER_HASHES):
-                at = (low + high * np.uint64(j)) & np.uint64(64 * len(words) - 1)
-                inside &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            inside = np.empty(len(h), dtype=bool)
+            for first in range(0, len(h), step):
+                inside[first : first + step] = tested(h[first : first + step], words)
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(inside))
 
-    hashes = F.coalesce(F.transform(terms, lambda t: F.xxhash64(t)), F.array().cast("array<bigint>"))
-    return F.filter(F.arrays_zip(F.col(terms).alias("t"), maybe(hashes).alias("m")), lambda e: e["m"])["t"]
+    return maybe(F.coalesce(F.transform(terms, lambda t: F.xxhash64(t)), F.array().cast("array<bigint>")))
+
+
+def _known_terms(docs: DataFrame, vocabulary: DataFrame, terms: str) -> Column:
+    """The terms without those that are surely not in the vocabulary."""
+    maybe = maybe_known(docs, vocabulary, terms)
+    return F.filter(F.arrays_zip(F.col(terms).alias("t"), maybe.alias("m")), lambda e: e["m"])["t"]
 
 
 def _postings(docs: DataFrame, vocabulary: DataFrame, id_col: str, terms: str) -> DataFrame:
