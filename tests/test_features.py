@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -249,3 +250,47 @@ def test_vectorizer_tokens(spark):
 
     df = spark.createDataFrame([("Two  Spaces a u, cat_1 É é2",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(vectorizer_tokens("t")).collect()] == [["two", "spaces", "cat_1", "é2"], [], []]
+
+
+def test_a_large_dictionary_joins_only_what_it_may_hold(spark):
+    df = spark.range(50).select("id", F.split(F.concat_ws(" ", F.lit("cats and the"), F.col("id")), " ").alias("t"))
+    lemmas = spark.createDataFrame([("cats", "n", "cat")], "surface string, pos string, lemma string")
+    found = lookup.lemmatize(df, "t", lemmas, "id", max_rows=0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*key#\d+ = key#\d+", plan) and not re.search(r"Join LeftOuter, .*key#\d+ = key#\d+", plan)
+    assert {r["id"]: r["lemmas"] for r in found.collect()} == {i: ["cat", "and", "the", str(i)] for i in range(50)}
+
+
+def test_ids_that_repeat_share_a_list_in_the_join(spark):
+    df = spark.createDataFrame([(1, ["cats"]), (1, ["cats"]), (2, ["x"]), (None, ["cats"])], "id int, t array<string>")
+    lemmas = spark.createDataFrame([("cats", "n", "cat")], "surface string, pos string, lemma string")
+    found = lookup.lemmatize(df, "t", lemmas, "id", max_rows=0).collect()
+    assert sorted((r["id"] or 0, r["lemmas"]) for r in found) == [(0, []), (1, ["cat", "cat"]), (1, ["cat", "cat"]), (2, ["x"])]
+
+
+def test_rules_look_up_each_token_once(spark, monkeypatch):
+    slots, plain = [], lookup.lookup_array
+    monkeypatch.setattr(lookup, "lookup_array", lambda df, keys, *a, **b: slots.append(df.select(F.max(F.size(keys))).first()[0]) or plain(df, keys, *a, **b))
+    df = spark.createDataFrame([(1, ["dogs", "men", "x"])], "id int, t array<string>")
+    known = spark.createDataFrame([("dog", "n"), ("man", "n")], "lemma string, pos string")
+    found = lookup.lemmatize_by_rule(df, "t", known, None, "id")
+    assert found.first()["lemmas"] == ["dog", "man", "x"] and slots == [3]
+
+
+def test_summaries_count_a_row_once_whatever_the_slices(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice(["a", "b", "c", "d", None]) for _ in range(rng.randrange(9))] if i % 7 else None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "id int, terms array<string>").coalesce(2)
+    monkeypatch.setattr(vocabulary, "SLICE", 3)
+    monkeypatch.setattr(vocabulary, "stage", lambda df: df)
+    found = {r["term"]: (r["cf"], r["df"]) for r in vocabulary.summaries(docs, "terms", 50).collect() if r["term"]}
+    cf, df = Counter(t for _, ts in rows for t in ts or [] if t), Counter(t for _, ts in rows for t in set(ts or []) if t)
+    assert found == {t: (cf[t], df[t]) for t in cf}
+
+
+def test_the_filter_tests_terms_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(features, "FILTER_SLICE", 2)
+    docs = spark.createDataFrame([(1, ["a", "b", "x", "a", "b"]), (2, None), (3, ["b"])], "id int, terms array<string>").coalesce(1)
+    known = spark.createDataFrame([("a",), ("b",)], "term string")
+    found = {r["id"]: r["m"] for r in docs.select("id", features.maybe_known(docs, known, "terms").alias("m")).collect()}
+    assert found[1][:2] == found[1][3:] == [True, True] and len(found[1]) == 5 and found[2] == [] and found[3] == [True]
