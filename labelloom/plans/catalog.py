@@ -224,9 +224,9 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def csv_quoted_split(spark: SparkSession, sf: str) -> DataFrame:
-    """The same from one file that its line breaks in quotes do not keep whole."""
+    """The same from files that line breaks in quotes do not keep whole; every task writes one of its own."""
     rows = corpus(spark, sf).select("doc_id", "text", "class")
-    path = tables.write_table(rows.coalesce(1), staging_path(spark), "corpus", "csv")
+    path = tables.write_table(rows, staging_path(spark), "corpus", "csv")
     return read_quoted_csv(spark, path, rows.schema)
 
 
@@ -322,8 +322,8 @@ def content_tokens_query(spark: SparkSession, sf: str) -> DataFrame:
 
 def _lemma_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Content tokens with made-up tags, and a lemma table from the words in use."""
-    words = stage(cleaned(documents(spark, sf)).select("doc_id", "t", tokenize("t").alias("w")))
-    surface = words.select(F.explode("w").alias("surface")).filter(F.length("surface") > 3)
+    words = stage(cleaned(documents(spark, sf)))
+    surface = words.select(F.explode(tokenize("t")).alias("surface")).filter(F.length("surface") > 3)
     pos = F.when(F.col("surface").endswith("ing"), "v").when(F.col("surface").endswith("s"), "n")
     cut = F.when(F.col("surface").endswith("ing"), 3).otherwise(1)
     lemma = F.substr("surface", F.lit(1), F.length("surface") - cut).alias("lemma")

@@ -1,3 +1,4 @@
+import glob
 import json
 import os
 from datetime import datetime, timezone
@@ -5,6 +6,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from labelloom.plans import catalog
 from labelloom.plans import staging
 from labelloom.sources import paths, tables
 from labelloom.sources.quoted import _lines, read_quoted_csv
@@ -134,3 +136,15 @@ def test_quoted_names_and_empty_files(spark, tmp_path):
     assert found.dtypes == [("the, id", "int"), ("_c1", "double"), ('b"q', "string")] and [tuple(r) for r in found.collect()] == [(1, 2.5, "x\ny")]
     (tmp_path / "b.csv").write_text("")
     assert read_quoted_csv(spark, str(tmp_path / "b.csv")).collect() == []
+
+
+def test_no_task_writes_the_whole_quoted_file(spark, tmp_path, monkeypatch):
+    written = []
+    plain = catalog.tables.write_table
+    monkeypatch.setattr(catalog.tables, "write_table", lambda *a, **b: written.append(plain(*a, **b)) or written[-1])
+    rows = [(i, f'a "quoted"\nline, {i}') for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = catalog.QUERIES["csv_quoted_split"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in found) == rows
+    assert len(glob.glob(f"{written[0].removeprefix('file:')}/part-*")) > 1
