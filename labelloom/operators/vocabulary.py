@@ -12,10 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from labelloom.operators.profile import term_stats
+from labelloom.operators.profile import slice_counts, term_stats
 from labelloom.plans.staging import fits_in_memory, stage
 
 # Rows one task may merge to find the top terms, and groups of partitions beyond.
@@ -70,28 +69,13 @@ def summaries(docs: DataFrame, terms: str, capacity: int) -> DataFrame:
     ``cf`` is at least the true count less what was lost in all. Where nothing
     was lost, ``cf`` and ``df`` are the true counts of all terms.
     """
+    step = SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = Summary(capacity)
         for batch in batches:
-            lists = batch.column(0)
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            flat = lists.flatten()
-            for first in range(0, len(flat), SLICE):
-                part = flat.slice(first, SLICE)
-                row = np.searchsorted(ends, np.arange(first, first + len(part)), "right")
-                if part.null_count:
-                    row, part = row[part.is_valid().to_numpy(zero_copy_only=False)], part.drop_null()
-                # A row that the slice before began has counted some of its terms for ``df`` already.
-                begun = flat.slice(max(int(ends[row[0] - 1]), 0), first - int(ends[row[0] - 1])) if len(row) and ends[row[0] - 1] < first else None
-                coded = part.dictionary_encode()
-                codes, n = coded.indices.to_numpy().astype(np.int64), max(len(coded.dictionary), 1)
-                once = np.unique(row * n + codes)
-                if begun is not None:
-                    again = pc.index_in(pc.unique(begun).drop_null(), coded.dictionary).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-                    once = np.setdiff1d(once, row[0] * n + again, assume_unique=True)
-                cf, df = np.bincount(codes, minlength=n), np.bincount(once % n, minlength=n)
-                summary.add(coded.dictionary.to_pylist(), cf.tolist(), df.tolist())
+            for found, cf, rows in slice_counts(batch.column(0), step):
+                summary.add(found.to_pylist(), cf.tolist(), rows.tolist())
         names = ["term", "cf", "df"]
         terms_, pairs = list(summary.counts), list(summary.counts.values())
         found = [pa.array([None, *terms_], pa.string()), pa.array([summary.lost, *(c for c, _ in pairs)], pa.int64()), pa.array([0, *(d for _, d in pairs)], pa.int64())]

@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +114,17 @@ def test_report_text_prints_long_supports_whole(spark):
     )
     lines = [r["value"] for r in evaluate.report_text(report).collect()]
     assert sum(line.endswith(" 12345678901") for line in lines) == 2
+
+
+@pytest.mark.parametrize("step", [2, 3, 1 << 20])
+def test_term_stats_makes_no_row_for_each_occurrence(spark, monkeypatch, step):
+    rng = random.Random(5)
+    rows = [([rng.choice(["a", "b", "c", "", "é", None]) for _ in range(rng.randrange(9))] if i % 7 else None,) for i in range(60)]
+    df = spark.createDataFrame(rows, "t array<string>").coalesce(2)
+    monkeypatch.setattr(profile, "SLICE", step)
+    plan = profile.term_stats(df, "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+    cf, n_rows = Counter(t for (ts,) in rows for t in ts or []), Counter(t for (ts,) in rows for t in set(ts or []) if t is not None)
+    assert {tuple(r) for r in profile.term_stats(df, "t").collect()} == {(t, n, n_rows[t]) for t, n in cf.items()}
+    among = spark.createDataFrame([("a",), ("é",), ("z",)], "term string")
+    assert {tuple(r) for r in profile.term_stats(df, "t", among).collect()} == {(t, cf[t], n_rows[t]) for t in ("a", "é")}
