@@ -331,3 +331,27 @@ def test_the_driver_gets_the_sums_once(spark, train, monkeypatch, tasks):
     assert np.isclose(whole.weights.sum(), len(y)) and len(whole.labels) == len(y) and len(passes.sample(7).labels) == 7
     assert sum(len(part) for part in sent[-2:]) <= 2 * solver.DIRECT_SUMS
     passes.rdd.unpersist()
+
+
+@pytest.mark.parametrize("tasks", [1, 4])
+def test_a_step_of_the_svm_sees_rows_with_curvature_only(train, tasks):
+    x, y = points()
+    batches = solver.sparse_batches(train.repartition(tasks, "id"), "label_idx", "features", None).repartition(tasks)
+    passes = solver.Passes(batches, solver.SquaredHinge(np.ones(3)), x.shape[1] + 1, 3)
+    rng = np.random.default_rng(2)
+    w, v = rng.normal(size=(x.shape[1] + 1, 3)), rng.normal(size=(x.shape[1] + 1, 3))
+    a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    active = np.where(y[:, None] == np.arange(3), 1.0, -1.0) * (a @ w) < 1
+    assert 0 < active.sum() < active.size
+    for most in (7, 10_000):
+        for k, sample in enumerate(passes.samples(most, w)):
+            assert len(sample.labels) == min(most, active[:, k].sum()) and np.isclose(sample.weights.sum(), active[:, k].sum())
+            own = np.where(sample.labels == k, 1.0, -1.0)
+            assert (own * sample.margins(w)[:, k] < 1).all()
+    bent = passes.bent(w)
+    assert sum(len(batch.labels) for batch, _ in bent.collect()) == active.any(axis=1).sum()
+    whole = np.stack([v[:, k] + 2 * a[active[:, k]].T @ (a[active[:, k]] @ v[:, k]) for k in range(3)], axis=1)
+    assert np.allclose(passes.product(bent, v, np.array([True] * 3)), whole)
+    assert np.allclose(passes.product(bent, v, np.array([True, False, True]))[:, [0, 2]], whole[:, [0, 2]])
+    bent.unpersist()
+    passes.rdd.unpersist()
