@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelloom.operators.columns import drop_null_labels
 
-SLICE = 1 << 20  # terms that a task counts at a time
+SLICE = 1 << 18  # terms that a task counts at a time
 BUCKETS = 16  # groups of terms, for each shuffle partition, whose counts a task adds up at a time
 
 
