@@ -355,3 +355,64 @@ def test_a_step_of_the_svm_sees_rows_with_curvature_only(train, tasks):
     assert np.allclose(passes.product(bent, v, np.array([True, False, True]))[:, [0, 2]], whole[:, [0, 2]])
     bent.unpersist()
     passes.rdd.unpersist()
+
+
+def uneven_points(spark, n=900, features=60):
+    """Points whose features lean on each other and differ in scale by 100: hard for conjugate gradients."""
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 3, n)
+    x = rng.normal(size=(n, features)) @ rng.normal(size=(features, features)) * np.logspace(0, 2, features) / 10
+    x[np.arange(n), y] += 2
+    rows = [(i, int(c), Vectors.dense(v.tolist())) for i, (v, c) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, ["id", "label_idx", "features"]), x, y
+
+
+def test_few_passes_reach_the_optimum_of_an_uneven_problem(spark, monkeypatch):
+    monkeypatch.setattr(solver, "SAMPLE_CELLS", 30)
+    rows, x, _ = uneven_points(spark)
+    batches = solver.sparse_batches(rows.repartition(4, "id"), "label_idx", "features", None)
+    fit = solver.minimise(batches, solver.Softmax(), x.shape[1], 3)
+    assert fit.ratio <= solver.TOLERANCE and fit.passes < 100
+
+
+@pytest.mark.parametrize("cells, lists, share", [(1 << 22, 1, 1.0), (20_000, 3, 1 / 3), (5_400, 4, 0.1)])
+def test_tasks_solve_a_step_for_rows_of_their_own(spark, monkeypatch, cells, lists, share):
+    monkeypatch.setattr(solver, "LOCAL_CELLS", cells)
+    monkeypatch.setattr(solver, "BATCH_CELLS", 600)
+    rows, x, y = uneven_points(spark)
+    batches = solver.sparse_batches(rows.repartition(5, "id"), "label_idx", "features", None).repartition(5)
+    passes = solver.Passes(batches, solver.Softmax(), x.shape[1] + 1, 3)
+    w = np.zeros((x.shape[1] + 1, 3))
+    bent = passes.bent(w)
+    local, found_share = passes.drawn(bent)
+    found = local.collect()
+    assert len(found) == lists and math.isclose(found_share, share)
+    assert all(len(batch.values) <= 600 and len(batch.labels) == len(bend) for parts in found for batch, bend in parts)
+    firsts = [tuple(batch.values[s : s + 60]) for parts in found for batch, _ in parts for s in batch.starts[:-1]]
+    assert len(set(firsts)) == len(firsts) and set(firsts) <= set(map(tuple, x))
+    assert len(firsts) == len(y) if lists * share > 0.99 else abs(len(firsts) - 360) < 90
+
+    diagonal = passes.at(w)[2]
+    closer = spark.sparkContext.broadcast(solver._preconditioners(passes, w, diagonal, [passes.sample(100)]))
+    rest = np.random.default_rng(5).normal(size=w.shape)
+    rest -= rest.mean(axis=1, keepdims=True)
+    answer = passes.solved(local, found_share, closer, rest)
+    assert answer.shape == w.shape and (answer * rest).sum() > 0
+    if lists == 1:  # these are all the rows
+        left = passes.product(bent, answer, np.array([True] * 3)) - rest
+        assert (closer.value(left) * left).sum() <= 1.01 * solver.LOCAL_LEFT**2 * (closer.value(rest) * rest).sum()
+    local.unpersist()
+    bent.unpersist()
+    passes.rdd.unpersist()
+
+
+def test_the_products_of_logistic_regression_take_a_class_less():
+    rng = np.random.default_rng(4)
+    x, w, v, weights = rng.normal(size=(7, 5)), rng.normal(size=(6, 3)), rng.normal(size=(6, 3)), rng.random(7)
+    batch = solver.Batch(np.arange(0, 36, 5), np.tile(np.arange(5), 7), x.ravel(), np.zeros(7, np.int32), weights)
+    a = np.concatenate([x, np.ones((7, 1))], axis=1)
+    p = np.exp(a @ w) / np.exp(a @ w).sum(axis=1, keepdims=True)
+    bends = [r * (np.diag(q) - np.outer(q, q)) for q, r in zip(p, weights)]
+    whole = sum(np.outer(row, bend @ (row @ v)) for row, bend in zip(a, bends))
+    assert np.allclose(solver._curved(solver.Softmax(), batch, p, v), whole)
+    assert solver._curved(solver.Softmax(), batch, np.ones((7, 1)), v[:, :1]).tolist() == [[0.0]] * 6
